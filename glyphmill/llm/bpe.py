@@ -13,6 +13,7 @@ import heapq
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -68,7 +69,9 @@ class Vocabulary:
             spec = json.load(f)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
         value = {s: b for b, s in enumerate(symbols)}
+        end = spec["model"].get("end_of_word_suffix") or ""
         self.byte_id = [vocab[s] for s in symbols]
+        self.last_id = [vocab[s + end] for s in symbols]
         self.rank: dict[int, int] = {}
         self.merged: list[int] = []
         for n, pair in enumerate(spec["model"]["merges"]):
@@ -78,7 +81,7 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = [b""] * (1 + max([*vocab.values(), *self.added.values()]))
         for token, i in vocab.items():
-            self.bytes_of[i] = bytes(value[c] for c in token)
+            self.bytes_of[i] = bytes(value[c] for c in token.removesuffix(end))
         for token, i in self.added.items():
             self.bytes_of[i] = token.encode()
         longest_first = sorted(self.added, key=len, reverse=True)
@@ -142,6 +145,93 @@ def merge_heap(word: bytes, vocab: Vocabulary) -> tuple[int, list[int], list[int
     return merges, symbol, follow
 
 
+class Lockstep:
+    """merge_ranks for many words at once: a row of parts, boundaries and adjacent ranks for each word of about one length."""
+
+    ROWS = 8192
+
+    def __init__(self, vocab: Vocabulary):
+        self.byte_id, self.last_id = np.array(vocab.byte_id, np.int32), np.array(vocab.last_id, np.int32)
+        self.merged = np.array([*vocab.merged, 0], np.int32)
+        self.none = len(vocab.merged)
+        self.bits = max(16, 2 + len(vocab.rank).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, self.none, np.int32)
+        for key, rank in vocab.rank.items():
+            at = int(self._slot(np.array([key], np.int64))[0])
+            while self.keys[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.keys[at], self.ranks[at] = key, rank
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, `none` for those that never merge."""
+        keys = left.astype(np.int64) << 20 | right
+        at = self._slot(keys)
+        there = self.keys[at]
+        found = self.ranks[at]
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while open_.size:
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[open_]]
+            found[open_] = self.ranks[at[open_]]
+            open_ = open_[(there != keys[open_]) & (there >= 0)]
+        missing = self.keys[at] != keys
+        found[missing] = self.none
+        return found
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Part ids of each word, as little-endian 32-bit integers; words are not empty."""
+        order = sorted(range(len(words)), key=lambda n: len(words[n]))
+        out: list = [None] * len(words)
+        for a in range(0, len(order), self.ROWS):
+            self._merge(words, order[a : a + self.ROWS], out)
+        return out
+
+    def _merge(self, words: list[bytes], chosen: list[int], out: list) -> None:
+        sizes = np.array([len(words[n]) for n in chosen])
+        width, which = int(sizes[-1]) + 1, np.array(chosen)
+        filled = np.arange(width) < sizes[:, None]
+        parts = np.zeros((len(chosen), width), np.int32)
+        parts[filled] = self.byte_id[np.frombuffer(b"".join([words[n] for n in chosen]), np.uint8)]
+        last = np.array([words[n][-1] for n in chosen])
+        parts[np.arange(len(chosen)), sizes - 1] = self.last_id[last]
+        bounds = np.minimum(np.arange(width, dtype=np.int16), sizes[:, None].astype(np.int16))
+        ranks = np.full((len(chosen), width), self.none, np.int32)
+        pairs = filled[:, 1:]
+        ranks[:, :-1][pairs] = self.rank(parts[:, :-1][pairs], parts[:, 1:][pairs])
+        columns = np.arange(width)
+        while True:
+            i = ranks.argmin(1)
+            low = ranks[np.arange(len(i)), i]
+            going = low < self.none
+            if not going.all():
+                done = parts[~going]
+                there = bounds[~going] < bounds[~going][:, -1:]  # as many parts as boundaries before the end of the word
+                flat, at = done[there].astype("<i4").tobytes(), 0
+                for n, end in zip(which[~going].tolist(), (4 * there.sum(1).cumsum()).tolist(), strict=True):
+                    out[n] = flat[at:end]
+                    at = end
+                if not going.any():
+                    return
+                parts, bounds, ranks, which, i, low = parts[going], bounds[going], ranks[going], which[going], i[going], low[going]
+            rows = np.arange(len(i))
+            step = columns + (columns > i[:, None])
+            step[:, -1] = width - 1
+            parts = np.take_along_axis(parts, step, 1)
+            bounds = np.take_along_axis(bounds, step, 1)
+            step = columns + (columns >= i[:, None])
+            step[:, -1] = width - 1
+            ranks = np.take_along_axis(ranks, step, 1)
+            parts[rows, i] = left = self.merged[low]
+            after = bounds[rows, i + 1] < bounds[:, -1]  # a part follows
+            ranks[rows, i] = np.where(after, self.rank(left, parts[rows, i + 1]), self.none)
+            r = np.flatnonzero(i)
+            ranks[r, i[r] - 1] = self.rank(parts[r, i[r] - 1], left[r])
+
+
 class Kept(dict):
     """What words came to, for the latest words: two generations of bounded size."""
 
@@ -163,30 +253,52 @@ class Kept(dict):
 class Encoder:
     def __init__(self, path: str):
         self.vocab = Vocabulary(path)
-        self.words = Kept(self.word_ids)
-
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        data = word.encode("utf-8")
-        if len(data) <= SHORT:
-            return tuple(merge_ranks(data, self.vocab)[0])
-        return tuple(s for s in merge_heap(data, self.vocab)[1] if s >= 0)
-
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for n, piece in enumerate(self.vocab.pieces(text)):
-            if n % 2:
-                ids.append(self.vocab.added[piece])
-            else:
-                kept = self.words
-                for word in pre_tokens(piece):
-                    ids += kept[word]
-        return ids
+        self.lockstep = Lockstep(self.vocab)
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Keep the ids of these words too; the oldest words go once there are too many."""
+        if len(self.words) > KEPT_WORDS:
+            self.older, self.words = self.words, {}
+        kept, older = self.words, self.older
+        new = words - kept.keys()
+        kept.update((w, older[w]) for w in new & older.keys())
+        new -= older.keys()
+        data = {w: w.encode("utf-8") for w in new}
+        short = [w for w in new if len(data[w]) <= SHORT]
+        kept.update(zip(short, self.lockstep.merge([data[w] for w in short]), strict=True))
+        for w in new.difference(short):
+            kept[w] = np.array([s for s in merge_heap(data[w], self.vocab)[1] if s >= 0], "<i4").tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (int32) of each text; words new to this worker are merged together."""
+        split = [[piece if n % 2 else pre_tokens(piece) for n, piece in enumerate(self.vocab.pieces(t))] for t in texts]
+        self.learn({w for pieces in split for words in pieces[::2] for w in words})
+        ids, added = self.words, {t: np.array([i], "<i4").tobytes() for t, i in self.vocab.added.items()}
+        return [np.frombuffer(b"".join([added[p] if n % 2 else b"".join([ids[w] for w in p]) for n, p in enumerate(pieces)]), "<i4") for pieces in split]
 
     def decode(self, ids) -> str:
         of = self.vocab.bytes_of
         return b"".join([of[i] for i in ids]).decode("utf-8", "replace")
 
 
+def batches(texts: list[str], most: int = 1 << 21):
+    """Runs of texts of about `most` characters, or a longer one alone."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > most:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
+
+
 class Counter:
     def __init__(self, path: str):
         self.vocab = Vocabulary(path)
@@ -217,8 +329,10 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", ids: str = "ids")
     """df with the ids of each text, as array<int>; a null or empty text has none."""
 
     def kernel(column):
-        encode = loaded(Encoder, path).encode
-        return [pa.array([encode(t or "") for t in column.to_pylist()], type=pa.list_(pa.int32()))]
+        encode = loaded(Encoder, path).encode_batch
+        made = [ids for run in batches([t or "" for t in column.to_pylist()]) for ids in encode(run)]
+        ends = np.cumsum([0, *map(len, made)], dtype=np.int32)
+        return [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(made) if made else [], pa.int32()))]
 
     return append_columns(df, [text], T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType(), False))]), kernel)
 
