@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, packing
+from glyphmill.llm import bpe, packing, substrings
 from glyphmill.llm.shared import texts
 
 
@@ -44,10 +44,38 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+OP10_SQL = r"""
+WITH t AS MATERIALIZED (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS MATERIALIZED (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM t, unnest(range(1, len(w) - 48)) AS u(i) WHERE len(w) >= 50
+), owners AS (
+    SELECT h, min(doc_id) AS owner FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)
+), gone AS (
+    SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN owners USING (h) WHERE owner < doc_id)
+), lost AS (
+    SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS text
+    FROM (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM t) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM t LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), spaced=True)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op4_token_counts": op4_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_substring_dedup": OP10_SQL,
+}
