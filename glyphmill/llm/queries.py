@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, packing, substrings
+from glyphmill.llm import bpe, jaccard, packing, substrings
 from glyphmill.llm.shared import texts
 
 
@@ -44,6 +44,29 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), n=4, t=85)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE t AS MATERIALIZED (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents
+), grams AS MATERIALIZED (
+    SELECT DISTINCT doc_id, md5_number(array_to_string(w[i:i + 3], ' ')) AS g FROM t, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0
+), sizes AS MATERIALIZED (
+    SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+    SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * o >= 85 * (p.n + q.n - o)
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM t UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other)::BIGINT AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+
 OP10_SQL = r"""
 WITH t AS MATERIALIZED (
     SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
@@ -73,9 +96,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
     "op4_token_counts": op4_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_ngram_jaccard_join": OP7_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
