@@ -34,10 +34,11 @@ from glyphmill.llm.shared import append_columns, stored
 
 CAPACITY = 2048
 GROUPS = 32
-#: Lengths up to this part of the capacity are small: they are left for best fit.
-SMALL = 1 / 10
+#: Lengths up to this part of the capacity are small, which best fit places. Rounding up costs most where large
+#: lengths are many and different, so plans are made for each of these parts and the one of fewest sequences is kept.
+SMALL = (1 / 2, 1 / 3, 1 / 5)
 #: Chunks of text whose ids a worker keeps.
-KEPT_CHUNKS = 250_000
+KEPT_CHUNKS = 400_000
 #: Rows of one length that one task ranks.
 RANKED_ROWS = 50_000
 
@@ -65,42 +66,42 @@ class ChunkIds:
         self.kept: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def _plain(self, chunk: bytes) -> str | None:
-        """A Latin-1 chunk lower-cased, if nothing in it needs the library: lower case stays one Latin-1 character each."""
-        text = chunk.decode("utf-8")
-        if len(chunk) > SHORT or self.added(text):
-            return None
-        if not chunk.isascii():
+    def _lowered(self, text: str) -> str | None:
+        """A Latin-1 text in lower case, if nothing in it needs the library: each character stays one Latin-1 character."""
+        if not text.isascii():
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
                 return None
-        return text.lower()
+        lower = text.lower()
+        return None if self.added(lower) else lower
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Keep the ids of these chunks too; the oldest chunks go once there are too many."""
+    def learn(self, plain: set[bytes], others: set[bytes]) -> None:
+        """Keep the ids of these chunks too; the oldest chunks go once there are too many. plain: lower-case Latin-1."""
         if len(self.kept) > KEPT_CHUNKS:
             self.older, self.kept = self.kept, {}
-        new = chunks - self.kept.keys()
-        self.kept.update((c, self.older[c]) for c in new & self.older.keys())
-        split, others = {}, []
-        for c in new - self.older.keys():
-            if (plain := self._plain(c)) is None:
-                others.append(c)
-            else:
-                split[c] = self.words(plain)
-        words = list({w for found in split.values() for w in found})
-        ids = dict(zip(words, self.lockstep.merge([w.encode("utf-8") for w in words]), strict=True))
-        for c, found in split.items():
-            self.kept[c] = ids[found[0]] if len(found) == 1 else b"".join([ids[w] for w in found])
+        kept, older = self.kept, self.older
+        plain, others = plain - kept.keys(), others - kept.keys()
+        for chunks in (plain, others):
+            kept.update((c, older[c]) for c in chunks & older.keys())
+            chunks -= older.keys()
+        others |= {c for c in plain if len(c) > SHORT}
+        plain -= others
+        split = {c: [w.encode("utf-8") for w in self.words(c.decode("utf-8"))] for c in plain if not c.isalpha()}
+        words = [c for c in plain if c not in split]
+        kept.update(zip(words, self.lockstep.merge(words), strict=True))
+        rest = list({w for found in split.values() for w in found})
+        ids = dict(zip(rest, self.lockstep.merge(rest), strict=True))
+        kept.update((c, b"".join([ids[w] for w in found])) for c, found in split.items())
         if others:
             found = self.tokenizer.encode_batch([c.decode("utf-8") for c in others], add_special_tokens=False)
-            self.kept.update(zip(others, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+            kept.update(zip(others, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.encode("utf-8").split() for t in texts]
-        self.learn(set().union(*split))
+        lower = [self._lowered(t) for t in texts]
+        split = [(t if low is None else low).encode("utf-8").split() for t, low in zip(texts, lower, strict=True)]
+        self.learn(set().union(*(c for c, low in zip(split, lower, strict=True) if low is not None)), set().union(*(c for c, low in zip(split, lower, strict=True) if low is None)))
         kept = self.kept
         return [b"".join([kept[c] for c in chunks]) for chunks in split]
 
@@ -176,7 +177,7 @@ def fractional_configurations(sizes: list[int], demand: list[int], capacity: int
 class Plan:
     """Where runs of pieces go: the pieces [rank, rank + n) of a length, one each to sequences [sequence, sequence + n), at an offset."""
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL):
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: float = SMALL[0]):
         if counts and not 1 <= min(counts) <= max(counts) <= capacity:
             raise ValueError(f"lengths must lie between 1 and {capacity}")
         self.capacity, self.sequences = capacity, 0
@@ -281,11 +282,23 @@ class Plan:
         return tuple(np.array(sorted(self.rows), np.int64).reshape(-1, 5).T)
 
 
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> Plan:
+    """The plan of fewest sequences over the parts that may count as small; ends at the first that none can beat."""
+    least, best = -(-sum(size * n for size, n in counts.items()) // capacity), None
+    for small in SMALL:
+        plan = Plan(counts, capacity, groups, small)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences == least:
+            break
+    return best
+
+
 def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """pieces (key, piece, length, ...) with sequence_id and offset. Pieces are stored first, as they are read twice."""
     pieces = stored(pieces, "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    plan = Plan(counts, capacity, groups)
+    plan = best_plan(counts, capacity, groups)
     length, rank, n, sequence, offset = plan.lookup()
     split = -(-max(counts.values(), default=1) // RANKED_ROWS)
     place = pieces.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(split)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, jaccard, packing, substrings
+from glyphmill.llm import bpe, jaccard, media, packing, substrings
 from glyphmill.llm.shared import texts
 
 
@@ -21,6 +21,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, padded, stored as audio declared as plain bytes; sniffed, carved out again and read back."""
+    docs = texts(documents(spark, sf_dir)).select("doc_id", F.col("text").cast("binary").alias("raw"))
+    docs = docs.withColumn("n_bytes", F.octet_length("raw").cast("long"))
+    padded = F.greatest(F.lit(64), F.ceil(F.col("n_bytes") / 64).cast("int") * 64)
+    docs = docs.select("doc_id", "n_bytes", F.rpad("raw", padded, F.lit(b"\0")).alias("payload"))
+    held = media.store_samples(docs).drop("payload").withColumn("declared", F.lit(media.UNKNOWN))
+    found = media.carve(media.sniff(held)).where("medium_start = 0 AND medium_type = 'audio/wav'")
+    return media.read_samples(found).select(
+        "doc_id", "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        "tail_crc32",
+        F.octet_length("medium").cast("long").alias("media_bytes"),
+        F.sha2("medium", 256).alias("media_sha256"),
+        "feature",
+        F.col("medium_type").alias("media_type"),
+    )
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     encoded = bpe.encode_texts(texts(documents(spark, sf_dir)), path).select("doc_id", "ids")
@@ -93,6 +113,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_columns": op1_media_columns,
     "op2_bpe_codec": op2_bpe_codec,
     "op4_token_counts": op4_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
