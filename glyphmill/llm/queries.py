@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, jaccard, media, packing, substrings
+from glyphmill.llm import bpe, jaccard, media, packing, substrings, urls
 from glyphmill.llm.shared import texts
 
 
@@ -87,6 +87,68 @@ SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other)::BIGI
 """
 
 
+#: Verdict and host/path of each rule.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def url_sql() -> str:
+    """SQL of op9: a common table for each level of the template tree."""
+    level = [f"s{d}" for d in range(1, urls.DEPTH + 1)]
+    fits = " ".join(
+        f"WHEN (host = '{rule.partition('/')[0]}' OR host LIKE '%.{rule.partition('/')[0]}') AND starts_with(path, '/{rule.partition('/')[2]}') THEN '{rule}'"
+        for _, rule in sorted(URL_RULES, key=lambda r: -len(r[1]))
+    )
+    says = " ".join(f"WHEN rule = '{rule}' THEN '{said}'" for said, rule in URL_RULES)
+
+    def pure(b: str, a: str) -> str:
+        return f"({b} + {urls.WEIGHT * urls.PRIOR}::DOUBLE) / ({b} + {a} + {urls.WEIGHT}::DOUBLE)"
+
+    cuts = ", ".join(
+        f"CASE WHEN {'len(parts) > %d THEN %s WHEN ' % (urls.DEPTH + 1, repr('/**')) if d == urls.DEPTH else ''}len(parts) > {d} THEN '/' || parts[{d + 1}] ELSE '' END AS s{d}"
+        for d in range(1, urls.DEPTH + 1)
+    )
+    sql = f"""
+WITH split AS MATERIALIZED (
+    SELECT page_id, translate(coalesce(regexp_extract(url, '{urls.PARTS}', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+           coalesce(regexp_extract(url, '{urls.PARTS}', 2), '') AS path FROM pages
+), ruled AS MATERIALIZED (
+    SELECT *, CASE {fits} END AS rule, regexp_replace(path, '[0-9]+', '*', 'g') AS shape FROM split
+), labelled AS MATERIALIZED (
+    SELECT *, CASE {says} END AS said FROM ruled
+), counts AS (
+    SELECT host, shape, count(*) AS n, sum((said IS NOT NULL AND said = 'block')::INT)::BIGINT AS blocked, sum((said IS NOT NULL AND said = 'allow')::INT)::BIGINT AS allowed,
+           string_split(shape, '/') AS parts FROM labelled GROUP BY host, shape
+), t0 AS MATERIALIZED (SELECT host, shape, n, blocked, allowed, {cuts} FROM counts)"""
+    for d, name in enumerate(level, 1):
+        above = ", ".join(["host", *level[: d - 1]])
+        rest = " || ".join(level[d:]) or "''"
+        columns = ", ".join(level).replace(name, "CASE WHEN wide AND {0} <> '' THEN '/*' ELSE {0} END AS {0}".format(name), 1)
+        after = ", ".join(level).replace(name, "CASE WHEN near THEN '/*' ELSE {0} END AS {0}".format(name), 1)
+        sql += f"""
+, w{d} AS (SELECT {above}, true AS wide FROM t{d - 1} WHERE {name} <> '' GROUP BY {above} HAVING count(DISTINCT {name}) > {urls.MAX_CHILDREN})
+, u{d} AS MATERIALIZED (SELECT host, shape, n, blocked, allowed, {columns} FROM t{d - 1} LEFT JOIN w{d} USING ({above}))
+, c{d} AS MATERIALIZED (SELECT {above}, {name}, {rest} AS rest, sum(n)::DOUBLE AS c, sum(blocked)::BIGINT AS b, sum(allowed)::BIGINT AS a FROM u{d} WHERE {name} <> '' GROUP BY {above}, {name}, rest)
+, p{d} AS (SELECT {above}, rest, sum(c) AS pc FROM c{d} GROUP BY {above}, rest)
+, q{d} AS (SELECT {above}, sum(c) AS size, sum(b)::BIGINT AS pb, sum(a)::BIGINT AS pa FROM c{d} GROUP BY {above})
+, o{d} AS (SELECT {above}, {name}, sum(c) AS own, sum(b)::BIGINT AS ob, sum(a)::BIGINT AS oa FROM c{d} GROUP BY {above}, {name})
+, m{d} AS (SELECT {above}, {name}, true AS near FROM c{d} JOIN p{d} USING ({above}, rest) JOIN o{d} USING ({above}, {name}) JOIN q{d} USING ({above})
+    GROUP BY {above}, {name}, own, size, ob, oa, pb, pa
+    HAVING 100 * (sum(abs(c * size - pc * own)) + own * (size - sum(pc))) <= {2 * urls.MERGE} * own * size AND abs({pure("ob", "oa")} - {pure("pb", "pa")}) <= {urls.GAP})
+, t{d} AS MATERIALIZED (SELECT host, shape, n, blocked, allowed, {after} FROM u{d} LEFT JOIN m{d} USING ({above}, {name}))"""
+    template = " || ".join(level)
+    return sql + f"""
+, named AS (SELECT host, shape, blocked, allowed, {template} AS template FROM t{urls.DEPTH})
+, judged AS (SELECT host, template, {pure("sum(blocked)", "sum(allowed)")} AS purity FROM named GROUP BY host, template)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity > {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM labelled JOIN named USING (host, shape) JOIN judged USING (host, template)
+"""
+
+
 OP10_SQL = r"""
 WITH t AS MATERIALIZED (
     SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
@@ -118,10 +180,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op9_url_filters": op9_url_filters,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op7_ngram_jaccard_join": OP7_SQL,
+    "op9_url_filters": url_sql(),
     "op10_substring_dedup": OP10_SQL,
 }
