@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ WINDOW = 50
 #: Words in the runs whose least hash anchors a window.
 RUN = 8
 MIN_BITS, MAX_BITS = 16, 30
+#: Windows of a partition that are compared with each other before any are sent.
+HELD = 1 << 20
 #: Cells (a power of two) of one row of the sketch that are merged in one group.
 SHARD = 16
 
@@ -123,9 +125,50 @@ def estimated_repeated(anchors: np.ndarray, filled: np.ndarray, bits: int) -> np
     return found
 
 
-FOUND = T.StructType([
-    T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("high", T.ArrayType(T.LongType())), T.StructField("low", T.ArrayType(T.IntegerType())),
-])
+def found_windows(df: DataFrame, key: str, text: str, size: int, filled, bits: int) -> DataFrame:
+    """For each document with windows estimated repeated: __key, the windows to ask about (at, high, low) and those gone already.
+
+    A window that a smaller key of the same partition has too is gone without asking, so that however common
+    a window is, few of its rows leave a partition.
+    """
+
+    def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, at, high, low = (np.concatenate(c) for c in zip(*parts, strict=True))
+        if not len(keys):
+            return
+        order = np.lexsort((keys, low, high))
+        h, w, k = high[order], low[order], keys[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]
+        gone = np.empty(len(keys), bool)
+        gone[order] = k > k[np.flatnonzero(new)][np.cumsum(new) - 1]
+        order = np.lexsort((at, gone, keys))
+        keys, at, high, low, gone = (c[order] for c in (keys, at, high, low, gone))
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        lost = np.concatenate([[0], np.cumsum(gone)]).astype(np.int32)
+        ends = np.r_[first, len(keys)]
+        asked = (ends - lost[ends]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(asked, pa.array(c[~gone])) for c in (at, high, low)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[first]), *lists, pa.ListArray.from_arrays(lost[ends], pa.array(at[gone]))], names=["__key", "at", "high", "low", "gone"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            words = Words(batch.column(1))
+            windows = Windows(words, size)
+            chosen = np.flatnonzero(estimated_repeated(windows.anchor, filled.value, bits))
+            at, of = windows.at[chosen], windows.text[chosen]
+            high = grams(windows.hashes, size)[at].view(np.int64)
+            low = (grams(mix(windows.hashes), size)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            parts.append((batch.column(0).to_numpy()[of], (at - words.first[of]).astype(np.int32), high, low))
+            held += len(at)
+            if held >= HELD:
+                yield from flush(parts)
+                parts, held = [], 0
+        if parts:
+            yield from flush(parts)
+
+    plain = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    return plain.mapInArrow(run, "__key long, at array<int>, high array<long>, low array<int>, gone array<int>")
 
 
 def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, max_bits: int = MAX_BITS) -> DataFrame:
@@ -134,24 +177,13 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", siz
     small_batches(spark)
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(1 + total * 8 / 6 * 2 / (size - RUN + 2))), MIN_BITS, max_bits)) if size > RUN else max_bits
-    shared = spark.sparkContext.broadcast(sketch(df, text, size, bits))
-
-    def kernel(column):
-        words = Words(column)
-        windows = Windows(words, size)
-        chosen = np.flatnonzero(estimated_repeated(windows.anchor, shared.value, bits))
-        at, of = windows.at[chosen], windows.text[chosen]
-        ends = np.searchsorted(of, np.arange(len(words.counts) + 1)).astype(np.int32)
-        high = grams(windows.hashes, size)[at].view(np.int64)
-        low = (grams(mix(windows.hashes), size)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        first = words.first[of] if len(of) else at
-        return [pa.ListArray.from_arrays(ends, pa.array(a)) for a in ((at - first).astype(np.int32), high, low)]
-
-    plain = df.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    found = stored(append_columns(plain, ["__text"], FOUND, kernel).drop("__text").where(F.size("at") > 0), "windows")
-    rows = found.select("__key", F.explode(F.arrays_zip("at", "high", "low")).alias("w")).select("__key", "w.*")
-    owners = rows.groupBy("high", "low").agg(F.min("__key").alias("__owner"), F.max("__key").alias("__last")).where("__owner < __last").drop("__last")
-    return rows.join(owners, ["high", "low"]).where("__key > __owner").groupBy("__key").agg(F.collect_list("at").alias("__at"))
+    filled = spark.sparkContext.broadcast(sketch(df, text, size, bits))
+    found = stored(found_windows(df, key, text, size, filled, bits), "windows")
+    asked = found.select("__key", F.explode(F.arrays_zip("at", "high", "low")).alias("w")).select("__key", "w.*")
+    owner = F.min("__key").over(Window.partitionBy("high", "low"))  # as many rows as partitions at most, for each document's
+    lost = asked.withColumn("__owner", owner).where("__key > __owner").select("__key", "at")
+    lost = lost.union(found.select("__key", F.explode("gone").alias("at")))
+    return lost.groupBy("__key").agg(F.collect_list("at").alias("__at"))
 
 
 def without(column: pa.Array, lost: list, size: int, spaced: bool) -> tuple[list, list, list]:
@@ -190,7 +222,7 @@ def without(column: pa.Array, lost: list, size: int, spaced: bool) -> tuple[list
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, spaced: bool = False, max_bits: int = MAX_BITS) -> DataFrame:
     """df with text cut, and n_words, n_removed: a word goes if a window over it also starts in a document of smaller key."""
     lost = repeated_windows(df, key, text, size, max_bits)
-    joined = df.join(lost, df[key] == lost["__key"], "left").drop("__key")
+    joined = df.join(lost, df[key].cast("long") == lost["__key"], "left").drop("__key")
     fields = T.StructType([T.StructField(text, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def kernel(column, at):
