@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, jaccard, media, packing, quality, substrings, urls
+from glyphmill.llm import bpe, jaccard, lines, media, packing, quality, substrings, urls
 from glyphmill.llm.shared import texts
 
 
@@ -93,6 +93,11 @@ SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other)::BIGI
 """
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 #: Verdict and host/path of each rule.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -187,6 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_line_dedup": op8_line_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_substring_dedup": op10_substring_dedup,
 }
