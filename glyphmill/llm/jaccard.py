@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm.components import components
-from glyphmill.llm.shared import append_columns, small_batches, stored
+from glyphmill.llm.shared import append_columns, drop, path_of, release, small_batches, stored
 from glyphmill.llm.words import Words, grams, mix
 
 BUCKETS, BAND = 64, 4
@@ -309,6 +309,7 @@ def block_pairs(reps: DataFrame, t: int) -> DataFrame:
     found = found.join(reps.select("__key", "n", "cluster", "bitmap"), "__key").withColumn("band", size_band)
     # a set meets those of its own band at home, and those of the band below as a guest
     found = stored(found.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", F.col("band") - F.when(F.col("home"), 0).otherwise(1)), "blocks")
+    release(reps.sparkSession)
     sized = found.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.max("home").alias("any"))
     sized = sized.where("low < high AND any").select("token", "band", F.ceil(F.col("size") / CHUNK).alias("chunks"))
     dealt = found.join(sized, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("__key"), "chunks"))
@@ -365,8 +366,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     digest = ["n", "d1", "d2"]
     classes = sketched.where("n > 0 AND __key IS NOT NULL").groupBy(*digest).agg(F.min("__key").alias("rep"))
     member = stored(sketched.select("__key", *digest).join(classes, digest, "left").select("__key", "n", F.coalesce("rep", "__key").alias("rep")), "members")
-    reps = sketched.join(member.where("n > 0 AND __key = rep").select("__key").distinct(), "__key").dropDuplicates(["__key"])
-    reps = stored(reps.select("__key", "n", "bands", "prefix", "bitmap"), "reps")
+    first = F.min_by(F.struct("bands", "prefix", "bitmap"), "__key").alias("s")
+    reps = sketched.where("n > 0 AND __key IS NOT NULL").groupBy(*digest).agg(F.min("__key").alias("__key"), first)
+    reps = stored(reps.select("__key", "n", "s.*"), "reps")
+    drop(spark, path_of(sketched))
+    release(spark)
     # 1. clusters
     bands = reps.select("__key", F.explode("bands").alias("band"))
     centres = bands.groupBy("band").agg(F.min("__key").alias("centre"), F.max("__key").alias("last")).where("centre < last").select("band", "centre")
@@ -374,6 +378,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     label = components(star).withColumnRenamed("node", "__key").withColumnRenamed("component", "cluster")
     sized = label.join(label.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
     links = stored(cluster_links(docs, sized, n, t), "links")
+    release(spark)
     large = sized.where(F.col("size") > CHUNK)
     while large.take(1):  # leaders of the groups that the tasks found meet in smaller clusters
         leaders = large.join(links.select(F.col("a").alias("__key")), "__key", "left_anti").select("__key", "cluster")
@@ -390,6 +395,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
         whole = whole.union(dealt.select("__key", F.coalesce("component", "__key")))
     placed = reps.join(whole, "__key", "left").withColumn("cluster", F.coalesce("cluster", "__key")).drop("bands")
     pairs = stored(block_pairs(placed, t), "pairs")
+    release(spark)
     if pairs.take(1):
         links = links.union(similar_pairs(docs, pairs, n, t))
     if not links.take(1):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -48,13 +49,26 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cluster delete shuffle files that no plan refers to any more; stored tables don't need them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """df, written once as Parquet to the shared folder and reread: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(_as_read(df.schema, partition_by)).parquet(path)
+    made = spark.read.schema(_as_read(df.schema, partition_by)).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def path_of(df: DataFrame) -> str:
+    """Where stored() wrote this table."""
+    return df.stored_at
 
 
 def _as_read(schema: T.StructType, last: Sequence[str]) -> T.StructType:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.shared import append_columns, small_batches, stored
+from glyphmill.llm.shared import append_columns, release, small_batches, stored
 from glyphmill.llm.words import Words, grams, mix
 
 WINDOW = 50
@@ -183,7 +183,9 @@ def repeated_windows(df: DataFrame, key: str = "doc_id", text: str = "text", siz
     owner = F.min("__key").over(Window.partitionBy("high", "low"))  # as many rows as partitions at most, for each document's
     lost = asked.withColumn("__owner", owner).where("__key > __owner").select("__key", "at")
     lost = lost.union(found.select("__key", F.explode("gone").alias("at")))
-    return lost.groupBy("__key").agg(F.collect_list("at").alias("__at"))
+    lost = stored(lost.groupBy("__key").agg(F.array_sort(F.collect_set("at")).alias("__at")), "lost")
+    release(spark)
+    return lost
 
 
 def without(column: pa.Array, lost: list, size: int, spaced: bool) -> tuple[list, list, list]:
