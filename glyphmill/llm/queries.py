@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, jaccard, lines, media, packing, quality, substrings, urls
+from glyphmill.llm import bpe, jaccard, langid, lines, media, packing, quality, substrings, urls
 from glyphmill.llm.shared import texts
 
 
@@ -53,6 +53,13 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(documents(spark, sf_dir)).withColumn("n_bytes", F.octet_length("text").cast("long"))
     counted = bpe.count_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
@@ -188,6 +195,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_bpe_codec": op2_bpe_codec,
+    "op3_language_id": op3_language_id,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
