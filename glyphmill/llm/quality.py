@@ -42,6 +42,8 @@ MIN_WORDS, REPEATED = 50, 50
 #: Words that a text must have before a histogram judges it, and the distance that rejects it.
 CLASS_GUARD, CLASS_LIMIT = 50, 0.2
 WORD_GUARD, WORD_LIMIT = 80, 0.29
+#: References up to this many languages are broadcast (each at most a few kB); more are joined by shuffle.
+LANGUAGES = 1024
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -149,7 +151,9 @@ def word_distance() -> Column:
 def judged(features: DataFrame, lang: str = "lang") -> DataFrame:
     """features (stored) with class_distance, word_distance, base_failed and kept."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
-    joined = features.withColumn("__lang", F.coalesce(F.col(lang), F.lit(""))).join(references(features, lang), "__lang")
+    found = stored(references(features, lang), "references")
+    found = F.broadcast(found) if found.count() <= LANGUAGES else found
+    joined = features.withColumn("__lang", F.coalesce(F.col(lang), F.lit(""))).join(found, "__lang")
     out = joined.withColumns({
         "class_distance": F.when(F.col("n_words") > 0, class_distance()),
         "word_distance": F.when(F.col("n_words") > 0, word_distance()),
