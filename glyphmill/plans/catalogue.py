@@ -1,6 +1,448 @@
-"""Every query of the recognition dataflow by name, with the SQL that gives the same rows."""
+"""Every query of the recognition dataflow by name, over tables that stand in for its inputs, and SQL for the same rows.
+
+Stand-ins: `embeddings` as eight by eight probability maps and as logits of eight classes, `events` as quadrilaterals,
+`orders` as image sizes, `conversations` as character streams with a column for each character.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphmill.config import Config, DetConfig, GlobalConfig
+from glyphmill.functions import quads as Q
+from glyphmill.functions import sizing as S
+from glyphmill.operators import decode, raster, segment, shapes
+from glyphmill.plans.pipeline import Recognition, image_summary, ocr
+from glyphmill.schemas import CORNERS
+from glyphmill.sources import images, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+THRESH = 0.05
+CHARACTERS = ["a", "b", "c", "d", "e"]
+
+
+def query(sql: str | None = None):
+    def register(make):
+        name = make.__name__.removesuffix("_query")
+        QUERIES[name] = make
+        if sql:
+            ORACLES[name] = sql
+        return make
+
+    return register
+
+
+def logits(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    return rows.select(F.col("label").alias("line_id"), F.col("vec_id").alias("t"), F.slice("embedding", 1, 8).alias("probs"))
+
+
+def maps(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    return rows.select(F.col("vec_id").alias("image_id"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("embedding").alias("probs"))
+
+
+def boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Quadrilaterals of events, a hundred to an image of 2000 by 1200."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "value")
+    x0, y0 = ((F.col("event_id") * k) % m for k, m in ((37, 1900), (91, 1100)))
+    w, h, skew = F.lit(2.0) + F.col("value"), F.lit(3.0) + F.col("user_id") % 60, F.col("event_id") % 7 - 3
+    corner = {"x1": x0, "y1": y0, "x2": x0 + w, "y2": y0 + skew, "x3": x0 + w, "y3": y0 + h + skew, "x4": x0, "y4": y0 + h}
+    score = (F.col("event_id") * 7919) % 1000 / 1000.0
+    return e.select(F.expr("event_id DIV 100").alias("image_id"), F.col("event_id").alias("rank"), *(v.cast("double").alias(k) for k, v in corner.items()), score.alias("score"))
+
+
+def sizes(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select("o_orderkey", (20 + F.col("o_orderkey") % 4000).cast("int").alias("w"), (10 + F.col("o_custkey") % 3000).cast("int").alias("h"))
+
+
+def characters(spark: SparkSession, d: str) -> DataFrame:
+    """The first forty characters of each turn's first line, with columns that leave wide gaps at every tenth."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.substring(F.split("text", "\n")[0], 1, 40).alias("line"))
+    listed = c.where("line <> ''").select("conv_id", "turn", F.posexplode(F.split("line", "")).alias("pos", "ch")).where("ch <> ''")
+    return listed.withColumn("col", (F.col("pos") * 2 + F.expr("pos DIV 10") * 5).cast("int"))
+
+
+def segmented(spark: SparkSession, d: str) -> DataFrame:
+    return decode.segmented(characters(spark, d), F.when(F.col("ch").rlike("^[A-Za-z]$"), "letter").otherwise("other"), ["conv_id", "turn"])
+
+
+def rounded(columns: dict[str, Column], places: int = 4) -> list[Column]:
+    return [F.round(v, places).alias(k) for k, v in columns.items()]
+
+
+LOGITS_SQL = """
+WITH steps AS (
+    SELECT label AS line_id, vec_id AS t, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS p FROM embeddings
+), best AS (
+    SELECT line_id, t, list_position(p, list_max(p)) - 1 AS token, list_max(p) AS prob FROM steps
+), kept AS (
+    SELECT * FROM (SELECT *, lag(token) OVER (PARTITION BY line_id ORDER BY t) AS before FROM best) WHERE token <> 0 AND token IS DISTINCT FROM before
+)"""
+
+
+@query(LOGITS_SQL + " SELECT l.line_id, count(k.t) AS n_kept, round(coalesce(avg(round(k.prob, 5)), 0), 6) AS score FROM (SELECT DISTINCT line_id FROM steps) l LEFT JOIN kept k USING (line_id) GROUP BY l.line_id")
+def ctc_decode(spark: SparkSession, d: str) -> DataFrame:
+    steps = logits(spark, d).withColumn("probs", F.transform("probs", lambda v: v.cast("double")))
+    kept = decode.kept_tokens(steps).groupBy("line_id").agg(F.count("*").alias("n_kept"), F.avg(F.round("prob", 5)).alias("score"))
+    return steps.select("line_id").distinct().join(kept, "line_id", "left").select("line_id", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+
+
+@query(LOGITS_SQL + """, dict AS (SELECT unnest(range(0, 7)) AS class_id, unnest(['blank', 'a', 'b', 'c', 'd', 'e', ' ']) AS ch)
+SELECT l.line_id, coalesce(string_agg(ch, '' ORDER BY k.t), '') AS text, round(coalesce(avg(round(k.prob, 5)), 0), 6) AS score
+FROM (SELECT DISTINCT line_id FROM steps) l LEFT JOIN kept k USING (line_id) LEFT JOIN dict ON class_id = token GROUP BY l.line_id""")
+def ctc_text(spark: SparkSession, d: str) -> DataFrame:
+    steps = logits(spark, d).withColumn("probs", F.transform("probs", lambda v: v.cast("double")))
+    tokens = decode.with_characters(decode.kept_tokens(steps), images.dictionary_of(spark, CHARACTERS))
+    return decode.line_texts(steps.select("line_id").distinct(), tokens).withColumn("score", F.round("score", 6))
+
+
+CHARS_SQL = r"""
+WITH lines AS (SELECT conv_id, turn, string_split(text, chr(10))[1][1:40] AS line FROM conversations), chars AS (
+    SELECT conv_id, turn, pos - 1 AS pos, line[pos:pos] AS ch, ((pos - 1) * 2 + (pos - 1) // 10 * 5)::INT AS col FROM lines, unnest(range(1, length(line) + 1)) AS u(pos) WHERE line <> ''
+), steps AS (
+    SELECT *, CASE WHEN regexp_matches(ch, '^[A-Za-z]$') THEN 'letter' ELSE 'other' END AS kind, col - lag(col) OVER w AS gap,
+           regexp_matches(ch, '^\s$') AS space, coalesce(regexp_matches(lag(ch) OVER w, '^\s$'), false) AS after_space FROM chars WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)
+), marked AS (
+    SELECT *, (after_space OR coalesce(gap, 0) > 5 OR lag(kind) OVER w IS DISTINCT FROM kind)::INT AS b FROM steps WHERE NOT space WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)
+), solid AS (SELECT *, sum(b) OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS word FROM marked)
+, words AS (
+    SELECT conv_id, turn, word, string_agg(ch, '' ORDER BY pos) AS text, any_value(kind) AS kind, count(*) AS n_chars, min(col) AS first_col, max(col) AS last_col FROM solid GROUP BY ALL
+)"""
+
+
+@query(CHARS_SQL + " SELECT conv_id, turn, word::BIGINT AS word, text, kind, n_chars, first_col, last_col FROM words")
+def word_segments(spark: SparkSession, d: str) -> DataFrame:
+    found = decode.words(segmented(spark, d), ["conv_id", "turn"])
+    return found.select("conv_id", "turn", "word", "text", "kind", F.col("n_chars").cast("long").alias("n_chars"), F.col("cols")[0].alias("first_col"), F.element_at("cols", -1).alias("last_col"))
+
+
+LINE_WIDTH, LINE_COLUMNS = 400.0, 100
+BOX_SQL = CHARS_SQL + """
+, widths AS (
+    SELECT conv_id, turn, coalesce(avg(CASE WHEN n_chars > 1 THEN (last_col - first_col) * 4.0::DOUBLE / (n_chars - 1) END), 400.0 / sum(n_chars)) AS cw FROM words GROUP BY ALL
+), cells AS (
+    SELECT conv_id, turn, pos, word, ch, greatest((col + 0.5) * 4.0::DOUBLE - cw / 2, 0) + (conv_id * 37) % 500 AS l, least((col + 0.5) * 4.0::DOUBLE + cw / 2, 400) + (conv_id * 37) % 500 AS r FROM solid JOIN widths USING (conv_id, turn)
+)"""
+
+
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    """Characters with the left and right of their cells in a line 400 wide and 100 columns long."""
+    line, x0, col_width = ["conv_id", "turn"], F.col("conv_id") * 37 % 500.0, F.lit(LINE_WIDTH / LINE_COLUMNS)
+    solid = segmented(spark, d)
+    found = decode.words(solid, line)
+    fallback = found.groupBy(*line).agg(F.sum("n_chars").alias("n"))
+    width = decode.average_width(found, line, col_width).join(fallback, line).select(*line, F.coalesce("char_width", LINE_WIDTH / F.col("n")).alias("char_width"))
+    left, right = decode.cell(F.col("col"), col_width, F.col("char_width"), x0, x0 + LINE_WIDTH)
+    return solid.join(width, line).withColumns({"left": left, "right": right})
+
+
+@query(BOX_SQL + " SELECT conv_id, turn, pos, ch, round(l, 4) AS left_x, round(r, 4) AS right_x FROM cells")
+def char_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return cells(spark, d).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "ch", F.round("left", 4).alias("left_x"), F.round("right", 4).alias("right_x"))
+
+
+@query(BOX_SQL + " SELECT conv_id, turn, word::BIGINT AS word, string_agg(ch, '' ORDER BY pos) AS text, round(min(l), 4) AS left_x, round(max(r), 4) AS right_x FROM cells GROUP BY conv_id, turn, word")
+def word_boxes(spark: SparkSession, d: str) -> DataFrame:
+    chars = F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda s: s["ch"])
+    found = cells(spark, d).groupBy("conv_id", "turn", "word").agg(F.array_join(chars, "").alias("text"), F.min("left").alias("l"), F.max("right").alias("r"))
+    return found.select("conv_id", "turn", "word", "text", F.round("l", 4).alias("left_x"), F.round("r", 4).alias("right_x"))
+
+
+SIZE_SQL = "WITH s AS (SELECT o_orderkey, (20 + o_orderkey % 4000)::INT AS w, (10 + o_custkey % 3000)::INT AS h FROM orders)"
+
+
+@query(SIZE_SQL + """, a AS (
+    SELECT *, CASE WHEN greatest(h, w) > 2000 THEN floor(floor(h * (2000.0::DOUBLE / greatest(h, w))) / 32 + 0.5) * 32 ELSE h END AS h1,
+           CASE WHEN greatest(h, w) > 2000 THEN floor(floor(w * (2000.0::DOUBLE / greatest(h, w))) / 32 + 0.5) * 32 ELSE w END AS w1 FROM s
+), b AS (
+    SELECT *, CASE WHEN least(h1, w1) < 30 THEN floor(floor(h1 * (30.0::DOUBLE / nullif(least(h1, w1), 0))) / 32 + 0.5) * 32 ELSE h1 END AS h2,
+           CASE WHEN least(h1, w1) < 30 THEN floor(floor(w1 * (30.0::DOUBLE / nullif(least(h1, w1), 0))) / 32 + 0.5) * 32 ELSE w1 END AS w2 FROM a
+), c AS (SELECT *, least(h1, w1) > 0 AND coalesce(least(h2, w2) > 0, false) AS ok, CASE WHEN least(h1, w1) < 30 THEN h1 ELSE h END AS bh, CASE WHEN least(h1, w1) < 30 THEN w1 ELSE w END AS bw FROM b)
+SELECT o_orderkey, CASE WHEN ok THEN h2::INT END AS new_h, CASE WHEN ok THEN w2::INT END AS new_w, CASE WHEN ok THEN round(bh / h2, 6) END AS ratio_h,
+       CASE WHEN ok THEN round(bw / w2, 6) END AS ratio_w, CASE WHEN ok THEN 'ok' ELSE 'preprocess_error' END AS status FROM c""")
+def resize_bounds(spark: SparkSession, d: str) -> DataFrame:
+    out = S.bounded_size(F.col("h"), F.col("w"))
+    return sizes(spark, d).select("o_orderkey", out["new_h"].alias("new_h"), out["new_w"].alias("new_w"), F.round(out["ratio_h"], 6).alias("ratio_h"), F.round(out["ratio_w"], 6).alias("ratio_w"), out["status"].alias("status"))
+
+
+@query(SIZE_SQL + " SELECT o_orderkey, (CASE WHEN h <= 30 OR w::DOUBLE / h > 8 THEN abs(greatest(floor(w / 8.0), 30) * 2 - h)::INT // 2 ELSE 0 END)::INT AS padding FROM s")
+def vertical_padding(spark: SparkSession, d: str) -> DataFrame:
+    return sizes(spark, d).select("o_orderkey", S.vertical_padding(F.col("h"), F.col("w")).alias("padding"))
+
+
+@query(SIZE_SQL + """, l AS (SELECT *, CASE WHEN greatest(h, w) < 960 THEN 960 WHEN greatest(h, w) < 1500 THEN 1500 ELSE 2000 END AS most FROM s)
+SELECT o_orderkey, most AS max_limit, (floor(floor(h * greatest(1, 736.0::DOUBLE / least(h, w))) / 32 + 0.5) * 32)::INT AS min_h, (floor(floor(w * greatest(1, 736.0::DOUBLE / least(h, w))) / 32 + 0.5) * 32)::INT AS min_w,
+       (floor(floor(h * least(1, most::DOUBLE / greatest(h, w))) / 32 + 0.5) * 32)::INT AS max_h, (floor(floor(w * least(1, most::DOUBLE / greatest(h, w))) / 32 + 0.5) * 32)::INT AS max_w FROM l""")
+def det_input_shape(spark: SparkSession, d: str) -> DataFrame:
+    h, w, by_max = F.col("h"), F.col("w"), DetConfig(limit_type="max")
+    small, large = S.detector_size(h, w), S.detector_size(h, w, by_max)
+    return sizes(spark, d).select("o_orderkey", S.detector_limit(h, w, by_max).alias("max_limit"), small[0].alias("min_h"), small[1].alias("min_w"), large[0].alias("max_h"), large[1].alias("max_w"))
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda v: round((trunc(abs(v::DOUBLE) * 255) / 255 - 0.5) / 0.5, 6)) AS planes FROM embeddings")
+def normalize_pixels(spark: SparkSession, d: str) -> DataFrame:
+    grey = F.transform("embedding", lambda v: F.floor(F.abs(v.cast("double")) * 255))
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform(grey, lambda v: F.round((v / 255 - 0.5) / 0.5, 6)).alias("planes"))
+
+
+QUAD_SQL = """
+WITH e AS (SELECT event_id, (event_id * 37) % 1900 AS x0, (event_id * 91) % 1100 AS y0, 2.0::DOUBLE + value AS w, 3.0::DOUBLE + user_id % 60 AS h, event_id % 7 - 3 AS skew FROM events), q AS (
+    SELECT event_id // 100 AS image_id, event_id AS rank, x0::DOUBLE AS x1, y0::DOUBLE AS y1, x0 + w AS x2, (y0 + skew)::DOUBLE AS y2, x0 + w AS x3, y0 + h + skew AS y3, x0::DOUBLE AS x4, y0 + h AS y4,
+           (event_id * 7919) % 1000 / 1000.0::DOUBLE AS score FROM e
+)"""
+AREA_SQL = "abs(x1 * y2 - x2 * y1 + x2 * y3 - x3 * y2 + x3 * y4 - x4 * y3 + x4 * y1 - x1 * y4) / 2"
+
+
+def side_sql(i: int, j: int) -> str:
+    return f"sqrt((x{i} - x{j}) ** 2 + (y{i} - y{j}) ** 2)"
+
+
+AROUND_SQL = " + ".join(side_sql(i % 4 + 1, i) for i in (1, 2, 3, 4))
+
+
+@query(QUAD_SQL + f" SELECT rank, round({AREA_SQL}, 4) AS area, round({AROUND_SQL}, 4) AS perimeter FROM q")
+def quad_area_perimeter(spark: SparkSession, d: str) -> DataFrame:
+    return boxes(spark, d).select("rank", F.round(Q.area(), 4).alias("area"), F.round(Q.perimeter(), 4).alias("perimeter"))
+
+
+@query(QUAD_SQL + f", u AS (SELECT *, {AREA_SQL} * 1.6 / nullif({AROUND_SQL}, 0) AS dist FROM q) SELECT rank, round(dist, 4) AS distance, round(x2 - x1 + 2 * dist, 4) AS new_w, round(y4 - y1 + 2 * dist, 4) AS new_h FROM u")
+def unclip(spark: SparkSession, d: str) -> DataFrame:
+    distance = Q.unclip_distance()
+    return boxes(spark, d).select("rank", F.round(distance, 4).alias("distance"), F.round(F.col("x2") - F.col("x1") + 2 * distance, 4).alias("new_w"), F.round(F.col("y4") - F.col("y1") + 2 * distance, 4).alias("new_h"))
+
+
+SHUFFLED = {"x1": "x3", "y1": "y3", "x2": "x1", "y2": "y1", "x3": "x4", "y3": "y4", "x4": "x2", "y4": "y2"}
+
+
+@query(QUAD_SQL + """, r AS (SELECT rank, list_sort([(x3, 0, y3), (x1, 1, y1), (x4, 2, y4), (x2, 3, y2)]) AS p FROM q)
+, s AS (SELECT rank, CASE WHEN p[1][3] > p[2][3] THEN p[2] ELSE p[1] END AS a, CASE WHEN p[1][3] > p[2][3] THEN p[1] ELSE p[2] END AS dd, CASE WHEN p[3][3] > p[4][3] THEN p[4] ELSE p[3] END AS b, CASE WHEN p[3][3] > p[4][3] THEN p[3] ELSE p[4] END AS c FROM r)
+SELECT rank, round(a[1], 4) AS x1, round(a[3], 4) AS y1, round(b[1], 4) AS x2, round(b[3], 4) AS y2, round(c[1], 4) AS x3, round(c[3], 4) AS y3, round(dd[1], 4) AS x4, round(dd[3], 4) AS y4 FROM s""")
+def order_points(spark: SparkSession, d: str) -> DataFrame:
+    mixed = boxes(spark, d).select("rank", *(F.col(v).alias(k) for k, v in SHUFFLED.items()))
+    out = Q.ordered()
+    return mixed.select("rank", *rounded({c: out[c] for c in CORNERS}))
+
+
+@query(QUAD_SQL + " SELECT rank, " + ", ".join(f"round(greatest(least(x{n}, 1799), 0), 4) AS x{n}, round(greatest(least(y{n}, 999), 0), 4) AS y{n}" for n in (1, 2, 3, 4)) + " FROM q")
+def clip_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return boxes(spark, d).select("rank", *rounded(Q.clipped(F.lit(1800), F.lit(1000))))
+
+
+@query(QUAD_SQL + " SELECT rank, " + ", ".join(f"round(x{n} * (1600.0::DOUBLE / 736), 4) AS x{n}, round(y{n} * (1200.0::DOUBLE / 480), 4) AS y{n}" for n in (1, 2, 3, 4)) + " FROM q")
+def scale_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return boxes(spark, d).select("rank", *rounded(Q.scaled(F.lit(1600 / 736), F.lit(1200 / 480))))
+
+
+@query(QUAD_SQL + " SELECT rank, " + ", ".join(f"round(least(greatest(x{n} * 0.75::DOUBLE, 0), 1500), 4) AS x{n}, round(least(greatest(y{n} * 0.625::DOUBLE - 60, 0), 700), 4) AS y{n}" for n in (1, 2, 3, 4)) + " FROM q")
+def unmap_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return boxes(spark, d).select("rank", *rounded(Q.unmapped(F.lit(0.625), F.lit(0.75), F.lit(60.0), F.lit(1500), F.lit(700))))
+
+
+@query(QUAD_SQL + ", r AS (SELECT rank, x1 AS cx, y1 AS cy, x2 - x1 AS w, y4 - y1 AS h, radians((rank % 180)::DOUBLE) AS a FROM q) SELECT rank, " + ", ".join(
+    f"round(cx + {sx} * w / 2 * cos(a) - {sy} * h / 2 * sin(a), 4) AS x{n}, round(cy + {sx} * w / 2 * sin(a) + {sy} * h / 2 * cos(a), 4) AS y{n}" for n, (sx, sy) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1)), 1)) + " FROM r")
+def rotated_corners(spark: SparkSession, d: str) -> DataFrame:
+    out = Q.rectangle(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y4") - F.col("y1"), (F.col("rank") % 180).cast("double"))
+    return boxes(spark, d).select("rank", *rounded({c: out[c] for c in CORNERS}))
+
+
+CROP_SQL = f", k AS (SELECT *, trunc(greatest({side_sql(1, 2)}, {side_sql(3, 4)}))::INT AS cw, trunc(greatest({side_sql(1, 4)}, {side_sql(2, 3)}))::INT AS ch FROM q)"
+
+
+@query(QUAD_SQL + CROP_SQL + " SELECT rank, CASE WHEN ch::DOUBLE / cw >= 1.5 THEN ch ELSE cw END AS crop_w, CASE WHEN ch::DOUBLE / cw >= 1.5 THEN cw ELSE ch END AS crop_h, ch::DOUBLE / cw >= 1.5 AS rotated FROM k")
+def crop_dims(spark: SparkSession, d: str) -> DataFrame:
+    return boxes(spark, d).select("rank", *(v.alias(k) for k, v in Q.crop_size().items()))
+
+
+@query(QUAD_SQL + f" SELECT image_id, rank, score FROM q WHERE least(trunc({side_sql(1, 2)}), trunc({side_sql(1, 4)})) >= 3 AND score >= 0.5 AND trunc({side_sql(1, 2)}) > 3 AND trunc({side_sql(1, 4)}) > 3")
+def box_filter_chain(spark: SparkSession, d: str) -> DataFrame:
+    shortest = F.least(S.whole(Q.side(0, 1)), S.whole(Q.side(0, 3)))
+    return boxes(spark, d).where((shortest >= 3) & (F.col("score") >= 0.5) & Q.long_enough()).select("image_id", "rank", "score")
+
+
+@query(QUAD_SQL + " SELECT image_id, rank, (row_number() OVER (PARTITION BY image_id ORDER BY floor(y1), floor(x1), rank) - 1)::INT AS box_id FROM q")
+def reading_order(spark: SparkSession, d: str) -> DataFrame:
+    return decode.reading_order(boxes(spark, d)).select("image_id", "rank", "box_id")
+
+
+@query(QUAD_SQL + f" SELECT image_id, label, rank::INT AS rank FROM (SELECT image_id, rank AS label, row_number() OVER (PARTITION BY image_id ORDER BY round({AREA_SQL}, 6) DESC, rank) AS rank FROM q) WHERE rank <= 10")
+def candidate_topk(spark: SparkSession, d: str) -> DataFrame:
+    shapes_ = boxes(spark, d).select("image_id", F.col("rank").alias("label"), F.round(Q.area(), 6).alias("area"))
+    return segment.candidates(shapes_, 10).select("image_id", "label", "rank")
+
+
+@query(QUAD_SQL + CROP_SQL + """, r AS (SELECT image_id, rank, CASE WHEN ch > 0 THEN cw::DOUBLE / ch ELSE 1 END AS ratio FROM k)
+, b AS (SELECT *, ((row_number() OVER (PARTITION BY image_id ORDER BY ratio, rank) - 1) // 6)::INT AS batch_id FROM r)
+, m AS (SELECT *, greatest(320.0::DOUBLE / 48, max(ratio) OVER (PARTITION BY image_id, batch_id)) AS most FROM b)
+SELECT rank, batch_id, round(most, 6) AS max_ratio, floor(48 * most + 0.5)::INT AS batch_width, least(ceil(48 * ratio), floor(48 * most + 0.5))::INT AS own_width FROM m""")
+def rec_batches(spark: SparkSession, d: str) -> DataFrame:
+    w, h = S.whole(F.greatest(Q.side(0, 1), Q.side(2, 3))), S.whole(F.greatest(Q.side(0, 3), Q.side(1, 2)))
+    crops = boxes(spark, d).select("image_id", F.col("rank").alias("box_id"), F.coalesce(F.try_divide(w.cast("double"), h), F.lit(1.0)).alias("ratio"))
+    wide = F.floor(48 * F.col("max_ratio") + 0.5).cast("int")
+    return decode.recognition_batches(crops).select(F.col("box_id").alias("rank"), "batch_id", F.round("max_ratio", 6).alias("max_ratio"), wide.alias("batch_width"), F.least(F.ceil(48 * F.col("ratio")).cast("int"), wide).alias("own_width"))
+
+
+MASK_SQL = f"""
+WITH RECURSIVE px AS MATERIALIZED (SELECT vec_id AS image_id, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x, embedding[i]::DOUBLE AS p FROM embeddings, unnest(range(1, 65)) AS u(i)), fg AS MATERIALIZED (SELECT image_id, y, x FROM px WHERE p > {THRESH})"""
+
+
+@query(MASK_SQL + " SELECT * FROM fg")
+def threshold_mask(spark: SparkSession, d: str) -> DataFrame:
+    return segment.mask(segment.pixels(maps(spark, d)), THRESH).select("image_id", "y", "x")
+
+
+@query(MASK_SQL + " SELECT DISTINCT image_id, (y - dy)::INT AS y, (x - dx)::INT AS x FROM fg, unnest([0, 1]) AS a(dy), unnest([0, 1]) AS b(dx) WHERE y >= dy AND x >= dx")
+def dilate_mask(spark: SparkSession, d: str) -> DataFrame:
+    return segment.dilated(segment.mask(segment.pixels(maps(spark, d)), THRESH))
+
+
+LABEL_SQL = MASK_SQL + """, reach AS (
+    SELECT image_id, y, x, y * 8 + x AS root FROM fg
+    UNION SELECT f.image_id, f.y, f.x, r.root FROM reach r JOIN fg f ON f.image_id = r.image_id AND abs(f.y - r.y) + abs(f.x - r.x) = 1
+), comp AS MATERIALIZED (SELECT image_id, y, x, min(root) AS root FROM reach GROUP BY ALL)
+, lab AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY root)::INT AS label FROM comp)
+, edge AS (SELECT a.*, (SELECT count(*) FROM lab b WHERE b.image_id = a.image_id AND b.label = a.label AND abs(a.y - b.y) + abs(a.x - b.x) = 1) < 4 AS is_boundary FROM lab a)"""
+
+
+@query(LABEL_SQL + " SELECT image_id, label, y, x, is_boundary FROM edge")
+def components(spark: SparkSession, d: str) -> DataFrame:
+    return segment.components(maps(spark, d), THRESH)
+
+
+@query(LABEL_SQL + """, ring AS (
+    SELECT image_id, label, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM edge WHERE is_boundary WINDOW w AS (PARTITION BY image_id, label ORDER BY y, x)
+), s AS (SELECT image_id, label, count(*) AS boundary, sum(x * ny - nx * y) AS s FROM ring GROUP BY ALL)
+SELECT image_id, label, pixels, boundary, CASE WHEN boundary < 3 THEN 0.0::DOUBLE ELSE abs(s)::DOUBLE / 2 END AS area FROM s JOIN (SELECT image_id, label, count(*) AS pixels FROM lab GROUP BY ALL) USING (image_id, label)""")
+def contour_area(spark: SparkSession, d: str) -> DataFrame:
+    return segment.contour_areas(segment.components(maps(spark, d), THRESH))
+
+
+SCORED = [(1.0, 1.0, 6.0, 2.0, 5.0, 7.0, 0.5, 6.0), (0.0, 0.0, 8.0, 0.0, 8.0, 3.0, 0.0, 3.0), (3.2, 3.2, 3.4, 3.2, 3.4, 3.4, 3.2, 3.4)]
+
+
+def inside_sql(corners: tuple) -> str:
+    tests = []
+    for i in range(4):
+        xi, yi, xj, yj = (float(v) for v in (*corners[2 * i : 2 * i + 2], *corners[2 * i - 2 : 2 * i or None][:2]))
+        if yi != yj:
+            tests.append(f"(({yi} > y + 0.5) <> ({yj} > y + 0.5) AND x + 0.5 < ({xj}::DOUBLE - {xi}) * (y + 0.5::DOUBLE - {yi}) / ({yj}::DOUBLE - {yi}) + {xi})::INT")
+    return f"({' + '.join(tests)}) % 2 = 1"
+
+
+@query(MASK_SQL + " " + " UNION ALL ".join(f"SELECT image_id, {n} AS quad, round(coalesce(avg(p) FILTER (WHERE {inside_sql(c)}), 0), 6) AS score FROM px GROUP BY image_id" for n, c in enumerate(SCORED)))
+def box_score(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of each map inside three fixed quadrilaterals: pixels against boxes by image, in expressions alone."""
+    quads = F.explode(F.array(*(F.struct(F.lit(n).alias("quad"), *(F.lit(v).alias(c) for c, v in zip(CORNERS, q, strict=True))) for n, q in enumerate(SCORED)))).alias("q")
+    rows = segment.pixels(maps(spark, d)).select("image_id", "y", "x", "p", quads).select("image_id", "y", "x", "p", "q.*")
+    hit = F.when(Q.holds(F.col("x") + 0.5, F.col("y") + 0.5), F.col("p"))
+    return rows.groupBy("image_id", "quad").agg(F.round(F.coalesce(F.avg(hit), F.lit(0.0)), 6).alias("score"))
+
+
+def outlines(spark: SparkSession, d: str) -> DataFrame:
+    points = F.array_sort(F.collect_list(F.struct("y", "x")))
+    edge = segment.components(maps(spark, d), THRESH).where("is_boundary").groupBy("image_id", "label").agg(points.alias("s")).where(F.size("s") >= 4)
+    return edge.select("image_id", "label", F.transform("s", lambda p: p["x"]).alias("xs"), F.transform("s", lambda p: p["y"]).alias("ys"))
+
+
+@query(LABEL_SQL + """, big AS MATERIALIZED (SELECT image_id, label, x, y FROM edge WHERE is_boundary QUALIFY count(*) OVER (PARTITION BY image_id, label) >= 4)
+, dir AS (SELECT DISTINCT a.image_id, a.label, b.x - a.x AS dx, b.y - a.y AS dy FROM big a JOIN big b USING (image_id, label) WHERE (a.x, a.y) <> (b.x, b.y))
+, hull AS (SELECT d.image_id, d.label, dx, dy, max(p.x * dx + p.y * dy) - min(p.x * dx + p.y * dy) AS u, max(p.y * dx - p.x * dy) - min(p.y * dx - p.x * dy) AS v FROM dir d JOIN big p USING (image_id, label) GROUP BY ALL)
+SELECT image_id, label, round(min(u * v::DOUBLE / (dx * dx + dy * dy)), 4) AS rect_area FROM hull GROUP BY image_id, label""")
+def min_area_rect(spark: SparkSession, d: str) -> DataFrame:
+    """The smallest rectangle's area. SQL tries the directions of all pairs of points: no other is smaller than one along an edge."""
+    found = shapes.rectangles(outlines(spark, d), ["image_id", "label"], truncate=False)
+    return found.select("image_id", "label", F.round(F.col("w") * F.col("h"), 4).alias("rect_area"))
+
+
+@query()
+def convex_hull(spark: SparkSession, d: str) -> DataFrame:
+    return shapes.rectangles(outlines(spark, d), ["image_id", "label"]).select("image_id", "label", "hull_points", "hull_area")
+
+
+def results(spark: SparkSession, d: str) -> DataFrame:
+    """Lines in reading order with scores and a text each, as recognition would give them."""
+    kept = decode.reading_order(boxes(spark, d).where("score >= 0.5"))
+    return kept.select("image_id", "box_id", F.concat(F.lit("line "), F.col("rank").cast("string")).alias("text"), "score", *CORNERS)
+
+
+RESULT_SQL = QUAD_SQL + ", res AS (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY floor(y1), floor(x1), rank) - 1)::INT AS box_id, 'line ' || rank AS text FROM q WHERE score >= 0.5)"
+
+
+@query(RESULT_SQL + ", i AS (SELECT DISTINCT event_id // 50 AS image_id FROM events) SELECT i.image_id, count(text) AS n_lines, coalesce(sum(length(text)), 0)::BIGINT AS n_chars, round(coalesce(avg(score), 0), 6) AS mean_score FROM i LEFT JOIN res USING (image_id) GROUP BY i.image_id")
+def image_summary_query(spark: SparkSession, d: str) -> DataFrame:
+    """Half of these images have no lines and stay."""
+    all_images = spark.read.parquet(f"{d}/events.parquet").select(F.expr("event_id DIV 50").alias("image_id"))
+    return image_summary(all_images, results(spark, d)).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query(RESULT_SQL + " SELECT image_id, box_id, text || chr(9) || printf('%.3f', score) || chr(9) || printf('%.1f,%.1f,%.1f,%.1f,%.1f,%.1f,%.1f,%.1f', x1, y1, x2, y2, x3, y3, x4, y4) AS value FROM (SELECT * REPLACE (" + ", ".join(f"floor({c} * 4) / 4 + 0.01 AS {c}" for c in CORNERS) + ") FROM res)")
+def format_tsv(spark: SparkSession, d: str) -> DataFrame:
+    """Corners stand clear of halves, which the two engines' formatters round differently."""
+    return sinks.as_tsv(results(spark, d).withColumns({c: F.floor(F.col(c) * 4) / 4 + 0.01 for c in CORNERS}))
+
+
+@query(RESULT_SQL + " SELECT image_id, string_agg(text, chr(10) ORDER BY box_id) AS value FROM res GROUP BY image_id")
+def format_text(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.as_text(results(spark, d))
+
+
+@query()
+def format_json(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.as_json(results(spark, d))
+
+
+@query(RESULT_SQL + " SELECT image_id, box_id, text, round(score, 6) AS score, round(x1, 4) AS x1, round(y3, 4) AS y3 FROM res")
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    back = sinks.from_json_rows(sinks.to_json_rows(results(spark, d)))
+    return back.select("image_id", "box_id", "text", F.round("score", 6).alias("score"), F.round("x1", 4).alias("x1"), F.round("y3", 4).alias("y3"))
+
+
+def pictures(spark: SparkSession, d: str, scale: int = 16) -> DataFrame:
+    """Each map as a grey image, `scale` pixels to a value."""
+
+    def draw(batches):
+        for batch in batches:
+            data = []
+            for probs in batch.column("probs").to_pylist():
+                grey = np.kron(np.clip(np.abs(np.array(probs)) * 600, 0, 255).astype(np.uint8).reshape(8, 8), np.ones((scale, scale), np.uint8))
+                data.append(np.repeat(grey[:, :, None], 3, 2).tobytes())
+            n, side = len(data), 8 * scale
+            columns = [batch.column("image_id"), *(pa.array([v] * n, pa.int32()) for v in (side, side, 3)), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["image_id", "height", "width", "nChannels", "data"])
+
+    return maps(spark, d).mapInArrow(draw, "image_id long, height int, width int, nChannels int, data binary")
+
+
+@query()
+def resize_pixels(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels(pictures(spark, d, 4), lambda img: raster.resize(img, 20, 48))
+
+
+@query()
+def warp_crop(spark: SparkSession, d: str) -> DataFrame:
+    quad = np.array([(3.0, 2.0), (27.0, 5.0), (25.0, 20.0), (2.0, 17.0)])
+    return _pixels(pictures(spark, d, 4), lambda img: raster.crop(img, quad))
+
+
+def _pixels(rows: DataFrame, kernel) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            made = [kernel(images.pixels_of(r["height"], r["width"], r["nChannels"], r["data"])) for r in batch.to_pylist()]
+            columns = [pa.array([m.shape[0] for m in made], pa.int32()), pa.array([m.shape[1] for m in made], pa.int32()), pa.array([float(m.mean()) for m in made])]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), *columns], names=["image_id", "height", "width", "mean"])
+
+    return rows.mapInArrow(run, "image_id long, height int, width int, mean double")
+
+
+@query()
+def ocr_e2e(spark: SparkSession, d: str) -> DataFrame:
+    settings = Config(det=DetConfig(limit_type="max", box_thresh=0.3), glob=GlobalConfig(text_score=0.3))
+    return ocr(pictures(spark, d), Recognition(config=settings))
