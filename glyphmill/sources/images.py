@@ -49,7 +49,7 @@ def png(pixels: np.ndarray) -> bytes:
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
     """class_id and ch: blank first, the file's lines in order, a space last."""
     lines = F.split(F.regexp_replace("value", "\\r?\\n$", ""), "\\r?\\n")
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     listed = F.concat(F.array(F.lit("blank")), lines, F.array(F.lit(" ")))
     return whole.select(F.posexplode(listed).alias("class_id", "ch"))
 
