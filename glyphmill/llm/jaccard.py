@@ -40,6 +40,8 @@ FANOUT = 16
 LOCAL, HEAVY = 12, 1 << 17
 #: Bits of a bitmap for each token, before rounding up to a power of two.
 DENSITY = 4
+#: Blocks carry bitmaps of the tokens of one residue of this many; all others count as tokens that may be shared.
+SAMPLED = 4
 
 
 def token_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +141,8 @@ def sketches(df: DataFrame, key: str, text: str, n: int, t: int) -> DataFrame:
             p = prefix_length(b - a, t) if b > a else 0
             rare = own[~common[a:b]][:p]
             prefixes.append(np.concatenate([rare, own[common[a:b]][: p - len(rare)]]))
-            bitmaps.append(bitmap(own, width(b - a)).tobytes() if b > a else b"")
+            some = own[(own >> np.uint64(40)) % np.uint64(SAMPLED) == 0]
+            bitmaps.append(bitmap(some, width(max(1, len(some)))).tobytes())
         digest = [(d[ends[1:]] - d[ends[:-1]]).view(np.int64) for d in (d1, d2)]
         return [np.diff(ends), *digest, _lists(bands, pa.int64()), _lists(prefixes, pa.int64()), bitmaps]
 
@@ -172,8 +175,9 @@ class Groups:
 class SignatureTree:
     """Members in order of size, FANOUT to a node, level upon level; a node ORs bitmaps and keeps the range of sizes.
 
-    spare is the most tokens that any member of a node has beyond its set bits: two members share at most
-    as many tokens as their nodes share bits, and spare ones besides.
+    spare is the most tokens that any member of a node has beyond its set bits (two tokens on one bit, or tokens
+    that its bitmap leaves out): two members share at most as many tokens as their nodes share bits, and spare
+    ones besides.
     """
 
     def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray, t: int):
@@ -302,13 +306,14 @@ def block_pairs(reps: DataFrame, t: int) -> DataFrame:
 
     reps: __key, n, cluster, prefix, bitmap.
     """
-    size_band = F.floor(F.log("n") / -np.log(t / 100 * (1 - 1e-9)))
+    wide = -8 * np.log(t / 100 * (1 - 1e-9))  # similar sets are in one band, or the larger near the lower end of the next
+    home, guest = (F.floor(F.log(F.col("n") * part) / wide) for part in (1.0, t / 100 * (1 - 1e-9)))
     tokens = reps.select("__key", "cluster", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token")
     found = tokens.join(shared, "token").select("__key", "token")
-    found = found.join(reps.select("__key", "n", "cluster", "bitmap"), "__key").withColumn("band", size_band)
-    # a set meets those of its own band at home, and those of the band below as a guest
-    found = stored(found.withColumn("home", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("band", F.col("band") - F.when(F.col("home"), 0).otherwise(1)), "blocks")
+    found = found.join(reps.select("__key", "n", "cluster", "bitmap"), "__key")
+    bands = F.array(F.struct(home.alias("band"), F.lit(True).alias("home")), F.when(home != guest, F.struct(guest.alias("band"), F.lit(False).alias("home"))))
+    found = stored(found.withColumn("b", F.explode(F.array_compact(bands))).select("*", "b.*").drop("b"), "blocks")
     release(reps.sparkSession)
     sized = found.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.max("home").alias("any"))
     sized = sized.where("low < high AND any").select("token", "band", F.ceil(F.col("size") / CHUNK).alias("chunks"))
