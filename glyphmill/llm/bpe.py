@@ -217,14 +217,11 @@ class Lockstep:
                 if not going.any():
                     return
                 parts, bounds, ranks, which, i, low = parts[going], bounds[going], ranks[going], which[going], i[going], low[going]
-            rows = np.arange(len(i))
+            # every word left loses one part, so the arrays lose one column
+            rows, columns = np.arange(len(i)), columns[:-1]
             step = columns + (columns > i[:, None])
-            step[:, -1] = width - 1
-            parts = np.take_along_axis(parts, step, 1)
-            bounds = np.take_along_axis(bounds, step, 1)
-            step = columns + (columns >= i[:, None])
-            step[:, -1] = width - 1
-            ranks = np.take_along_axis(ranks, step, 1)
+            parts, bounds = np.take_along_axis(parts, step, 1), np.take_along_axis(bounds, step, 1)
+            ranks = np.take_along_axis(ranks, columns + (columns >= i[:, None]), 1)
             parts[rows, i] = left = self.merged[low]
             after = bounds[rows, i + 1] < bounds[:, -1]  # a part follows
             ranks[rows, i] = np.where(after, self.rank(left, parts[rows, i + 1]), self.none)
