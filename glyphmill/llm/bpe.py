@@ -283,7 +283,7 @@ class Encoder:
         return b"".join([of[i] for i in ids]).decode("utf-8", "replace")
 
 
-def batches(texts: list[str], most: int = 1 << 21):
+def batches(texts: list[str], most: int = 1 << 22):
     """Runs of texts of about `most` characters, or a longer one alone."""
     run, size = [], 0
     for t in texts:

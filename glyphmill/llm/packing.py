@@ -38,7 +38,7 @@ GROUPS = 32
 #: lengths are many and different, so plans are made for each of these parts and the one of fewest sequences is kept.
 SMALL = (1 / 2, 1 / 3, 1 / 5)
 #: Chunks of text whose ids a worker keeps.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 700_000
 #: Rows of one length that one task ranks.
 RANKED_ROWS = 50_000
 
