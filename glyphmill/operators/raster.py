@@ -23,6 +23,8 @@ def _weights(source: int, target: int, cubic: bool) -> np.ndarray:
 
 def resize(img: np.ndarray, height: int, width: int, cubic: bool = False) -> np.ndarray:
     """An 8-bit image (height, width, channels) at another size, with a triangle or Catmull-Rom filter."""
+    if img.shape[:2] == (height, width):
+        return img
     rows, columns = _weights(img.shape[0], height, cubic), _weights(img.shape[1], width, cubic)
     out = np.tensordot(rows, img.astype(np.float64), (1, 0))
     out = np.tensordot(columns, out, (1, 1)).transpose(1, 0, 2)
