@@ -315,8 +315,11 @@ def block_pairs(reps: DataFrame, t: int) -> DataFrame:
     bands = F.array(F.struct(home.alias("band"), F.lit(True).alias("home")), F.when(home != guest, F.struct(guest.alias("band"), F.lit(False).alias("home"))))
     found = stored(found.withColumn("b", F.explode(F.array_compact(bands))).select("*", "b.*").drop("b"), "blocks")
     release(reps.sparkSession)
-    sized = found.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.max("home").alias("any"))
-    sized = sized.where("low < high AND any").select("token", "band", F.ceil(F.col("size") / CHUNK).alias("chunks"))
+    # tokens of one passage bring the same sets together: of blocks with the same members (by 128 bits), one is joined
+    members = [F.bit_xor(F.xxhash64("__key", "home", F.lit(k))).alias(f"m{k}") for k in (0, 1)]
+    sized = found.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.max("home").alias("any"), *members)
+    sized = sized.where("low < high AND any").groupBy("band", "size", "m0", "m1").agg(F.min("token").alias("token"))
+    sized = sized.select("token", "band", F.ceil(F.col("size") / CHUNK).alias("chunks"))
     dealt = found.join(sized, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("__key"), "chunks"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)")))
     dealt = dealt.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
