@@ -132,8 +132,8 @@ def fit(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", l
     rows = df.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull())
     order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
     chosen = rows.select(key, lang).withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_language)
-    chosen = chosen.orderBy("__rank", lang).limit(sample).select(F.col(key).alias("__key"), F.col(lang).alias("__lang"))
-    texts = rows.join(chosen, (rows[key] == chosen["__key"]) & (rows[lang] == chosen["__lang"])).select("__key", "__lang", F.col(text).alias("__text"))
+    chosen = chosen.orderBy("__rank", lang).limit(sample).select(F.col(key).alias("__key"), F.col(lang).alias("__lang"))  # at most `sample` rows
+    texts = rows.join(F.broadcast(chosen), (rows[key] == chosen["__key"]) & (rows[lang] == chosen["__lang"])).select("__key", "__lang", F.col(text).alias("__text"))
 
     def kernel(column):
         made = [features(t.encode("utf-8")) for t in column.to_pylist()]
