@@ -177,6 +177,33 @@ def test_line_odd_rows(spark):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def changed_lines(seed=3):
+    """Lines of 22 to 400 characters, and copies with as many scattered edits as SIMILAR allows, or with one word changed."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(60):
+        line = "".join(rng.choices("abcdefghijklmnopqrst", k=[22, 28, 40, 60, 120, 400][k % 6]))
+        line = "".join(" " if 0 < i < len(line) - 1 and i % 6 == 5 else c for i, c in enumerate(line))
+        places = rng.sample([i for i, c in enumerate(line) if c != " "], len(line) // 10)
+        out += [line, "".join("z" if i in places else c for i, c in enumerate(line))]
+        if len(line) >= 60:
+            out.append(f"{line[:12]}zzzzz{line[17:]}")
+    return out
+
+
+def test_fuzzy_lines_by_edit_similarity_alone(spark):
+    texts = changed_lines()
+    groups = brute.Union()
+    for i, x in enumerate(texts):
+        for j in range(i):
+            longer = max(len(x), len(texts[j]))
+            if 10 * abs(len(x) - len(texts[j])) <= longer and 10 * brute.edit_distance(x, texts[j]) <= longer:
+                groups.unite(i, j)
+    stay = {i for i in range(len(texts)) if groups.find(i) == i}
+    found = {r["doc_id"]: r["text"] for r in lines.dedup_lines(table(spark, [f"{t}\n" for t in texts])).collect()}
+    assert len(stay) == 60 and {k for k, t in found.items() if t.strip()} == stay
+
+
 def copies(seed=5):
     rng = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(400)]
