@@ -204,6 +204,11 @@ def test_fuzzy_lines_by_edit_similarity_alone(spark):
     assert len(stay) == 60 and {k for k, t in found.items() if t.strip()} == stay
 
 
+def test_short_lines_repeat_exactly(spark):
+    found = lines.dedup_lines(table(spark, ["les.\n-\nand ornd.\n ", "LES.\nand  ornd.\nbut not this\n ", "-\nles,"]))
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == {0: "les.\n-\nand ornd.\n ", 1: "but not this\n ", 2: "les,"}
+
+
 def copies(seed=5):
     rng = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(400)]
