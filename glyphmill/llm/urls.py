@@ -1,8 +1,9 @@
 """URL filtering by rules, and by a tree of path templates for each host.
 
 A path's segments with digits are variable: their digit runs become wildcards at once. Level by level then,
-below every node of a host's tree: where more than MAX_CHILDREN different segments follow, all become one
-wildcard; and branches whose paths further down are distributed like those of all branches together, and
+below every node of a host's tree: where pages spread over segments as evenly as over more than MAX_CHILDREN equal
+ones (by entropy), segments with less than their even share of pages become one wildcard; branches whose labels lie
+more than GAP from those of all other branches, smoothed towards these, never join one; and other branches whose paths further down are distributed like those of all branches together, and
 whose labelled purity is close to theirs, merge into the wildcard branch. A template is rejected where the
 share of blocked among its labelled pages, smoothed towards PRIOR by WEIGHT pages, exceeds LIMIT.
 
@@ -17,6 +18,7 @@ empty results; other columns pass through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -70,9 +72,16 @@ def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     tree = stored(cut.drop("parts"), "tree")
     for d, name in enumerate(level, 1):
         above = ["host", *level[: d - 1]]
-        wide = tree.where(F.col(name) != "").groupBy(*above).agg(F.countDistinct(name).alias("k")).where(F.col("k") > MAX_CHILDREN)
-        tree = tree.join(wide.drop("k").withColumn("wide", F.lit(True)), above, "left")
-        tree = stored(tree.withColumn(name, F.when(F.col("wide") & (F.col(name) != ""), "/*").otherwise(F.col(name))).drop("wide"), "tree")
+        each = tree.where(F.col(name) != "").groupBy(*above, name).agg(F.sum("n").cast("double").alias("own"), F.sum("blocked").alias("ob"), F.sum("allowed").alias("oa"))
+        spread = F.log2(F.sum("own")) - F.sum(F.col("own") * F.log2("own")) / F.sum("own")
+        node = each.groupBy(*above).agg(spread.alias("spread"), F.sum("own").alias("size"), F.sum("ob").alias("pb"), F.sum("oa").alias("pa"), F.count("*").alias("k"))
+        others = purity(F.col("pb") - F.col("ob"), F.col("pa") - F.col("oa"))
+        moved = (F.col("ob") + WEIGHT * others) / (F.col("ob") + F.col("oa") + F.lit(WEIGHT)) - others
+        apart = (F.col("k") > 1) & (F.col("ob") + F.col("oa") > 0) & (F.abs(moved) > GAP)
+        wide = (F.col("spread") > math.log2(MAX_CHILDREN)) & (MAX_CHILDREN * F.col("own") < F.col("size")) & ~apart
+        kinds = each.join(node, above).select(*above, name, apart.alias("alone"), wide.alias("wide"))
+        tree = tree.join(kinds, [*above, name], "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+        tree = stored(tree.withColumn(name, F.when(F.col("wide"), "/*").otherwise(F.col(name))).drop("wide"), "tree")
         rest = F.concat(*level[d:]) if d < depth else F.lit("")
         branch = tree.where(F.col(name) != "").withColumn("rest", rest)
         sums = [F.sum("n").cast("double").alias("c"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a")]
@@ -87,7 +96,7 @@ def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         distance = F.col("differ") + F.col("own") * (F.col("size") - F.col("seen"))
         near = (100 * distance <= 2 * MERGE * F.col("own") * F.col("size")) & (F.abs(purity(F.col("ob"), F.col("oa")) - purity(F.col("pb"), F.col("pa"))) <= GAP)
         merged = apart.where(near).select(*above, name, F.lit(True).alias("near"))
-        tree = tree.join(merged, [*above, name], "left").withColumn(name, F.when(F.col("near"), "/*").otherwise(F.col(name))).drop("near")
+        tree = tree.join(merged, [*above, name], "left").withColumn(name, F.when(F.col("near") & ~F.col("alone"), "/*").otherwise(F.col(name))).drop("near")
         tree = stored(tree.select("host", "shape", "n", "blocked", "allowed", *level), "tree")
     named = tree.select("host", "shape", "blocked", "allowed", F.concat(*level).alias("template"))
     judged = named.groupBy("host", "template").agg(purity(F.sum("blocked"), F.sum("allowed")).alias("purity"))

@@ -293,6 +293,23 @@ def test_url_templates_learn_from_labels(spark):
     assert {got[100 + k] for k in range(5)} == {"block"} and {got[200 + k] for k in range(20)} == {"allow"}
 
 
+@pytest.mark.parametrize("sections", [16, 17, 40])
+@pytest.mark.parametrize("others", [None, "allow"])
+def test_url_bad_section_stands_alone(spark, sections, others):
+    """However many sections a host has, a blocked one neither spoils the others nor is lost among them."""
+    names = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"[:sections]
+    rows = [(100 * s + k, f"http://h/{c}/{k}", None if k > 11 else "block" if s == 0 else others) for s, c in enumerate(names) for k in range(15)]
+    found = urls.judge(spark.createDataFrame(rows, "page_id long, url string, said string"), label="said").collect()
+    assert {(r["page_id"] < 100, r["verdict"]) for r in found} == {(True, "block"), (False, "allow")}
+
+
+def test_url_many_values_share_a_template(spark):
+    letters = "abcdefghij"
+    rows = [(k, f"http://h/{letters[k // 10]}{letters[k % 10]}/x", "block" if k % 2 else None) for k in range(100)]
+    found = urls.judge(spark.createDataFrame(rows, "page_id long, url string, said string"), label="said").collect()
+    assert {r["verdict"] for r in found} == {"block"}
+
+
 def passages(seed=11):
     rng = random.Random(seed)
     shared = [" ".join(f"p{rng.randrange(300)}" for _ in range(rng.randrange(50, 90))) for _ in range(5)]
