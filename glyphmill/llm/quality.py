@@ -15,12 +15,10 @@ repeated rows count each; new columns replace others of the same name; empty tab
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import stored
+from glyphmill.llm.shared import let, stored
 
 # White space between words; characters that count as symbols; frequent words of four languages.
 WHITE = " \t\n\x0b\f\r"
@@ -46,11 +44,6 @@ WORD_GUARD, WORD_LIMIT = 80, 0.29
 LANGUAGES = 1024
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value evaluated once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def words_of(text: Column) -> Column:
     return let(F.btrim(text, F.lit(WHITE)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[\\x20\\x09-\\x0D]+")))
 

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -71,6 +71,28 @@ def path_of(df: DataFrame) -> str:
     return df.stored_at
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote, at their last use."""
+    for df in tables:
+        drop(df.sparkSession, path_of(df))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _as_read(schema: T.StructType, last: Sequence[str]) -> T.StructType:
     fields = [f for f in schema.fields if f.name not in last] + [schema[c] for c in last]
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])

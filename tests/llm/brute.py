@@ -4,8 +4,6 @@ import math
 import re
 from collections import Counter, defaultdict
 
-import xxhash
-
 from glyphmill.llm import lines as L
 from glyphmill.llm import quality as Q
 
@@ -89,32 +87,42 @@ def normal(line):
     return re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line)).lower().strip(" ")
 
 
-def simhash(words):
-    counts = [0] * 64
-    for w in words:
-        h = xxhash.xxh64(w.encode(), seed=42).intdigest()
-        for b in range(64):
-            counts[b] += h >> b & 1
-    return sum(1 << b for b, c in enumerate(counts) if 2 * c > len(words))
+def within(a, b, most):
+    """Whether the edit distance is at most `most`; rows are cut to the diagonal's neighbourhood."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = {j: j for j in range(min(len(b), most) + 1)}
+    for i, x in enumerate(a, 1):
+        low, high = max(0, i - most), min(len(b), i + most)
+        new = {}
+        for j in range(low, high + 1):
+            best = row.get(j, most) + 1
+            if j:
+                best = min(best, new.get(j - 1, most) + 1, row.get(j - 1, most + 1) + (x != b[j - 1]))
+            new[j] = best
+        if min(new.values()) > most:
+            return False
+        row = new
+    return row.get(len(b), most + 1) <= most
 
 
 def dedup_lines(docs):
-    """doc_id: text without repeated lines."""
-    groups, sims, places = Union(), {}, []
+    """doc_id: text without repeated lines; lines are linked by edit similarity alone, all pairs of near lengths."""
+    groups, places = Union(), []
     for d in sorted(docs, key=lambda d: d["doc_id"]):
         for at, line in enumerate((d["text"] or "").split("\n")):
-            n = normal(line)
-            if len(n) >= L.MIN_CHARS:
+            if n := normal(line):
                 places.append((d["doc_id"], at, n))
                 groups.find(n)
-                if len(n.split(" ")) >= L.FUZZY_WORDS and n not in sims:
-                    sims[n] = simhash(n.split(" "))
-    listed = list(sims.items())
-    for i, (a, x) in enumerate(listed):
-        for b, y in listed[i + 1 :]:
-            longer = max(len(a), len(b))
-            if (x ^ y).bit_count() <= L.BITS_APART and abs(len(a) - len(b)) <= longer * 10 // 100 and edit_distance(a, b) <= longer * (100 - L.SIMILAR) // 100:
-                groups.unite(a, b)
+    listed = sorted(groups.up, key=len)
+    letters = [Counter(n) for n in listed]
+    for i, a in enumerate(listed):
+        for j in range(i + 1, len(listed)):
+            most = len(listed[j]) * (100 - L.SIMILAR) // 100
+            if len(listed[j]) - len(a) > most:
+                break
+            if (letters[j] - letters[i]).total() <= most and within(a, listed[j], most):
+                groups.unite(a, listed[j])
     first = {}
     for doc, at, n in places:
         first.setdefault(groups.find(n), (doc, at))
