@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -16,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows in an Arrow batch: at a few kB a text, a few MB a batch in a Python worker.
 BATCH_ROWS = 1024
+#: Seconds after which release() looks again.
+RELEASE_AGAIN = 0.4
 
 _scratch: dict[str, str] = {}
 
@@ -50,9 +53,14 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the cluster delete shuffle files that no plan refers to any more; stored tables don't need them."""
+    """Let the cluster delete shuffle files that no plan refers to any more; stored tables don't need them.
+
+    The last job's plan is still in the queue of listeners for a moment, hence the second round.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0, RELEASE_AGAIN):
+        time.sleep(pause)
+        spark.sparkContext._jvm.System.gc()
 
 
 def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
