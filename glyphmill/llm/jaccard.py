@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm.components import components
-from glyphmill.llm.shared import append_columns, drop, path_of, release, small_batches, stored
+from glyphmill.llm.shared import append_columns, forget, release, small_batches, stored
 from glyphmill.llm.words import Words, grams, mix
 
 BUCKETS, BAND = 64, 4
@@ -40,6 +40,8 @@ FANOUT = 16
 LOCAL, HEAVY = 12, 1 << 17
 #: Bits of a bitmap for each token, before rounding up to a power of two.
 DENSITY = 4
+#: Shared prefix tokens (8 bytes each) up to which they are broadcast to find their holders; more are joined by shuffle.
+SHARED = 1 << 20
 #: Blocks carry bitmaps of the tokens of one residue of this many; all others count as tokens that may be shared.
 SAMPLED = 4
 
@@ -308,13 +310,14 @@ def block_pairs(reps: DataFrame, t: int) -> DataFrame:
     """
     wide = -8 * np.log(t / 100 * (1 - 1e-9))  # similar sets are in one band, or the larger near the lower end of the next
     home, guest = (F.floor(F.log(F.col("n") * part) / wide) for part in (1.0, t / 100 * (1 - 1e-9)))
-    tokens = reps.select("__key", "cluster", F.explode("prefix").alias("token"))
+    tokens = reps.select("__key", "n", "cluster", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token")
-    found = tokens.join(shared, "token").select("__key", "token")
-    found = found.join(reps.select("__key", "n", "cluster", "bitmap"), "__key")
+    shared = stored(shared, "shared")
+    release(reps.sparkSession)
+    found = tokens.join(F.broadcast(shared) if shared.count() <= SHARED else shared, "token")
     bands = F.array(F.struct(home.alias("band"), F.lit(True).alias("home")), F.when(home != guest, F.struct(guest.alias("band"), F.lit(False).alias("home"))))
     found = stored(found.withColumn("b", F.explode(F.array_compact(bands))).select("*", "b.*").drop("b"), "blocks")
-    release(reps.sparkSession)
+    forget(shared)
     # tokens of one passage bring the same sets together: of blocks with the same members (by 128 bits), one is joined
     members = [F.bit_xor(F.xxhash64("__key", "home", F.lit(k))).alias(f"m{k}") for k in (0, 1)]
     sized = found.groupBy("token", "band").agg(F.count("*").alias("size"), F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.max("home").alias("any"), *members)
@@ -323,6 +326,11 @@ def block_pairs(reps: DataFrame, t: int) -> DataFrame:
     dealt = found.join(sized, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("__key"), "chunks"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)")))
     dealt = dealt.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other"))
+    dealt = stored(dealt.drop("other", "chunks"), "dealt")
+    forget(found)
+    release(reps.sparkSession)
+    # bitmaps come last, for the members of the blocks that are joined
+    dealt = dealt.join(reps.select("__key", "bitmap"), "__key")
 
     def join(table):
         size = table["n"].to_numpy()
@@ -362,7 +370,10 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, n: int, t: int) -> DataFram
     sets = stored(append_columns(docs.join(wanted, "__key"), ["__text"], fields, tokens).select("__key", "tokens"), "sets")
     both = pairs.join(sets.select(F.col("__key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("__key").alias("b"), F.col("tokens").alias("y")), "b")
     common = both.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("o"))
-    return common.where(100 * F.col("o") >= t * (F.col("p") + F.col("q") - F.col("o"))).select("a", "b")
+    found = stored(common.where(100 * F.col("o") >= t * (F.col("p") + F.col("q") - F.col("o"))).select("a", "b"), "similar")
+    forget(sets)
+    release(docs.sparkSession)
+    return found
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, t: int = 80) -> DataFrame:
@@ -377,7 +388,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     first = F.min_by(F.struct("bands", "prefix", "bitmap"), "__key").alias("s")
     reps = sketched.where("n > 0 AND __key IS NOT NULL").groupBy(*digest).agg(F.min("__key").alias("__key"), first)
     reps = stored(reps.select("__key", "n", "s.*"), "reps")
-    drop(spark, path_of(sketched))
+    forget(sketched)
     release(spark)
     # 1. clusters
     bands = reps.select("__key", F.explode("bands").alias("band"))
@@ -403,6 +414,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
         whole = whole.union(dealt.select("__key", F.coalesce("component", "__key")))
     placed = reps.join(whole, "__key", "left").withColumn("cluster", F.coalesce("cluster", "__key")).drop("bands")
     pairs = stored(block_pairs(placed, t), "pairs")
+    forget(reps)
     release(spark)
     if pairs.take(1):
         links = links.union(similar_pairs(docs, pairs, n, t))
