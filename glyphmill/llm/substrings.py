@@ -8,8 +8,9 @@ stands, and so never how many hold the window. Pass 2 hashes the windows whose a
 more documents, and groups exactly these. Windows in one document alone that pass by chance fall out
 there, so nothing is lost and nothing is removed in error.
 
-The sketch grows with the text up to `max_bits` cells a row (two rows, one bit a cell once merged): what
-executors get is at most max_bits / 4 bytes. Beyond that the filter passes more windows; results stay.
+The sketch grows with the text up to 2^max_bits cells a row (two rows, one bit a cell once merged): a worker gets at
+most 128 MB of it, and sends what it sketches itself in runs of some CELLS cells. Beyond what the sketch can tell apart
+the filter passes more windows; results stay.
 
 Results in odd cases: null or empty texts, and texts with fewer words than a window, lose nothing (a null
 text stays null); a window that repeats within one document only stays; rows that share a key are parts of
@@ -33,9 +34,11 @@ from glyphmill.llm.words import Words, grams, mix
 WINDOW = 50
 #: Words in the runs whose least hash anchors a window.
 RUN = 8
-MIN_BITS, MAX_BITS = 16, 30
+MIN_BITS, MAX_BITS = 16, 29
 #: Windows of a partition that are compared with each other before any are sent.
 HELD = 1 << 20
+#: Cells that a task sketches before it sends them on.
+CELLS = 1 << 21
 #: Cells (a power of two) of one row of the sketch that are merged in one group.
 SHARD = 16
 
@@ -82,24 +85,30 @@ def sketch(df: DataFrame, text: str, size: int, bits: int) -> np.ndarray:
     """Two rows of one bit a cell, set where the anchors of two or more documents fall; merged over all partitions."""
     shard = min(SHARD, bits)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.zeros(1 << bits, np.uint8) for _ in range(2)]
-        for batch in batches:
-            anchors = Windows(Words(batch.column(0)), size).anchors()
-            for r, row in enumerate(rows):
-                cell, n = np.unique(cells(anchors, r, bits), return_counts=True)
-                row[cell] = np.minimum(row[cell] + n, 2)
-        for r, row in enumerate(rows):
-            used = np.flatnonzero(row)
-            cut = np.searchsorted(used, np.arange(0, (1 << bits) + 1, 1 << shard))
-            made = [(r, k, used[a:b]) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+    def sent(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for r, parts in enumerate(held):
+            used, n = np.unique(np.concatenate(parts), return_counts=True)
+            first = np.flatnonzero(np.r_[True, used[1:] >> np.uint64(shard) != used[:-1] >> np.uint64(shard)]) if len(used) else []
+            made = list(zip(first, [*first[1:], len(used)], strict=True))
             for at in range(0, len(made), 256):
                 some = made[at : at + 256]
-                once = [np.asarray(c[row[c] == 1] & ((1 << shard) - 1), "<u4").tobytes() for _, _, c in some]
-                twice = [np.asarray(c[row[c] > 1] & ((1 << shard) - 1), "<u4").tobytes() for _, _, c in some]
-                keys = pa.array([s[0] for s in some], pa.int32()), pa.array([s[1] for s in some], pa.int32())
+                low = (used & np.uint64((1 << shard) - 1)).astype("<u4")
+                once, twice = ([low[a:b][pick[a:b]].tobytes() for a, b in some] for pick in (n == 1, n > 1))
+                keys = pa.array([r] * len(some), pa.int32()), pa.array([int(used[a]) >> shard for a, _ in some], pa.int32())
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["row", "shard", "once", "twice"])
 
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], []]
+        for batch in batches:
+            anchors = Windows(Words(batch.column(0)), size).anchors()
+            for r in range(2):
+                held[r].append(cells(anchors, r, bits))
+            if sum(map(len, held[0])) >= CELLS:
+                yield from sent(held)
+                held = [[], []]
+        if held[0]:
+            yield from sent(held)
+
     def merge(key, table):
         seen = np.zeros(1 << shard, np.uint8)
         for once, twice in zip(table["once"], table["twice"], strict=True):
