@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.shared import append_columns
+from glyphmill.llm.shared import append_columns, fresh
 
 UNKNOWN = "application/octet-stream"
 
@@ -34,17 +34,30 @@ MAGIC = [
     (b"\xff\xd8\xff", 0, "image/jpeg"),
     (b"GIF87a", 0, "image/gif"),
     (b"GIF89a", 0, "image/gif"),
-    (b"WAVEfmt ", 8, "audio/wav"),
-    (b"WEBPVP8", 8, "image/webp"),
-    (b"AVI LIST", 8, "video/x-msvideo"),
+    (b"WAVE", 8, "audio/wav"),
+    (b"WEBP", 8, "image/webp"),
+    (b"AVI ", 8, "video/x-msvideo"),
     (b"OggS\x00", 0, "application/ogg"),
     (b"fLaC\x00\x00\x00\x22", 0, "audio/flac"),
+    (b"fLaC\x80\x00\x00\x22", 0, "audio/flac"),
     (b"%PDF-", 0, "application/pdf"),
-    (b"\x00\x00\x00\x00\x36\x00\x00\x00\x28\x00\x00\x00", 6, "image/bmp"),
+    (b"BM", 0, "image/bmp"),
 ]
 
 
-def png_end(data: bytes, at: int) -> int | None:
+#: Places that walks of this value have passed; a walk that comes upon one would end as the one before, that is, fail.
+Passed = dict
+
+
+def again(passed: Passed, *place) -> bool:
+    """Whether a walk was here before; notes that it is here now."""
+    if place in passed:
+        return True
+    passed[place] = True
+    return False
+
+
+def png_end(data: bytes, at: int, passed: Passed) -> int | None:
     p = at + 8
     first = True
     while p + 12 <= len(data):
@@ -59,9 +72,11 @@ def png_end(data: bytes, at: int) -> int | None:
     return None
 
 
-def jpeg_end(data: bytes, at: int) -> int | None:
+def jpeg_end(data: bytes, at: int, passed: Passed) -> int | None:
     p, frame = at + 2, False
     while p + 4 <= len(data):
+        if again(passed, "jpeg", p, frame):
+            return None
         if data[p] != 0xFF:
             return None
         marker = data[p + 1]
@@ -87,7 +102,7 @@ def jpeg_end(data: bytes, at: int) -> int | None:
     return p + 2 if frame and data[p : p + 2] == b"\xff\xd9" else None
 
 
-def gif_end(data: bytes, at: int) -> int | None:
+def gif_end(data: bytes, at: int, passed: Passed) -> int | None:
     if at + 13 > len(data):
         return None
     flags = data[at + 10]
@@ -100,6 +115,8 @@ def gif_end(data: bytes, at: int) -> int | None:
 
     image = False
     while p < len(data):
+        if again(passed, "gif", p, image):
+            return None
         if data[p] == 0x3B:
             return p + 1 if image else None
         if data[p] == 0x21:
@@ -112,7 +129,7 @@ def gif_end(data: bytes, at: int) -> int | None:
     return None
 
 
-def riff_end(data: bytes, at: int) -> int | None:
+def riff_end(data: bytes, at: int, passed: Passed) -> int | None:
     """RIFF: the size in the header and the chunks within must agree; WAVE needs fmt and data with whole frames."""
     if data[at : at + 4] != b"RIFF":
         return None
@@ -126,7 +143,7 @@ def riff_end(data: bytes, at: int) -> int | None:
             return None
         if kind == b"fmt " and size >= 16:
             channels, _, _, block, bits = struct.unpack_from("<HIIHH", data, p + 10)
-            if not channels or block != channels * (bits + 7) // 8:
+            if not channels or block != channels * ((bits + 7) // 8):
                 return None
         if kind == b"data" and (not block or size % block):
             return None
@@ -136,9 +153,11 @@ def riff_end(data: bytes, at: int) -> int | None:
     return end if p in (end, end + 1) and seen and (not wave or {b"fmt ", b"data"} <= seen) else None
 
 
-def ogg_end(data: bytes, at: int) -> int | None:
+def ogg_end(data: bytes, at: int, passed: Passed) -> int | None:
     p, last = at, None
     while data[p : p + 4] == b"OggS" and p + 27 <= len(data):
+        if again(passed, "ogg", p):
+            return None
         table = data[p + 27 : p + 27 + data[p + 26]]
         end = p + 27 + data[p + 26] + sum(table)
         if data[p + 4] or len(table) < data[p + 26] or end > len(data):
@@ -147,28 +166,88 @@ def ogg_end(data: bytes, at: int) -> int | None:
     return p if last is not None and last & 4 else None
 
 
-def flac_end(data: bytes, at: int) -> int | None:
-    p = at + 4
-    while p + 4 <= len(data):
+# Block sizes and the bytes that follow a FLAC frame's header for sizes and rates that have no code.
+FLAC_SIZES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 1024, 11: 2048, 12: 4096, 13: 8192, 14: 16384, 15: 32768}
+FLAC_RATE_BYTES = {12: 1, 13: 2, 14: 2}
+
+
+def crc_table(polynomial: int, bits: int) -> list[int]:
+    top, mask, out = 1 << bits - 1, (1 << bits) - 1, []
+    for k in range(256):
+        c = k << bits - 8
+        for _ in range(8):
+            c = (c << 1 ^ polynomial) & mask if c & top else c << 1
+        out.append(c)
+    return out
+
+
+CRC8, CRC16 = crc_table(0x07, 8), crc_table(0x8005, 16)
+
+
+def flac_frame(data: bytes, p: int) -> tuple[int, int] | None:
+    """Length of a frame's header and samples of its block, if a header with the right checksum stands at p."""
+    if p + 6 > len(data) or data[p] != 0xFF or data[p + 1] & 0xFE != 0xF8:
+        return None
+    code, rate = data[p + 2] >> 4, data[p + 2] & 15
+    number = data[p + 4]
+    size = 1 if number < 0x80 else 8 - (number ^ 0xFF).bit_length()
+    if code == 0 or rate == 15 or size > 7 or 0x80 <= number < 0xC0:
+        return None
+    at = p + 4 + size
+    extra = {6: 1, 7: 2}.get(code, 0)
+    end = at + extra + FLAC_RATE_BYTES.get(rate, 0)
+    if end >= len(data):
+        return None
+    crc = 0
+    for b in data[p:end]:
+        crc = CRC8[crc ^ b]
+    if crc != data[end]:
+        return None
+    return end + 1 - p, FLAC_SIZES[code] if code in FLAC_SIZES else int.from_bytes(data[at : at + extra], "big") + 1
+
+
+def flac_end(data: bytes, at: int, passed: Passed) -> int | None:
+    """Frames carry no length: each ends where its checksum comes out and the next one begins, or all samples are there."""
+    total = int.from_bytes(data[at + 21 : at + 26], "big") & (1 << 36) - 1
+    p, last = at + 4, 0
+    while p + 4 <= len(data) and not last:
         last, p = data[p] & 0x80, p + 4 + int.from_bytes(data[p + 1 : p + 4], "big")
-        if last:  # frames carry no length: a valid stream goes to the end of the value
-            return len(data) if data[p : p + 2] in (b"\xff\xf8", b"\xff\xf9") else None
+    seen = 0
+    while last and (frame := flac_frame(data, p)) and not again(passed, "flac", p, total - seen):
+        seen, crc, start = seen + frame[1], 0, p
+        for q in range(p, len(data)):
+            crc = CRC16[crc >> 8 ^ data[q]] ^ (crc & 0xFF) << 8
+            if crc == 0 and q >= start + frame[0]:
+                if seen >= total > 0 or q + 1 == len(data):
+                    return q + 1
+                if flac_frame(data, q + 1):
+                    p = q + 1
+                    break
+        else:
+            return None
     return None
 
 
-def pdf_end(data: bytes, at: int) -> int | None:
+def pdf_end(data: bytes, at: int, passed: Passed) -> int | None:
     if not data[at + 5 : at + 8].replace(b".", b"0").isdigit():
         return None
-    end = data.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b"startxref" in data[max(at, end - 64) : end] else None
+    end = passed.get("eof", -1)
+    if end < at:  # looked for once for all starts before it
+        end = passed["eof"] = data.find(b"%%EOF", at) if end < len(data) else end
+        end = passed["eof"] = len(data) if end < 0 else end
+    return end + 5 if end < len(data) and b"startxref" in data[max(at, end - 64) : end] else None
 
 
-def bmp_end(data: bytes, at: int) -> int | None:
+def bmp_end(data: bytes, at: int, passed: Passed) -> int | None:
     if data[at : at + 2] != b"BM" or at + 54 > len(data):
         return None
-    size, _, offset, _, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", data, at + 2)
+    size, reserved, offset, _, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", data, at + 2)
+    if reserved:
+        return None
+    header = struct.unpack_from("<I", data, at + 14)[0]
     rows = (width * bits + 31) // 32 * 4 * abs(height)
-    return at + size if planes == 1 and width > 0 and bits in (1, 4, 8, 16, 24, 32) and offset + rows <= size and at + size <= len(data) else None
+    sound = planes == 1 and width > 0 and height and bits in (1, 4, 8, 16, 24, 32) and header in (40, 52, 56, 108, 124) and offset >= 14 + header
+    return at + size if sound and offset + rows <= size and at + size <= len(data) else None
 
 
 ENDS = {
@@ -191,8 +270,9 @@ class Sniffer:
         found, free = [], 0
         hits = sorted((last + 1 - back, kind) for last, (back, kind) in self.automaton.iter(data.decode("latin-1")))
         spans = []
+        passed: Passed = {}
         for at, kind in hits:
-            if at >= free and (end := ENDS[kind](data, at)):
+            if at >= free and (end := ENDS[kind](data, at, passed)):
                 spans.append((at, -end, kind))
                 free = max(free, at + 1)
         free = 0
@@ -234,11 +314,13 @@ def sniff(df: DataFrame, content: str = "content", declared: str | None = "decla
 
 
 def carve(df: DataFrame, content: str = "content") -> DataFrame:
-    """A row for each valid medium of each row of sniff(): its place, type and bytes, beside the other columns."""
-    one = df.withColumn("__medium", F.explode("media")).drop("media", "media_type", "was_corrected")
-    places = one.select("*", F.col("__medium.start").alias("medium_start"), F.col("__medium.type").alias("medium_type"), F.col("__medium.length").alias("__length"))
-    body = F.expr(f"substring(`{content}`, CAST(medium_start + 1 AS INT), CAST(__length AS INT))")
-    return places.withColumn("medium", body).drop("__medium", "__length", content)
+    """A row for each valid medium of each row of sniff(): medium_start, medium_type and medium (bytes) beside the other columns, of which those of these names are replaced."""
+    gone = {"media", "media_type", "was_corrected", "medium_start", "medium_type", "medium", content.lower()}
+    (m,) = fresh(df, "m")
+    one = df.withColumn(m, F.explode("media"))
+    body = F.substring(F.col(f"`{content}`"), (F.col(f"{m}.start") + 1).cast("int"), F.col(f"{m}.length").cast("int"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in gone]
+    return one.select(*kept, F.col(f"{m}.start").alias("medium_start"), F.col(f"{m}.type").alias("medium_type"), body.alias("medium"))
 
 
 def wav(samples: bytes, rate: int = 8000) -> bytes:
