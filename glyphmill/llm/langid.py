@@ -3,7 +3,8 @@
 Features are hashed runs of one to three bytes of the text in lower case, with all that is no letter as one space,
 over the whole text; their square roots, scaled to length one. Both steps are linear support vector
 machines (squared hinge loss, ridge penalty), fitted on the driver to a bounded sample of labelled rows: at
-most PER_LANGUAGE of each language, those of least hash, and at most SAMPLE in all.
+most PER_LANGUAGE of each language, those of least hash of key and text, and at most SAMPLE in all; rows that repeat
+with both count once.
 
 Results in odd cases: a null text, or one without a letter, is `und` with score 0; with nothing to learn from,
 all texts are; with one language, every other text is that language; rows with null text or label aren't
@@ -27,6 +28,8 @@ from glyphmill.llm.words import mix
 UNDETERMINED = "und"
 PER_LANGUAGE, SAMPLE = 400, 8000
 DIMENSIONS = 1 << 12
+#: Parts in which a language's rows are ranked at first.
+PARTS = 256
 
 # Languages of each family, by ISO 639-1 code.
 FAMILIES = {
@@ -130,10 +133,15 @@ class Model:
 def fit(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model:
     """A model of the rows for which learn holds and text and lang are there; key only orders the sample."""
     rows = df.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    chosen = rows.select(key, lang).withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_language)
-    chosen = chosen.orderBy("__rank", lang).limit(sample).select(F.col(key).alias("__key"), F.col(lang).alias("__lang"))  # at most `sample` rows
-    texts = rows.join(F.broadcast(chosen), (rows[key] == chosen["__key"]) & (rows[lang] == chosen["__lang"])).select("__key", "__lang", F.col(text).alias("__text"))
+    identity = F.xxhash64(F.col(key), F.col(text))
+    listed = rows.select(F.col(lang).alias("__lang"), identity.alias("__id")).distinct()
+    order = [F.xxhash64("__id"), "__id"]
+    for part in (F.pmod("__id", F.lit(PARTS)), F.lit(0)):  # a language's rows are ranked in parts first, then those that are left
+        rank = F.row_number().over(Window.partitionBy("__lang", part).orderBy(*order))
+        listed = listed.withColumn("__rank", rank).where(F.col("__rank") <= per_language)
+    chosen = listed.orderBy("__rank", "__lang").limit(sample).select("__lang", "__id")  # at most `sample` rows
+    found = rows.select(F.col(lang).alias("__lang"), identity.alias("__id"), F.col(text).alias("__text"))
+    texts = found.join(F.broadcast(chosen), ["__lang", "__id"]).dropDuplicates(["__lang", "__id"])
 
     def kernel(column):
         made = [features(t.encode("utf-8")) for t in column.to_pylist()]
@@ -143,8 +151,8 @@ def fit(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", l
         return [pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value.astype(np.float32)))]
 
     fields = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))])
-    found = append_columns(texts, ["__text"], fields, kernel).select("__key", "__lang", "at", "value").toArrow().to_pylist()  # at most `sample` rows
-    found.sort(key=lambda r: (r["__lang"], str(r["__key"])))
+    found = append_columns(texts, ["__text"], fields, kernel).select("__id", "__lang", "at", "value").toArrow().to_pylist()  # at most `sample` rows
+    found.sort(key=lambda r: (r["__lang"], r["__id"]))
     x = np.zeros((len(found), DIMENSIONS), np.float32)
     for n, r in enumerate(found):
         x[n, r["at"]] = r["value"]

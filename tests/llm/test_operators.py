@@ -1,6 +1,7 @@
 """Each corpus operator against SQL or a plain version, and its odd cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import random
+import struct
 
 import brute
 import numpy as np
@@ -113,6 +114,84 @@ def test_media_sniffed_corrected_and_carved(spark):
     assert carved[1, 4] == gif() and carved[1, 8 + len(gif())] == sound and carved[0, 0] == picture
 
 
+def riff(form, *chunks):
+    body = b"".join(k + len(v).to_bytes(4, "little") + v + b"\0" * (len(v) % 2) for k, v in chunks)
+    return b"RIFF" + (4 + len(body)).to_bytes(4, "little") + form + body
+
+
+def wave(channels, bits, frames=8, before=()):
+    block = channels * ((bits + 7) // 8)
+    fmt = struct.pack("<HHIIHH", 1, channels, 8000, 8000 * block, block, bits)
+    return riff(b"WAVE", *before, (b"fmt ", fmt), (b"data", b"\1" * block * frames))
+
+
+def bmp(bits, colours=0):
+    rows = b"\0" * (-(-5 * bits // 32) * 4 * 3)
+    offset = 54 + 4 * colours
+    return struct.pack("<2sIIIIiiHHIIiiII", b"BM", offset + len(rows), 0, offset, 40, 5, 3, 1, bits, 0, len(rows), 0, 0, colours, 0) + b"\0" * 4 * colours + rows
+
+
+def ogg(pages):
+    return b"".join(b"OggS\0" + bytes([4 if k == pages - 1 else 0]) + bytes(20) + b"\1\3abc" for k in range(pages))
+
+
+def flac(frames=2, samples=192):
+    """A stream of constant blocks, with right checksums."""
+    info = struct.pack(">HH", samples, samples) + bytes(6) + (8000 << 44 | 15 << 36 | samples * frames).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC\x80\0\0\x22" + info
+    for n in range(frames):
+        head, crc = bytes([0xFF, 0xF8, 0x14, 0x08, n]), 0
+        for b in head:
+            crc = media.CRC8[crc ^ b]
+        body, crc = head + bytes([crc]) + b"\0\7\7", 0
+        for b in body:
+            crc = media.CRC16[crc >> 8 ^ b] ^ (crc & 0xFF) << 8
+        out += body + crc.to_bytes(2, "big")
+    return out
+
+
+PDF = b"%PDF-1.4\nbody\nstartxref\n9\n%%EOF"
+JPEG = b"\xff\xd8\xff\xe0\0\4ab\xff\xc0\0\4cd\xff\xda\0\4efdata\xff\0more\xff\xd9"
+FORMATS = {
+    "audio/wav": [wave(1, 8), wave(2, 16), wave(2, 24), wave(2, 8), wave(1, 16, before=[(b"LIST", b"odd")])],
+    "image/bmp": [bmp(24), bmp(8, 256), bmp(8, 7), bmp(1, 2), bmp(4, 16)],
+    "image/webp": [riff(b"WEBP", (b"VP8 ", b"x" * 10)), riff(b"WEBP", (b"VP8L", b"odd"))],
+    "video/x-msvideo": [riff(b"AVI ", (b"LIST", b"x" * 10)), riff(b"AVI ", (b"JUNK", b"ab"), (b"LIST", b"x"))],
+    "application/ogg": [ogg(1), ogg(3)],
+    "audio/flac": [flac(), flac(3)],
+    "application/pdf": [PDF, PDF.replace(b"1.4", b"2.0")],
+    "image/jpeg": [JPEG, JPEG.replace(b"\xff\xe0\0\4ab", b"")],
+}
+
+
+@pytest.mark.parametrize("kind", FORMATS)
+def test_media_formats_alone_embedded_and_broken(kind):
+    found = media.Sniffer()
+    for data in FORMATS[kind]:
+        assert found.media(data) == [(0, len(data), kind)]
+        assert found.media(b"text " + data + b" and more text") == [(5, 5 + len(data), kind)]
+        twice = found.media(data + b"--" + data)
+        assert twice == [(0, len(data), kind), (len(data) + 2, 2 * len(data) + 2, kind)]
+        assert found.media(data[:-2]) == []
+
+
+@pytest.mark.parametrize("start", [b"%PDF-1.4", b"OggS\0" + bytes(21) + b"\0", b"\xff\xd8\xff\xe0\0\2", b"GIF89a" + bytes(7), b"BM", b"RIFF\xff\0\0\0WAVE", b"fLaC\0\0\0\x22"])
+def test_hostile_starts_take_linear_time(start):
+    import time
+
+    began = time.perf_counter()
+    assert media.Sniffer().media(start * 20_000) == [] and time.perf_counter() - began < 5
+
+
+def test_media_odd_rows(spark):
+    rows = spark.createDataFrame([(1, bytearray(gif()), "a"), (1, bytearray(gif()), "a"), (None, None, None), (2, bytearray(b"\0" * (1 << 20) + gif()), None)], "k int, content binary, declared string")
+    for name in ("medium_start", "medium", "__medium", "m", "_m", "start", "length"):
+        rows = rows.withColumn(name, F.lit(7))
+    carved = media.carve(media.sniff(rows))
+    assert sorted((r["k"], r["medium_start"], bytes(r["medium"]), r["m"], r["_m"]) for r in carved.collect()) == [(1, 0, gif(), 7, 7), (1, 0, gif(), 7, 7), (2, 1 << 20, gif(), 7, 7)]
+    assert media.carve(media.sniff(rows.limit(0))).count() == 0
+
+
 def test_media_query_round_trip(spark, sf_dir):
     import hashlib
     import zlib
@@ -124,6 +203,10 @@ def test_media_query_round_trip(spark, sf_dir):
         raw = texts[r["doc_id"]]
         padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        stored = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(padded), b"WAVE", b"fmt ", 16, 1, 1, 8000, 8000, 1, 8, b"data", len(padded)) + padded
+        x = np.frombuffer(padded, np.uint8).astype(float)
+        feature = f"pcm_u8 n={len(x)} mean={np.mean(x):.4f} rms={np.mean(x ** 2) ** 0.5:.4f} crossings={sum(a != b for a, b in zip(x >= 128, x[1:] >= 128))}"
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(stored), hashlib.sha256(stored).hexdigest(), feature)
 
 
 def test_languages_held_out(spark, sf_dir):
@@ -141,6 +224,17 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_sample_stays_bounded(spark):
+    """Rows that share a key neither multiply the sample nor spoil it."""
+    docs = table(spark, [f"the house number {k} of the dog" for k in range(30)] + ["der hund und das haus"] * 40 + [None, ""])
+    docs = docs.withColumns({"doc_id": F.lit(1).cast("long"), "lang": F.when(F.col("text").startswith("der"), "de").otherwise("en")})
+    model = langid.fit(docs, F.lit(True), per_language=10, sample=15)
+    assert model.languages == ["de", "en"]
+    got = {(r["lang"], r["lang_pred"]) for r in langid.predict(docs.where("text <> ''"), model).collect()}
+    assert got == {("de", "de"), ("en", "en")}
+    assert langid.predict(docs.limit(0), model).count() == 0
+
+
 def test_quality_equals_plain(spark, sf_dir):
     docs, expected = queries.documents(spark, sf_dir), brute.quality(documents(spark, sf_dir))
     for r in quality.quality(docs).collect():
@@ -332,6 +426,19 @@ def test_repeats_equal_plain(spark, monkeypatch, held, bits):
     assert [r["text"] for r in rows] == [t and brute.without(t, gone[k]) for k, t in enumerate(texts)]
 
 
+@pytest.mark.parametrize("held", [1 << 21, 10])
+def test_sketch_takes_bounded_memory(spark, monkeypatch, held):
+    """With the most cells, a task holds runs of them, not a row of the sketch."""
+    import tracemalloc
+
+    monkeypatch.setattr(substrings, "CELLS", held)
+    tracemalloc.start()
+    filled = substrings.sketch(table(spark, passages()[:10]), "text", 50, substrings.MAX_BITS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert filled.any() and peak < 500 << 20
+
+
 def test_sketch_never_underestimates(spark):
     texts = passages()
     docs = table(spark, texts).repartition(3)
