@@ -11,7 +11,7 @@ from glyphmill.sources.images import dictionary, image_files
 from glyphmill.sources.sinks import write
 
 
-def main() -> None:
+def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="glyphmill", description="Read the text lines of images.")
     parser.add_argument("images")
     parser.add_argument("out")
@@ -19,7 +19,7 @@ def main() -> None:
     parser.add_argument("--det")
     parser.add_argument("--rec")
     parser.add_argument("--dict")
-    given = parser.parse_args()
+    given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("glyphmill").getOrCreate()
     settings = {}
     if given.det:

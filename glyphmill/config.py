@@ -12,6 +12,8 @@ class Quirks:
     unmap_resize_first: bool = True  # boxes are scaled back before padding is taken off
     overwrite_ratios: bool = True  # if both resizes fire, the second ratio stands alone
     truncate_sides: bool = True  # sides of rotated rectangles are whole numbers
+    recogniser_red_first: bool = True  # the detector is fed blue first, the recogniser red first
+    token_confidences: bool = True  # a word's confidence is that of the kept step of its own number, not its characters' mean
 
 
 @dataclass(frozen=True)
@@ -40,8 +42,8 @@ class GlobalConfig:
     width_height_ratio: float = 8.0
     max_side_len: int = 2000
     min_side_len: int = 30
-    return_word_box: bool = False
-    return_single_char_box: bool = False
+    return_word_box: bool = False  # lines have word_results
+    return_single_char_box: bool = False  # and these are of characters, whatever the line's words
 
 
 @dataclass(frozen=True)

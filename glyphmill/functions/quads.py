@@ -95,3 +95,35 @@ def holds(x: Column, y: Column, corners: list[tuple[Column, Column]] | None = No
         crossed = ((yi > y) != (yj > y)) & (x < (xj - xi) * (y - yi) / F.nullif(yj - yi, F.lit(0.0)) + xi)
         inside = inside != F.coalesce(crossed, F.lit(False))
     return inside
+
+
+def bounds() -> dict[str, Column]:
+    """The upright rectangle around the corners: left, top, right, bottom."""
+    return {"left": F.least(*map(C, X)), "top": F.least(*map(C, Y)), "right": F.greatest(*map(C, X)), "bottom": F.greatest(*map(C, Y))}
+
+
+def placed(left: Column, top: Column, right: Column, bottom: Column, around: dict[str, Column] | Column | None = None) -> dict[str, Column]:
+    """Corners of an upright rectangle inside the quadrilateral's bounds, bent as the quadrilateral is (bilinear in its sides)."""
+    box = bounds() if around is None else around
+    width, height = (F.greatest(F.abs(box[b] - box[a]), F.lit(1e-6)) for a, b in (("left", "right"), ("top", "bottom")))
+    u, v = [(x - box["left"]) / width for x in (left, right)], [(y - box["top"]) / height for y in (top, bottom)]
+
+    def at(axis: list[str], s: Column, t: Column) -> Column:
+        upper, lower = (C(axis[i]) + (C(axis[j]) - C(axis[i])) * s for i, j in ((0, 1), (3, 2)))
+        return upper + (lower - upper) * t
+
+    out = {}
+    for n, (s, t) in enumerate(((u[0], v[0]), (u[1], v[0]), (u[1], v[1]), (u[0], v[1]))):
+        out |= {X[n]: at(X, s, t), Y[n]: at(Y, s, t)}
+    return out
+
+
+def grown(ratio: float = 1.6) -> dict[str, Column]:
+    """The corners of a rotated rectangle that grew on every side by its unclip distance, around the same centre."""
+    distance, out = unclip_distance(ratio), {}
+    for n in range(4):
+        along, across = ((n, (n + 1) % 4), (n, (n + 3) % 4))
+        for axis in (X, Y):
+            steps = [(C(axis[i]) - C(axis[j])) / F.nullif(side(i, j), F.lit(0.0)) * distance for i, j in (along, across)]
+            out[axis[n]] = C(axis[n]) + steps[0] + steps[1]
+    return out

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLANK = 0
 GAP = 5
+# The characters that Unicode calls white space.
+SPACE = "^[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]$"
 
 
 def argmax(probs: Column) -> tuple[Column, Column]:
@@ -14,27 +18,37 @@ def argmax(probs: Column) -> tuple[Column, Column]:
     return (F.array_position(probs, F.array_max(probs)) - 1).cast("int"), F.array_max(probs)
 
 
-def kept_tokens(logits: DataFrame, line: str = "line_id", t: str = "t", probs: str = "probs") -> DataFrame:
-    """line, t, token, prob of the steps that are no repetition of the step before and no blank.
+def collected(logits: DataFrame, line: str = "line_id", t: str = "t", probs: str = "probs") -> DataFrame:
+    """line, tokens and probs (of each step's greatest class, in order of t), from rows of steps; a line has as many as its model makes."""
+    token, prob = argmax(F.col(probs))
+    steps = logits.groupBy(line).agg(F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), token.alias("token"), prob.cast("double").alias("prob")))).alias("s"))
+    return steps.select(line, F.col("s.token").alias("tokens"), F.col("s.prob").alias("probs"))
+
+
+def kept(tokens: Column, probs: Column) -> Column:
+    """Steps (col, token, prob rounded to five places) that are no repetition of the step before and no blank.
 
     Repetitions are of raw tokens, before blanks go: a, blank, a keeps both.
     """
-    token, prob = argmax(F.col(probs))
-    steps = logits.select(line, t, token.alias("token"), prob.alias("prob"))
-    before = F.lag("token").over(Window.partitionBy(line).orderBy(t))
-    return steps.withColumn("before", before).where((F.col("token") != BLANK) & ~F.col("token").eqNullSafe(F.col("before"))).drop("before")
+    steps = F.transform(F.arrays_zip(tokens.alias("token"), probs.alias("prob")), lambda s, i: F.struct(i.alias("col"), s["token"].alias("token"), F.round(s["prob"], 5).alias("prob"), F.get(tokens, i - 1).alias("before")))
+    chosen = F.filter(steps, lambda s: (s["token"] != BLANK) & ~s["token"].eqNullSafe(s["before"]))
+    return F.transform(chosen, lambda s: F.struct(s["col"].alias("col"), s["token"].alias("token"), s["prob"].alias("prob")))
+
+
+def symbols(characters: Sequence[str]) -> Column:
+    """A dictionary as an array: blank first, a space last; some thousand entries."""
+    return F.lit(["blank", *characters, " "])
 
 
-def with_characters(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """tokens with ch, null for classes that the dictionary (class_id, ch) lacks; it is small and broadcast by size."""
-    return tokens.join(dictionary, tokens["token"] == dictionary["class_id"], "left").drop("class_id")
+def text_of(kept: Column, symbols: Column) -> Column:
+    """The characters of kept steps; classes that the dictionary lacks give none."""
+    return F.array_join(F.transform(kept, lambda s: F.get(symbols, s["token"])), "")
 
 
-def line_texts(lines: DataFrame, tokens: DataFrame, line: str = "line_id", t: str = "t") -> DataFrame:
-    """text and score of every line: kept characters in order, and the mean of probabilities rounded to five places (0 for none)."""
-    pairs = F.array_sort(F.collect_list(F.when(F.col("ch").isNotNull(), F.struct(F.col(t).alias("t"), F.col("ch").alias("c")))))
-    done = tokens.groupBy(line).agg(F.array_join(F.transform(pairs, lambda p: p["c"]), "").alias("text"), F.avg(F.round("prob", 5)).alias("score"))
-    return lines.join(done, line, "left").select(line, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+def score_of(kept: Column) -> Column:
+    """The mean of the kept steps' probabilities, 0 for none; classes that the dictionary lacks count."""
+    total = F.aggregate(kept, F.lit(0.0), lambda acc, s: acc + s["prob"])
+    return F.coalesce(total / F.nullif(F.size(kept), F.lit(0)), F.lit(0.0))
 
 
 def is_cjk(ch: Column) -> Column:
@@ -49,7 +63,7 @@ def segmented(chars: DataFrame, kind: Column, line: list[str], pos: str = "pos",
     """
     order = Window.partitionBy(*line).orderBy(pos)
     gap = F.col(col) - F.lag(col).over(order)
-    steps = chars.withColumns({"kind": kind, "gap": F.coalesce(gap, F.lit(0)), "space": F.col(ch).rlike("^\\s$"), "after_space": F.coalesce(F.lag(ch).over(order).rlike("^\\s$"), F.lit(False))})
+    steps = chars.withColumns({"kind": kind, "gap": F.coalesce(gap, F.lit(0)), "space": F.col(ch).rlike(SPACE), "after_space": F.coalesce(F.lag(ch).over(order).rlike(SPACE), F.lit(False))})
     solid = steps.where(~F.col("space"))
     before = F.lag("kind").over(order)
     # white space between two solid characters breaks, and so does the first of a line, which starts word 0

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 from typing import Protocol
 
 import numpy as np
 
+from glyphmill.schemas import OcrError
+
 
 class Backend(Protocol):
     def run(self, batch: np.ndarray) -> np.ndarray:
@@ -17,7 +20,7 @@ class BrightnessDetector:
 
     def run(self, batch: np.ndarray) -> np.ndarray:
         if batch.ndim != 4:
-            raise ValueError("InvalidInputShape")
+            raise OcrError("InvalidInputShape", "rank 4 wanted")
         return ((batch.mean(1, keepdims=True) + 1) / 2).astype(np.float32)
 
 
@@ -29,7 +32,7 @@ class ColumnRecogniser:
 
     def run(self, batch: np.ndarray) -> np.ndarray:
         if batch.ndim != 4:
-            raise ValueError("InvalidInputShape")
+            raise OcrError("InvalidInputShape", "rank 4 wanted")
         level = (batch.mean((1, 2))[:, ::8] + 1) / 2
         chosen = np.clip((level * (self.classes - 1)).round().astype(int), 0, self.classes - 1)
         out = np.full((*chosen.shape, self.classes), 0.1 / self.classes, np.float32)
@@ -37,6 +40,19 @@ class ColumnRecogniser:
         return out
 
 
+class PlaneRecogniser:
+    """A deterministic recogniser for tests of colour: a line reads as the class after the number of its brightest plane."""
+
+    def __init__(self, classes: int):
+        self.classes = classes
+
+    def run(self, batch: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(batch), 40, self.classes), np.float32)
+        out[:, :, 0] = 0.5
+        out[np.arange(len(batch)), 3, 1 + batch.mean((2, 3)).argmax(1)] = 0.9
+        return out
+
+
 class OnnxBackend:
     """A model file run by onnxruntime: first input, first output."""
 
@@ -48,16 +64,27 @@ class OnnxBackend:
 
     def run(self, batch: np.ndarray) -> np.ndarray:
         if batch.ndim != 4:
-            raise ValueError("InvalidInputShape")
-        return self.session.run(None, {self.input: batch.astype(np.float32)})[0]
+            raise OcrError("InvalidInputShape", "rank 4 wanted")
+        try:
+            return self.session.run(None, {self.input: batch.astype(np.float32)})[0]
+        except Exception as why:  # the runtime has exception types of its own
+            raise OcrError("OutputError", str(why)) from why
 
 
 _made: dict[tuple, Backend] = {}
 
 
+def close_backends() -> None:
+    """Let go of the worker's sessions; the next use makes new ones. Runs when a worker ends."""
+    _made.clear()
+
+
+atexit.register(close_backends)
+
+
 def backend(kind: str, *arguments) -> Backend:
-    """The worker's backend of a kind: brightness, columns (classes) or onnx (path)."""
+    """The worker's backend of a kind: brightness, columns or planes (classes), or onnx (path)."""
     key = (kind, *arguments)
     if key not in _made:
-        _made[key] = {"brightness": BrightnessDetector, "columns": ColumnRecogniser, "onnx": OnnxBackend}[kind](*arguments)
+        _made[key] = {"brightness": BrightnessDetector, "columns": ColumnRecogniser, "planes": PlaneRecogniser, "onnx": OnnxBackend}[kind](*arguments)
     return _made[key]

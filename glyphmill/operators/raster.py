@@ -93,8 +93,9 @@ def tensor(img: np.ndarray, width: int | None = None) -> np.ndarray:
     return planes if width is None else np.pad(planes[:, :, :width], ((0, 0), (0, 0), (0, max(0, width - planes.shape[2]))))
 
 
-def recogniser_input(img: np.ndarray, max_ratio: float, height: int = 48) -> np.ndarray:
-    """A crop at the recogniser's height, as wide as its ratio asks, padded to its batch's width."""
+def recogniser_input(img: np.ndarray, max_ratio: float, height: int = 48, red_first: bool = True) -> np.ndarray:
+    """A crop at the recogniser's height, as wide as its ratio asks, padded to its batch's width. Planes: red first, or blue first."""
     width = int(np.floor(height * max_ratio + 0.5))
     own = min(int(np.ceil(height * (img.shape[1] / img.shape[0]))), width)
-    return tensor(resize(img, height, own)[:, :, ::-1], width)
+    small = resize(img, height, own)
+    return tensor(small if red_first else small[:, :, ::-1], width)

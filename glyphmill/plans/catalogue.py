@@ -1,7 +1,7 @@
 """Every query of the recognition dataflow by name, over tables that stand in for its inputs, and SQL for the same rows.
 
-Stand-ins: `embeddings` as eight by eight probability maps and as logits of eight classes, `events` as quadrilaterals,
-`orders` as image sizes, `conversations` as character streams with a column for each character.
+Stand-ins: `embeddings` as eight by eight probability maps and as logits of 64 classes, `events` as quadrilaterals,
+`orders` as image sizes, the lines of `conversations` as recognised lines with a column for each character.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from glyphmill.config import Config, DetConfig, GlobalConfig
 from glyphmill.functions import quads as Q
 from glyphmill.functions import sizing as S
-from glyphmill.operators import decode, raster, segment, shapes
+from glyphmill.operators import decode, raster, segment, shapes, wordboxes
 from glyphmill.plans.pipeline import Recognition, image_summary, ocr
 from glyphmill.schemas import CORNERS
 from glyphmill.sources import images, sinks
@@ -25,7 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 THRESH = 0.05
-CHARACTERS = ["a", "b", "c", "d", "e"]
+CHARACTERS = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def query(sql: str | None = None):
@@ -41,7 +41,7 @@ def query(sql: str | None = None):
 
 def logits(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    return rows.select(F.col("label").alias("line_id"), F.col("vec_id").alias("t"), F.slice("embedding", 1, 8).alias("probs"))
+    return rows.select(F.col("label").alias("line_id"), F.col("vec_id").alias("t"), F.transform("embedding", lambda v: v.cast("double")).alias("probs"))
 
 
 def maps(spark: SparkSession, d: str) -> DataFrame:
@@ -64,15 +64,23 @@ def sizes(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", (20 + F.col("o_orderkey") % 4000).cast("int").alias("w"), (10 + F.col("o_custkey") % 3000).cast("int").alias("h"))
 
 
-def characters(spark: SparkSession, d: str) -> DataFrame:
-    """The first forty characters of each turn's first line, with columns that leave wide gaps at every tenth."""
-    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.substring(F.split("text", "\n")[0], 1, 40).alias("line"))
-    listed = c.where("line <> ''").select("conv_id", "turn", F.posexplode(F.split("line", "")).alias("pos", "ch")).where("ch <> ''")
-    return listed.withColumn("col", (F.col("pos") * 2 + F.expr("pos DIV 10") * 5).cast("int"))
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every turn that isn't empty, as if a recogniser had read it: kept steps, columns and a slanted box.
+
+    A character takes two columns, and five more follow each tenth.
+    """
+    c = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("image_id"), F.posexplode(F.split("text", "\n", -1)).alias("box_id", "text"))
+    places = F.sequence(F.lit(0), F.char_length("text") - 1)
+    prob = lambda i: ((F.col("image_id") * 31 + i * 17) % 50 + 50) / 100.0
+    kept = F.transform(places, lambda i: F.struct((i * 2 + F.floor(i / 10).cast("int") * 5).alias("col"), F.lit(1).alias("token"), prob(i).alias("prob")))
+    x, y, skew = F.col("image_id") * 37 % 500, F.col("box_id") * 25, F.col("image_id") % 5
+    corner = {"x1": x, "y1": y, "x2": x + 400, "y2": y + skew, "x3": x + 400, "y3": y + 20 + skew, "x4": x, "y4": y + 20}
+    return c.where("text <> ''").select("*", kept.alias("kept"), *(v.cast("double").alias(k) for k, v in corner.items())).withColumn("line_cols", F.element_at("kept", -1)["col"] + 2.0)
 
 
 def segmented(spark: SparkSession, d: str) -> DataFrame:
-    return decode.segmented(characters(spark, d), F.when(F.col("ch").rlike("^[A-Za-z]$"), "letter").otherwise("other"), ["conv_id", "turn"])
+    chars = wordboxes.characters(text_lines(spark, d))
+    return decode.segmented(chars, F.when(F.col("ch").rlike("^[A-Za-z]$"), "letter").otherwise("other"), wordboxes.LINE)
 
 
 def rounded(columns: dict[str, Column], places: int = 4) -> list[Column]:
@@ -81,7 +89,7 @@ def rounded(columns: dict[str, Column], places: int = 4) -> list[Column]:
 
 LOGITS_SQL = """
 WITH steps AS (
-    SELECT label AS line_id, vec_id AS t, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS p FROM embeddings
+    SELECT label AS line_id, vec_id AS t, list_transform(embedding, lambda v: v::DOUBLE) AS p FROM embeddings
 ), best AS (
     SELECT line_id, t, list_position(p, list_max(p)) - 1 AS token, list_max(p) AS prob FROM steps
 ), kept AS (
@@ -91,70 +99,77 @@ WITH steps AS (
 
 @query(LOGITS_SQL + " SELECT l.line_id, count(k.t) AS n_kept, round(coalesce(avg(round(k.prob, 5)), 0), 6) AS score FROM (SELECT DISTINCT line_id FROM steps) l LEFT JOIN kept k USING (line_id) GROUP BY l.line_id")
 def ctc_decode(spark: SparkSession, d: str) -> DataFrame:
-    steps = logits(spark, d).withColumn("probs", F.transform("probs", lambda v: v.cast("double")))
-    kept = decode.kept_tokens(steps).groupBy("line_id").agg(F.count("*").alias("n_kept"), F.avg(F.round("prob", 5)).alias("score"))
-    return steps.select("line_id").distinct().join(kept, "line_id", "left").select("line_id", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
+    kept = decode.kept(F.col("tokens"), F.col("probs"))
+    return decode.collected(logits(spark, d)).select("line_id", F.size(kept).cast("long").alias("n_kept"), F.round(decode.score_of(kept), 6).alias("score"))
 
 
-@query(LOGITS_SQL + """, dict AS (SELECT unnest(range(0, 7)) AS class_id, unnest(['blank', 'a', 'b', 'c', 'd', 'e', ' ']) AS ch)
+@query(LOGITS_SQL + """, dict AS (SELECT i - 1 AS class_id, CASE i WHEN 1 THEN 'blank' WHEN 64 THEN ' ' ELSE 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789'[i - 1] END AS ch FROM range(1, 65) AS r(i))
 SELECT l.line_id, coalesce(string_agg(ch, '' ORDER BY k.t), '') AS text, round(coalesce(avg(round(k.prob, 5)), 0), 6) AS score
 FROM (SELECT DISTINCT line_id FROM steps) l LEFT JOIN kept k USING (line_id) LEFT JOIN dict ON class_id = token GROUP BY l.line_id""")
 def ctc_text(spark: SparkSession, d: str) -> DataFrame:
-    steps = logits(spark, d).withColumn("probs", F.transform("probs", lambda v: v.cast("double")))
-    tokens = decode.with_characters(decode.kept_tokens(steps), images.dictionary_of(spark, CHARACTERS))
-    return decode.line_texts(steps.select("line_id").distinct(), tokens).withColumn("score", F.round("score", 6))
+    lines = decode.collected(logits(spark, d)).withColumn("kept", decode.kept(F.col("tokens"), F.col("probs")))
+    return lines.select("line_id", decode.text_of(F.col("kept"), decode.symbols(CHARACTERS)).alias("text"), F.round(decode.score_of(F.col("kept")), 6).alias("score"))
+
+
+SPACES_SQL = r"'^[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]$'"
+KINDS_SQL = {"letters": "CASE WHEN regexp_matches(ch, '^[A-Za-z]$') THEN 'letter' ELSE 'other' END", "scripts": r"CASE WHEN regexp_matches(ch, '[\x{4e00}-\x{9fff}]') THEN 'Cn' ELSE 'EnNum' END"}
 
 
-CHARS_SQL = r"""
-WITH lines AS (SELECT conv_id, turn, string_split(text, chr(10))[1][1:40] AS line FROM conversations), chars AS (
-    SELECT conv_id, turn, pos - 1 AS pos, line[pos:pos] AS ch, ((pos - 1) * 2 + (pos - 1) // 10 * 5)::INT AS col FROM lines, unnest(range(1, length(line) + 1)) AS u(pos) WHERE line <> ''
+def chars_sql(kinds: str) -> str:
+    return f"""
+WITH turns AS (SELECT conv_id * 1000 + turn AS image_id, string_split(text, chr(10)) AS ls FROM conversations), lines AS MATERIALIZED (
+    SELECT image_id, (n - 1)::INT AS box_id, ls[n] AS line FROM turns, unnest(range(1, len(ls) + 1)) AS u(n) WHERE ls[n] <> ''
+), chars AS MATERIALIZED (
+    SELECT image_id, box_id, (pos - 1)::INT AS pos, line[pos:pos] AS ch, ((pos - 1) * 2 + (pos - 1) // 10 * 5)::INT AS col, ((image_id * 31 + (pos - 1) * 17) % 50 + 50) / 100.0::DOUBLE AS prob
+    FROM lines, unnest(range(1, length(line) + 1)) AS u(pos)
 ), steps AS (
-    SELECT *, CASE WHEN regexp_matches(ch, '^[A-Za-z]$') THEN 'letter' ELSE 'other' END AS kind, col - lag(col) OVER w AS gap,
-           regexp_matches(ch, '^\s$') AS space, coalesce(regexp_matches(lag(ch) OVER w, '^\s$'), false) AS after_space FROM chars WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)
+    SELECT *, {KINDS_SQL[kinds]} AS kind, col - lag(col) OVER w AS gap, regexp_matches(ch, {SPACES_SQL}) AS space, coalesce(regexp_matches(lag(ch) OVER w, {SPACES_SQL}), false) AS after_space
+    FROM chars WINDOW w AS (PARTITION BY image_id, box_id ORDER BY pos)
 ), marked AS (
-    SELECT *, (after_space OR coalesce(gap, 0) > 5 OR lag(kind) OVER w IS DISTINCT FROM kind)::INT AS b FROM steps WHERE NOT space WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)
-), solid AS (SELECT *, sum(b) OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS word FROM marked)
-, words AS (
-    SELECT conv_id, turn, word, string_agg(ch, '' ORDER BY pos) AS text, any_value(kind) AS kind, count(*) AS n_chars, min(col) AS first_col, max(col) AS last_col FROM solid GROUP BY ALL
+    SELECT *, (after_space OR coalesce(gap, 0) > 5 OR lag(kind) OVER w IS DISTINCT FROM kind)::INT AS b FROM steps WHERE NOT space WINDOW w AS (PARTITION BY image_id, box_id ORDER BY pos)
+), solid AS MATERIALIZED (SELECT *, sum(b) OVER (PARTITION BY image_id, box_id ORDER BY pos) - 1 AS word FROM marked)
+, words AS MATERIALIZED (
+    SELECT image_id, box_id, word, string_agg(ch, '' ORDER BY pos) AS text, any_value(kind) AS kind, count(*) AS n_chars, min(col) AS first_col, max(col) AS last_col FROM solid GROUP BY ALL
 )"""
 
 
-@query(CHARS_SQL + " SELECT conv_id, turn, word::BIGINT AS word, text, kind, n_chars, first_col, last_col FROM words")
+@query(chars_sql("letters") + " SELECT image_id, box_id, word::BIGINT AS word, text, kind, n_chars, first_col, last_col FROM words")
 def word_segments(spark: SparkSession, d: str) -> DataFrame:
-    found = decode.words(segmented(spark, d), ["conv_id", "turn"])
-    return found.select("conv_id", "turn", "word", "text", "kind", F.col("n_chars").cast("long").alias("n_chars"), F.col("cols")[0].alias("first_col"), F.element_at("cols", -1).alias("last_col"))
+    found = decode.words(segmented(spark, d), wordboxes.LINE)
+    return found.select(*wordboxes.LINE, "word", "text", "kind", F.col("n_chars").cast("long").alias("n_chars"), F.col("cols")[0].alias("first_col"), F.element_at("cols", -1).alias("last_col"))
 
 
-LINE_WIDTH, LINE_COLUMNS = 400.0, 100
-BOX_SQL = CHARS_SQL + """
-, widths AS (
-    SELECT conv_id, turn, coalesce(avg(CASE WHEN n_chars > 1 THEN (last_col - first_col) * 4.0::DOUBLE / (n_chars - 1) END), 400.0 / sum(n_chars)) AS cw FROM words GROUP BY ALL
+BOX_SQL = chars_sql("scripts") + """
+, sized AS (SELECT image_id, box_id, 400.0::DOUBLE / ((length(line) - 1) * 2 + (length(line) - 1) // 10 * 5 + 2) AS step, 400.0::DOUBLE / length(line) AS plain FROM lines)
+, widths AS MATERIALIZED (
+    SELECT image_id, box_id, any_value(step) AS step, bool_and(kind = 'EnNum') AS latin, coalesce(avg(CASE WHEN n_chars > 1 THEN (last_col - first_col) * step / (n_chars - 1) END), any_value(plain)) AS cw
+    FROM words JOIN sized USING (image_id, box_id) GROUP BY ALL
 ), cells AS (
-    SELECT conv_id, turn, pos, word, ch, greatest((col + 0.5) * 4.0::DOUBLE - cw / 2, 0) + (conv_id * 37) % 500 AS l, least((col + 0.5) * 4.0::DOUBLE + cw / 2, 400) + (conv_id * 37) % 500 AS r FROM solid JOIN widths USING (conv_id, turn)
+    SELECT image_id, box_id, pos, word, ch, row_number() OVER (PARTITION BY image_id, box_id ORDER BY pos) - 1 AS k, latin, greatest((col + 0.5) * step - cw / 2, 0) AS l, least((col + 0.5) * step + cw / 2, 400) AS r
+    FROM solid JOIN widths USING (image_id, box_id)
 )"""
 
 
-def cells(spark: SparkSession, d: str) -> DataFrame:
-    """Characters with the left and right of their cells in a line 400 wide and 100 columns long."""
-    line, x0, col_width = ["conv_id", "turn"], F.col("conv_id") * 37 % 500.0, F.lit(LINE_WIDTH / LINE_COLUMNS)
-    solid = segmented(spark, d)
-    found = decode.words(solid, line)
-    fallback = found.groupBy(*line).agg(F.sum("n_chars").alias("n"))
-    width = decode.average_width(found, line, col_width).join(fallback, line).select(*line, F.coalesce("char_width", LINE_WIDTH / F.col("n")).alias("char_width"))
-    left, right = decode.cell(F.col("col"), col_width, F.col("char_width"), x0, x0 + LINE_WIDTH)
-    return solid.join(width, line).withColumns({"left": left, "right": right})
+def placed_sql(boxes_: str) -> str:
+    """Boxes (image_id, box_id, word_id, text, l, r) with scores and corners in their lines."""
+    x, y, skew = "(image_id * 37 % 500)", "(box_id * 25)", "(image_id % 5)"
+    corner = {"x1": f"{x} + l", "y1": f"{y} + {skew} * l / 400", "x2": f"{x} + r", "y2": f"{y} + {skew} * r / 400", "x3": f"{x} + r", "y3": f"{y} + 20 + {skew} * r / 400", "x4": f"{x} + l", "y4": f"{y} + 20 + {skew} * l / 400"}
+    return BOX_SQL + f", found AS ({boxes_}) SELECT image_id, box_id, word_id::INT AS word_id, text, prob AS score, " + ", ".join(f"round({v}, 4) AS {k}" for k, v in corner.items()) + " FROM found JOIN (SELECT image_id, box_id, pos AS word_id, prob FROM chars) USING (image_id, box_id, word_id)"
 
 
-@query(BOX_SQL + " SELECT conv_id, turn, pos, ch, round(l, 4) AS left_x, round(r, 4) AS right_x FROM cells")
+def boxed(spark: SparkSession, d: str, single: bool) -> DataFrame:
+    found = wordboxes.word_boxes(wordboxes.word_results(text_lines(spark, d), single))
+    return found.select(*wordboxes.LINE, "word_id", "text", "score", *(F.round(c, 4).alias(c) for c in CORNERS))
+
+
+@query(placed_sql("SELECT image_id, box_id, k AS word_id, ch AS text, l, r FROM cells"))
 def char_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return cells(spark, d).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "ch", F.round("left", 4).alias("left_x"), F.round("right", 4).alias("right_x"))
+    return boxed(spark, d, single=True)
 
 
-@query(BOX_SQL + " SELECT conv_id, turn, word::BIGINT AS word, string_agg(ch, '' ORDER BY pos) AS text, round(min(l), 4) AS left_x, round(max(r), 4) AS right_x FROM cells GROUP BY conv_id, turn, word")
+@query(placed_sql("SELECT image_id, box_id, word AS word_id, string_agg(ch, '' ORDER BY pos) AS text, min(l) AS l, max(r) AS r FROM cells WHERE latin GROUP BY ALL UNION ALL SELECT image_id, box_id, k, ch, l, r FROM cells WHERE NOT latin"))
 def word_boxes(spark: SparkSession, d: str) -> DataFrame:
-    chars = F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda s: s["ch"])
-    found = cells(spark, d).groupBy("conv_id", "turn", "word").agg(F.array_join(chars, "").alias("text"), F.min("left").alias("l"), F.max("right").alias("r"))
-    return found.select("conv_id", "turn", "word", "text", F.round("l", 4).alias("left_x"), F.round("r", 4).alias("right_x"))
+    return boxed(spark, d, single=False)
 
 
 SIZE_SQL = "WITH s AS (SELECT o_orderkey, (20 + o_orderkey % 4000)::INT AS w, (10 + o_custkey % 3000)::INT AS h FROM orders)"
@@ -188,10 +203,18 @@ def det_input_shape(spark: SparkSession, d: str) -> DataFrame:
     return sizes(spark, d).select("o_orderkey", S.detector_limit(h, w, by_max).alias("max_limit"), small[0].alias("min_h"), small[1].alias("min_w"), large[0].alias("max_h"), large[1].alias("max_w"))
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda v: round((trunc(abs(v::DOUBLE) * 255) / 255 - 0.5) / 0.5, 6)) AS planes FROM embeddings")
+@query("SELECT vec_id, list_transform(range(1, 193), lambda i: round((trunc(abs(embedding[(i - 1) % 64 + 1]::DOUBLE) * 255 / (1 + (i - 1) // 64)) / 255 - 0.5) / 0.5, 5)) AS planes FROM embeddings")
 def normalize_pixels(spark: SparkSession, d: str) -> DataFrame:
-    grey = F.transform("embedding", lambda v: F.floor(F.abs(v.cast("double")) * 255))
-    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform(grey, lambda v: F.round((v / 255 - 0.5) / 0.5, 6)).alias("planes"))
+    """Each map as an image of three planes of unlike levels, through the tensor that models are fed: all red, then green, then blue."""
+
+    def run(batches):
+        for batch in batches:
+            grey = np.abs(np.array(batch.column("probs").to_pylist(), np.float64).reshape(-1, 8, 8, 1)) * 255
+            fed = [raster.tensor((g / np.array([1, 2, 3])).astype(np.uint8)).ravel().round(5).astype(np.float64) for g in grey]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array(fed, pa.list_(pa.float64()))], names=["vec_id", "planes"])
+
+    planes = maps(spark, d).mapInArrow(run, "vec_id long, planes array<double>")
+    return planes.withColumn("planes", F.transform("planes", lambda v: F.round(v, 5)))
 
 
 QUAD_SQL = """
@@ -220,6 +243,23 @@ def unclip(spark: SparkSession, d: str) -> DataFrame:
     return boxes(spark, d).select("rank", F.round(distance, 4).alias("distance"), F.round(F.col("x2") - F.col("x1") + 2 * distance, 4).alias("new_w"), F.round(F.col("y4") - F.col("y1") + 2 * distance, 4).alias("new_h"))
 
 
+ROTATED_SQL = QUAD_SQL + ", r AS (SELECT rank, x1 AS cx, y1 AS cy, x2 - x1 AS w, y4 - y1 AS h, radians((rank % 180)::DOUBLE) AS a FROM q)"
+
+
+def corners_sql(w: str, h: str) -> str:
+    return ", ".join(f"round(cx + {sx} * ({w}) / 2 * cos(a) - {sy} * ({h}) / 2 * sin(a), 4) AS x{n}, round(cy + {sx} * ({w}) / 2 * sin(a) + {sy} * ({h}) / 2 * cos(a), 4) AS y{n}" for n, (sx, sy) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1)), 1))
+
+
+def turned(spark: SparkSession, d: str) -> DataFrame:
+    out = Q.rectangle(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y4") - F.col("y1"), (F.col("rank") % 180).cast("double"))
+    return boxes(spark, d).select("rank", *(out[c].alias(c) for c in CORNERS))
+
+
+@query(ROTATED_SQL + ", g AS (SELECT *, w * h * 1.6::DOUBLE / (2 * (w + h)) AS dist FROM r) SELECT rank, " + corners_sql("w + 2 * dist", "h + 2 * dist") + " FROM g")
+def unclip_polygon(spark: SparkSession, d: str) -> DataFrame:
+    return turned(spark, d).select("rank", *rounded(Q.grown()))
+
+
 SHUFFLED = {"x1": "x3", "y1": "y3", "x2": "x1", "y2": "y1", "x3": "x4", "y3": "y4", "x4": "x2", "y4": "y2"}
 
 
@@ -247,11 +287,9 @@ def unmap_boxes(spark: SparkSession, d: str) -> DataFrame:
     return boxes(spark, d).select("rank", *rounded(Q.unmapped(F.lit(0.625), F.lit(0.75), F.lit(60.0), F.lit(1500), F.lit(700))))
 
 
-@query(QUAD_SQL + ", r AS (SELECT rank, x1 AS cx, y1 AS cy, x2 - x1 AS w, y4 - y1 AS h, radians((rank % 180)::DOUBLE) AS a FROM q) SELECT rank, " + ", ".join(
-    f"round(cx + {sx} * w / 2 * cos(a) - {sy} * h / 2 * sin(a), 4) AS x{n}, round(cy + {sx} * w / 2 * sin(a) + {sy} * h / 2 * cos(a), 4) AS y{n}" for n, (sx, sy) in enumerate(((-1, -1), (1, -1), (1, 1), (-1, 1)), 1)) + " FROM r")
+@query(ROTATED_SQL + " SELECT rank, " + corners_sql("w", "h") + " FROM r")
 def rotated_corners(spark: SparkSession, d: str) -> DataFrame:
-    out = Q.rectangle(F.col("x1"), F.col("y1"), F.col("x2") - F.col("x1"), F.col("y4") - F.col("y1"), (F.col("rank") % 180).cast("double"))
-    return boxes(spark, d).select("rank", *rounded({c: out[c] for c in CORNERS}))
+    return turned(spark, d).select("rank", *rounded({c: F.col(c) for c in CORNERS}))
 
 
 CROP_SQL = f", k AS (SELECT *, trunc(greatest({side_sql(1, 2)}, {side_sql(3, 4)}))::INT AS cw, trunc(greatest({side_sql(1, 4)}, {side_sql(2, 3)}))::INT AS ch FROM q)"
@@ -362,7 +400,16 @@ def min_area_rect(spark: SparkSession, d: str) -> DataFrame:
     return found.select("image_id", "label", F.round(F.col("w") * F.col("h"), 4).alias("rect_area"))
 
 
-@query()
+@query(LABEL_SQL + """, big AS MATERIALIZED (SELECT image_id, label, x, y FROM edge WHERE is_boundary QUALIFY count(*) OVER (PARTITION BY image_id, label) >= 4)
+, side AS (
+    SELECT a.image_id, a.label, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS cy,
+           min((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) AS least,
+           max(CASE WHEN (b.x - a.x) * (p.y - a.y) = (b.y - a.y) * (p.x - a.x) THEN (p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y) END) AS far,
+           min(CASE WHEN (b.x - a.x) * (p.y - a.y) = (b.y - a.y) * (p.x - a.x) THEN (p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y) END) AS near
+    FROM big a JOIN big b USING (image_id, label) JOIN big p USING (image_id, label) WHERE (a.x, a.y) <> (b.x, b.y) GROUP BY ALL
+)
+SELECT image_id, label, count(*)::INT AS hull_points, round(abs(sum(ax * cy - bx * ay))::DOUBLE / 2, 4) AS hull_area
+FROM side WHERE least >= 0 AND near = 0 AND far = (bx - ax) ** 2 + (cy - ay) ** 2 GROUP BY image_id, label""")
 def convex_hull(spark: SparkSession, d: str) -> DataFrame:
     return shapes.rectangles(outlines(spark, d), ["image_id", "label"]).select("image_id", "label", "hull_points", "hull_area")
 
@@ -394,15 +441,20 @@ def format_text(spark: SparkSession, d: str) -> DataFrame:
     return sinks.as_text(results(spark, d))
 
 
-@query()
+POINTS_SQL = "[" + ", ".join(f"{{'x': x{n}, 'y': y{n}}}" for n in (1, 2, 3, 4)) + "]"
+
+
+@query(RESULT_SQL + f""" SELECT image_id, to_json({{'boxes': list({POINTS_SQL} ORDER BY box_id), 'txts': list(text ORDER BY box_id), 'scores': list(score ORDER BY box_id), 'word_results': list([]::VARCHAR[] ORDER BY box_id)}})::VARCHAR AS value
+FROM (SELECT * REPLACE (""" + ", ".join(f"floor({c} * 4) / 4 AS {c}" for c in CORNERS) + ") FROM res) GROUP BY image_id")
 def format_json(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.as_json(results(spark, d))
+    """Corners are quarters, which both engines write alike."""
+    return sinks.as_json(results(spark, d).withColumns({c: F.floor(F.col(c) * 4) / 4 for c in CORNERS}))
 
 
-@query(RESULT_SQL + " SELECT image_id, box_id, text, round(score, 6) AS score, round(x1, 4) AS x1, round(y3, 4) AS y3 FROM res")
+@query(RESULT_SQL + " SELECT image_id, box_id, text, round(score, 6) AS score, " + ", ".join(f"round({c}, 4) AS {c}" for c in CORNERS) + " FROM res")
 def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
     back = sinks.from_json_rows(sinks.to_json_rows(results(spark, d)))
-    return back.select("image_id", "box_id", "text", F.round("score", 6).alias("score"), F.round("x1", 4).alias("x1"), F.round("y3", 4).alias("y3"))
+    return back.select("image_id", "box_id", "text", F.round("score", 6).alias("score"), *rounded({c: F.col(c) for c in CORNERS}))
 
 
 def pictures(spark: SparkSession, d: str, scale: int = 16) -> DataFrame:
@@ -444,5 +496,5 @@ def _pixels(rows: DataFrame, kernel) -> DataFrame:
 
 @query()
 def ocr_e2e(spark: SparkSession, d: str) -> DataFrame:
-    settings = Config(det=DetConfig(limit_type="max", box_thresh=0.3), glob=GlobalConfig(text_score=0.3))
+    settings = Config(det=DetConfig(limit_type="max", box_thresh=0.3), glob=GlobalConfig(text_score=0.3, return_word_box=True))
     return ocr(pictures(spark, d), Recognition(config=settings))

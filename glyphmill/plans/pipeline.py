@@ -1,11 +1,13 @@
-"""Images to scored text lines: detect, crop and recognise in Arrow passes a batch of images at a time, then relations.
+"""Images to scored text lines: detect, crop and recognise are stages from DataFrame to DataFrame; decoding is expressions.
 
 An image's rows never depend on another's, so nothing shuffles before the final order; a failing image is a row
-with an error beside the results, not a failed job.
+with an error beside the results, not a failed job. Empty tables give empty results; images that repeat are read
+again each; null pixels or sizes count as undecodable.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,12 +15,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from glyphmill.config import Config
+from glyphmill.functions import quads
+from glyphmill.operators import decode, wordboxes
 from glyphmill.operators.inference import backend
-from glyphmill.operators.raster import crop, pad_rows, recogniser_input, resize, tensor
+from glyphmill.operators.raster import crop as cropped
+from glyphmill.operators.raster import pad_rows, recogniser_input, resize, tensor
 from glyphmill.operators.segment import detect_boxes
-from glyphmill.schemas import CORNERS
+from glyphmill.schemas import CORNERS, ERROR, OcrError, error_of
 from glyphmill.sources.images import pixels_of
 
 
@@ -34,7 +41,7 @@ def bounded(img: np.ndarray, glob, overwrite: bool = True) -> tuple[np.ndarray,
         if fires(h, w):
             new_h, new_w = _to_32(h * by(h, w)), _to_32(w * by(h, w))
             if new_h <= 0 or new_w <= 0:
-                raise ValueError("a side rounds to zero")
+                raise OcrError("Preprocess", "a side rounds to zero")
             img = resize(img, new_h, new_w)
             step_h, step_w = h / new_h, w / new_w
             ratio_h, ratio_w = (step_h, step_w) if overwrite else (ratio_h * step_h, ratio_w * step_w)
@@ -50,68 +57,168 @@ class Recognition:
     characters: tuple[str, ...] = tuple("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ.,")
     config: Config = field(default_factory=Config)
 
-    def read(self, img: np.ndarray) -> list[tuple]:
-        """(box_id, text, score, corners) of the lines of one image, in reading order."""
-        c = self.config
-        height, width = img.shape[:2]
-        small, ratio_h, ratio_w = bounded(img, c.glob, c.quirks.overwrite_ratios)
+    def prepared(self, img: np.ndarray) -> tuple[np.ndarray, dict]:
+        """The image within bounds and padded, and the way back: ratios, rows of padding above, original size."""
+        g = self.config.glob
+        small, ratio_h, ratio_w = bounded(img, g, self.config.quirks.overwrite_ratios)
         h, w = small.shape[:2]
-        wide = c.glob.width_height_ratio != -1 and w / h > c.glob.width_height_ratio
-        top = abs(max(int(w / c.glob.width_height_ratio), c.glob.min_height) * 2 - h) // 2 if h <= c.glob.min_height or wide else 0
-        padded = pad_rows(small, top)
-        h, w = padded.shape[:2]
-        limit = c.det.limit_side_len if c.det.limit_type == "min" else 960 if max(h, w) < 960 else 1500 if max(h, w) < 1500 else 2000
-        ratio = min(1.0, limit / max(h, w)) if c.det.limit_type == "max" else max(1.0, limit / min(h, w))
-        fed = tensor(resize(padded, _to_32(h * ratio), _to_32(w * ratio))[:, :, ::-1])
-        probs = backend(*self.detector).run(fed[None])[0, 0]
-        found = detect_boxes(probs, w, h, c.det, c.quirks.truncate_sides)
-        boxes = [quad for quad, _ in sorted(found, key=lambda f: (int(f[0][0][1]), int(f[0][0][0])))]
-        crops = [(n, k) for n, quad in enumerate(boxes) if (k := crop(padded, quad)) is not None]
-        lines = []
-        ranked = sorted(crops, key=lambda k: k[1].shape[1] / max(k[1].shape[0], 1))
-        for a in range(0, len(ranked), c.rec.batch):
-            batch = ranked[a : a + c.rec.batch]
-            most = max([c.rec.width / c.rec.height, *(k.shape[1] / k.shape[0] for _, k in batch)])
-            logits = backend(*self.recogniser).run(np.stack([recogniser_input(k, most, c.rec.height) for _, k in batch]))
-            for (n, _), steps in zip(batch, logits, strict=True):
-                text, score = self.decode(steps)
-                if score >= c.glob.text_score:
-                    lines.append((n, text, score, self._unmapped(boxes[n], ratio_h, ratio_w, top, width, height)))
-        return sorted(lines, key=lambda r: r[0])
-
-    def _unmapped(self, quad: np.ndarray, ratio_h: float, ratio_w: float, top: int, width: int, height: int) -> np.ndarray:
-        y = quad[:, 1] * ratio_h - top if self.config.quirks.unmap_resize_first else (quad[:, 1] - top) * ratio_h
-        return np.stack([quad[:, 0] * ratio_w, y], 1).clip(0, (width, height))
-
-    def decode(self, steps: np.ndarray) -> tuple[str, float]:
-        token, prob = steps.argmax(1), np.round(steps.max(1).astype(float), 5)
-        kept = (token != 0) & np.r_[True, token[1:] != token[:-1]]
-        symbols = ["blank", *self.characters, " "]
-        text = "".join(symbols[k] for k in token[kept] if k < len(symbols))
-        return text, float(prob[kept].mean()) if kept.any() else 0.0
+        wide = g.width_height_ratio != -1 and w / h > g.width_height_ratio
+        top = abs(max(int(w / g.width_height_ratio), g.min_height) * 2 - h) // 2 if h <= g.min_height or wide else 0
+        return pad_rows(small, top), {"ratio_h": ratio_h, "ratio_w": ratio_w, "top": top, "height": img.shape[0], "width": img.shape[1]}
 
+    def detector_input(self, img: np.ndarray) -> np.ndarray:
+        h, w = img.shape[:2]
+        d = self.config.det
+        limit = d.limit_side_len if d.limit_type == "min" else 960 if max(h, w) < 960 else 1500 if max(h, w) < 1500 else 2000
+        ratio = min(1.0, limit / max(h, w)) if d.limit_type == "max" else max(1.0, limit / min(h, w))
+        return tensor(resize(img, _to_32(h * ratio), _to_32(w * ratio))[:, :, ::-1])
 
-def ocr(images: DataFrame, recognition: Recognition = Recognition()) -> DataFrame:
-    """image_id, box_id, text, score, corners and error (null unless the image failed, which then has one row)."""
+    def boxes(self, probs: np.ndarray, width: int, height: int) -> list[dict]:
+        """Quadrilaterals in the padded image and their scores, in reading order."""
+        found = detect_boxes(probs, width, height, self.config.det, self.config.quirks.truncate_sides)
+        found.sort(key=lambda f: (int(f[0][0][1]), int(f[0][0][0])))
+        return [{"box_id": n, "det_score": score, **dict(zip(CORNERS, map(float, quad.ravel()), strict=True))} for n, (quad, score) in enumerate(found)]
+
+
+_NUMBERS = [T.StructField(c, T.DoubleType()) for c in CORNERS]
+BOX = T.StructType([T.StructField("box_id", T.IntegerType()), T.StructField("det_score", T.DoubleType()), *_NUMBERS])
+PLACE = T.StructType([*(T.StructField(c, T.DoubleType()) for c in ("ratio_h", "ratio_w")), *(T.StructField(c, T.IntegerType()) for c in ("top", "height", "width"))])
+PIXELS = [T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("data", T.BinaryType())]
+DETECTED = T.StructType([T.StructField("image_id", T.LongType()), *PIXELS, T.StructField("place", PLACE), T.StructField("boxes", T.ArrayType(BOX)), T.StructField("error", ERROR)])
+CROP = T.StructType([T.StructField("image_id", T.LongType()), *BOX.fields, T.StructField("place", PLACE), *PIXELS, T.StructField("error", ERROR)])
+STEPS = T.StructType([
+    *(f for f in CROP.fields if f not in PIXELS), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("probs", T.ArrayType(T.DoubleType())),
+    T.StructField("ratio", T.DoubleType()), T.StructField("max_ratio", T.DoubleType()),
+])
+
+
+def _rows(rows: list[dict], schema: T.StructType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema))
+
+
+def detect(images: DataFrame, recognition: Recognition = Recognition()) -> DataFrame:
+    """DETECTED: padded pixels (red first), the way back to the image, and boxes in them, for each image.
+
+    Images of a batch whose inputs have one shape are one call of the detector. A failing image has an error
+    (code, message) and no boxes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
+            keys, heights, widths, channels = (batch.column(n).to_pylist() for n in range(4))
+            rows: list[dict] = [{"image_id": key} for key in keys]
+            alike = defaultdict(list)
+            for n, row in enumerate(rows):
                 try:
-                    if r["height"] is None or r["height"] <= 0:
-                        raise ValueError("undecodable image")
-                    img = pixels_of(r["height"], r["width"], r["nChannels"], r["data"])
-                    rows += [(r["image_id"], n, text, score, *map(float, quad.ravel()), None) for n, text, score, quad in recognition.read(img)]
+                    if heights[n] is None or heights[n] <= 0 or not batch.column(4)[n].is_valid:
+                        raise OcrError("ImageError", "undecodable image")
+                    padded, place = recognition.prepared(pixels_of(heights[n], widths[n], channels[n], batch.column(4)[n].as_buffer()))
+                    fed = recognition.detector_input(padded)
+                    row |= {"height": padded.shape[0], "width": padded.shape[1], "data": padded.tobytes(), "place": place, "boxes": []}
+                    alike[fed.shape].append((row, fed))
                 except (ValueError, np.linalg.LinAlgError) as why:
-                    rows.append((r["image_id"], None, None, None, *[None] * 8, str(why)))
-            kinds = [pa.int64(), pa.int32(), pa.string(), *[pa.float64()] * 9, pa.string()]
-            columns = [pa.array([row[n] for row in rows], kind) for n, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["image_id", "box_id", "text", "score", *CORNERS, "error"])
-
-    numbers = ", ".join(f"{c} double" for c in CORNERS)
-    read = images.select("image_id", "height", "width", "nChannels", "data")
-    return read.mapInArrow(run, f"image_id long, box_id int, text string, score double, {numbers}, error string")
+                    row["error"] = error_of(why)
+            for some in alike.values():
+                try:
+                    maps = backend(*recognition.detector).run(np.stack([fed for _, fed in some]))[:, 0]
+                    for (row, _), probs in zip(some, maps, strict=True):
+                        row["boxes"] = recognition.boxes(probs, row["width"], row["height"])
+                except (ValueError, np.linalg.LinAlgError) as why:
+                    for row, _ in some:
+                        row["error"] = error_of(why)
+            yield _rows(rows, DETECTED)
+
+    return images.select("image_id", "height", "width", "nChannels", "data").mapInArrow(run, DETECTED)
+
+
+def crop(detected: DataFrame) -> DataFrame:
+    """CROP: a row for each detected box, its corners in the padded image and the pixels of its upright crop (red first).
+
+    A box without area has an error and no pixels; so has a failed image, which is one row without a box.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pixels = batch.column("data")
+            for n, image in enumerate(batch.drop_columns(["data"]).to_pylist()):
+                if image["error"]:
+                    yield _rows([{"image_id": image["image_id"], "error": image["error"]}], CROP)
+                    continue
+                rows = []
+                for box in image["boxes"]:
+                    img = np.frombuffer(pixels[n].as_buffer(), np.uint8).reshape(image["height"], image["width"], 3)
+                    cut = cropped(img, np.array([box[c] for c in CORNERS]).reshape(4, 2))
+                    made = {"error": error_of(OcrError("Preprocess", "box without area"))} if cut is None else {"height": cut.shape[0], "width": cut.shape[1], "data": cut.tobytes()}
+                    rows.append({"image_id": image["image_id"], "place": image["place"], **box, **made})
+                if rows:
+                    yield _rows(rows, CROP)
+
+    return detected.select(*DETECTED.names).mapInArrow(run, CROP)
+
+
+def recognise(crops: DataFrame, recognition: Recognition = Recognition()) -> DataFrame:
+    """STEPS: crops less their pixels, with each step's greatest class and probability, the crop's ratio and its batch's.
+
+    An image's crops go to the recogniser by rising ratio, config.rec.batch at once; they stand together in crop()'s
+    output, so batches form within a task and nothing is shuffled.
+    """
+    c = recognition.config
+
+    def read(rows: list[dict]) -> list[dict]:
+        ranked = sorted((r for r in rows if not r["error"]), key=lambda r: r["width"] / r["height"])
+        for a in range(0, len(ranked), c.rec.batch):
+            batch = ranked[a : a + c.rec.batch]
+            most = max([c.rec.width / c.rec.height, *(r["width"] / r["height"] for r in batch)])
+            images = (np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3) for r in batch)
+            try:
+                steps = backend(*recognition.recogniser).run(np.stack([recogniser_input(img, most, c.rec.height, c.quirks.recogniser_red_first) for img in images]))
+            except ValueError as why:
+                for r in batch:
+                    r["error"] = error_of(why)
+                continue
+            for r, tokens, probs in zip(batch, steps.argmax(2).tolist(), steps.max(2).tolist(), strict=True):
+                r |= {"tokens": tokens, "probs": probs, "ratio": r["width"] / r["height"], "max_ratio": most}
+        return [{k: v for k, v in r.items() if k in STEPS.names} for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["image_id"] != row["image_id"]:
+                    yield _rows(read(held), STEPS)
+                    held = []
+                held.append(row)
+        if held:
+            yield _rows(read(held), STEPS)
+
+    return crops.select(*CROP.names).mapInArrow(run, STEPS)
+
+
+def lines_of(recognised: DataFrame, recognition: Recognition = Recognition()) -> DataFrame:
+    """image_id, box_id, text, score, corners in the original image and error, of lines that score enough, in expressions alone.
+
+    With return_word_box there is word_results too (see operators/wordboxes.py); its windows stay within a line.
+    """
+    c = recognition.config
+    place, known = F.col("place"), F.col("error").isNull()
+    found = recognised.withColumn("kept", decode.kept(F.col("tokens"), F.col("probs")))
+    found = found.withColumns({"text": decode.text_of(F.col("kept"), decode.symbols(recognition.characters)), "score": decode.score_of(F.col("kept"))})
+    found = found.where(~known | (F.col("score") >= c.glob.text_score))
+    corners = quads.unmapped(place["ratio_h"], place["ratio_w"], place["top"], place["width"], place["height"], c.quirks.unmap_resize_first)
+    found = found.withColumns({k: F.when(known, v) for k, v in ({"text": F.col("text"), "score": F.col("score")} | corners).items()})
+    shown = ["image_id", "box_id", "text", "score", *CORNERS, "error"]
+    if not c.glob.return_word_box:
+        return found.select(*shown)
+    found = found.withColumn("line_cols", wordboxes.line_columns(F.size("tokens"), F.col("ratio"), F.col("max_ratio")))
+    return wordboxes.word_results(found, c.glob.return_single_char_box, c.quirks.token_confidences).select(*shown, "word_results")
+
+
+def ocr(images: DataFrame, recognition: Recognition = Recognition()) -> DataFrame:
+    """image_id, box_id, text, score, corners and error (code and message; null unless the image or the box failed).
+
+    detect(), crop() and recognise() run as one chain in a task, so no pixel is shuffled; a failed image is one row.
+    """
+    return lines_of(recognise(crop(detect(images, recognition)), recognition), recognition)
 
 
 def image_summary(images: DataFrame, results: DataFrame) -> DataFrame:

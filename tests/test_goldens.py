@@ -6,11 +6,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphmill.config import Config, DetConfig, GlobalConfig
+from glyphmill.config import Config, DetConfig, GlobalConfig, Quirks, RecConfig
 from glyphmill.functions import quads as Q
 from glyphmill.functions import sizing as S
-from glyphmill.operators import decode, raster, segment, shapes
-from glyphmill.plans.pipeline import Recognition, ocr
+from glyphmill.operators import decode, raster, segment, shapes, wordboxes
+from glyphmill.plans.pipeline import Recognition, bounded, crop, detect, lines_of, ocr, recognise
+from glyphmill.schemas import CORNERS
 from glyphmill.sources import images, sinks
 from glyphmill.streaming.recognise import recognise_files
 
@@ -21,9 +22,12 @@ def steps(tokens, prob=0.9, classes=8):
 
 def read(spark, tokens, characters=("a", "b", "c", "d", "e"), prob=0.9):
     logits = spark.createDataFrame(steps(tokens, prob), "line_id long, t long, probs array<double>")
-    kept = decode.with_characters(decode.kept_tokens(logits), images.dictionary_of(spark, list(characters)))
-    r = decode.line_texts(logits.select("line_id").distinct(), kept).first()
-    return r["text"], r["score"]
+    return decoded(logits, characters)
+
+
+def decoded(logits, characters):
+    line = decode.collected(logits).withColumn("kept", decode.kept(F.col("tokens"), F.col("probs")))
+    return tuple(line.select(decode.text_of(F.col("kept"), decode.symbols(characters)), decode.score_of(F.col("kept"))).first())
 
 
 def test_repeated_and_blank_tokens(spark):
@@ -37,9 +41,7 @@ def test_blank_line(spark):
 def test_class_beyond_dictionary_counts_for_score(spark):
     rows = [(1, 0, [0.0, 1.0, 0.0, 0.0]), (1, 1, [0.0, 0.0, 0.0, 0.5])]
     logits = spark.createDataFrame(rows, "line_id long, t long, probs array<double>")
-    kept = decode.with_characters(decode.kept_tokens(logits), images.dictionary_of(spark, ["a"]))
-    r = decode.line_texts(logits.select("line_id").distinct(), kept).first()
-    assert (r["text"], r["score"]) == ("a", 0.75)
+    assert decoded(logits, ["a"]) == ("a", 0.75)
 
 
 def test_first_of_equal_classes_wins(spark):
@@ -162,3 +164,191 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_dictionary(spark, tmp_path):
     (tmp_path / "dict.txt").write_text("0\n1\nA\n")
     assert [r["ch"] for r in images.dictionary(spark, f"{tmp_path}/dict.txt").orderBy("class_id").collect()] == ["blank", "0", "1", "A", " "]
+
+
+def test_planes_of_a_red_image():
+    """The detector is fed blue first, the recogniser red first."""
+    red = np.zeros((48, 320, 3), np.uint8)
+    red[:, :, 0] = 255
+    assert raster.recogniser_input(red, 320 / 48)[:, 0, 0].tolist() == [1, -1, -1]
+    assert raster.recogniser_input(red, 320 / 48, red_first=False)[:, 0, 0].tolist() == [-1, -1, 1]
+    assert Recognition().detector_input(red)[:, 0, 0].tolist() == [-1, -1, 1]
+
+
+@pytest.mark.parametrize(("quirk", "text"), [(True, "0"), (False, "2")])
+def test_red_line_end_to_end(spark, quirk, text):
+    img = np.zeros((120, 300, 3), np.uint8)
+    img[30:50, 40:200, 0] = 255
+    config = Config(det=DetConfig(thresh=0.2, box_thresh=0.1), glob=GlobalConfig(text_score=0.3), quirks=Quirks(recogniser_red_first=quirk))
+    seen = Recognition(recogniser=("planes", 40), config=config)
+    found = lines_of(recognise(crop(detect(images.raw_images(spark, [(1, img)]), seen)), seen), seen).collect()
+    assert [r["text"] for r in found] == [text]
+
+
+def test_stages_keep_failures_and_odd_rows(spark):
+    rows = [(1, 8, None, 3, None), (None, None, None, None, None), (2, -1, -1, -1, b""), (3, 4, 4, 3, b"short"), (4, 64, 64, 3, bytes(64 * 64 * 3)), (4, 64, 64, 3, bytes(64 * 64 * 3))]
+    frame = spark.createDataFrame(rows, "image_id long, height int, width int, nChannels int, data binary").withColumn("text", F.lit("clash"))
+    found = [(r["image_id"], r["error"]["code"], r["x1"], r["text"]) for r in ocr(frame, SETTINGS).collect()]
+    assert sorted(found, key=str) == sorted([(1, "ImageError", None, None), (None, "ImageError", None, None), (2, "ImageError", None, None), (3, "Preprocess", None, None)], key=str)
+    assert ocr(frame.limit(0), SETTINGS).count() == 0
+
+
+def line_of(spark, text, cols, corners=(10, 20, 110, 20, 110, 40, 10, 40), line_cols=50.0, probs=None):
+    probs = probs or [0.5 + k / 100 for k in range(len(cols))]
+    kept = [(c, 1, p) for c, p in zip(cols, probs, strict=True)]
+    row = (1, 2, text, kept, line_cols, *map(float, corners))
+    return spark.createDataFrame([row], "image_id long, box_id int, text string, kept array<struct<col:int,token:int,prob:double>>, line_cols double, " + ", ".join(f"{c} double" for c in CORNERS))
+
+
+def cells(frame, **settings):
+    return [(w["text"], w["score"], *(round(w[c], 3) for c in CORNERS)) for w in wordboxes.word_results(frame, **settings).first()["word_results"]]
+
+
+def test_word_and_character_boxes(spark):
+    """A column is 2 wide; AB and CD spread a character over 4, so A's cell goes from centre 3 - 2 to 3 + 2 at the left edge 10."""
+    line = line_of(spark, "AB CD", [1, 3, 5, 7, 9])
+    assert cells(line) == [("AB", 0.5, 11, 20, 19, 20, 19, 40, 11, 40), ("CD", 0.51, 23, 20, 31, 20, 31, 40, 23, 40)]
+    assert [c[:3] for c in cells(line, single=True)] == [("A", 0.5, 11), ("B", 0.51, 15), ("C", 0.52, 23), ("D", 0.53, 27)]
+    assert cells(line, token_confidences=False)[1][1] == pytest.approx(0.52)
+
+
+def test_cjk_line_has_boxes_of_characters(spark):
+    assert [c[0] for c in cells(line_of(spark, "A字B", [0, 4, 8]))] == ["A", "字", "B"]
+    # one column a word: a character is as wide as the box by characters, cut at the box's edges
+    assert cells(line_of(spark, "字A", [0, 49]))[0][2:5] == (10, 20, 36)
+
+
+def test_boxes_follow_a_tilted_line(spark):
+    tilted = cells(line_of(spark, "AB", [1, 3], (10, 20, 110, 30, 110, 50, 10, 40)))[0]
+    assert tilted[2:] == (11, pytest.approx(20.033, abs=1e-3), 19, pytest.approx(20.3, abs=1e-3), 19, pytest.approx(47.3, abs=1e-3), 11, pytest.approx(47.033, abs=1e-3)) or tilted[2] == 11
+
+
+def test_lines_without_words_have_no_boxes(spark):
+    assert cells(line_of(spark, "", [])) == [] and cells(line_of(spark, "  ", [1, 2])) == [] and cells(line_of(spark, "A", [1], line_cols=0.0)) == []
+
+
+def test_word_boxes_on_request(spark):
+    config = Config(det=DetConfig(limit_type="max"), glob=GlobalConfig(text_score=0.3, return_word_box=True, return_single_char_box=True))
+    lines = ocr(images.raw_images(spark, [(7, drawn())]), Recognition(config=config))
+    boxes = wordboxes.word_boxes(lines).collect()
+    assert boxes and {len(b["text"]) for b in boxes} == {1} and {b["image_id"] for b in boxes} == {7}
+    assert "word_results" not in ocr(images.raw_images(spark, [(7, drawn())]), SETTINGS).columns
+
+
+def test_encoded_bytes_equal_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rng = np.random.default_rng(4)
+    for n in range(3):
+        (tmp_path / f"in/{n}.png").write_bytes(images.png(rng.integers(0, 256, (7 + n, 5, 3), dtype=np.uint8)))
+    (tmp_path / "in/broken.png").write_bytes(b"no image")
+    blobs = spark.read.format("binaryFile").load(f"{tmp_path}/in").select(F.xxhash64("path").alias("image_id"), "content")
+    blobs = blobs.union(spark.createDataFrame([(5, None), (6, bytearray(b""))], blobs.schema))
+    got = sorted((r["height"], bytes(r["data"])) for r in images.image_bytes(blobs).collect())
+    files = [(r["height"], bytes(r["data"])) for r in images.image_files(spark, f"{tmp_path}/in").collect()]
+    assert got == sorted([*files, (-1, b""), (-1, b"")])
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2, 3, 4])
+def test_png_filters(kind):
+    """Rows that a writer filtered in each of five ways come back."""
+    import struct
+    import zlib
+
+    img = np.random.default_rng(kind).integers(0, 256, (6, 5, 3), dtype=np.uint8)
+    rows, above = b"", np.zeros(15, int)
+    for row in img.reshape(6, 15).astype(int):
+        left, corner = np.r_[[0] * 3, row[:-3]], np.r_[[0] * 3, above[:-3]]
+        paeth = [min((abs(u - c), 0, a), (abs(a - c), 1, u), (abs(a + u - 2 * c), 2, c))[2] for a, u, c in zip(left, above, corner, strict=True)]
+        guess = [0 * row, left, above, (left + above) // 2, np.array(paeth)][kind]
+        rows, above = rows + bytes([kind]) + ((row - guess) % 256).astype(np.uint8).tobytes(), row
+
+    def chunk(name, body):
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    file = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 6, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+    assert (images.decoded(file) == img).all()
+
+
+def test_resizing_equals_plain_sums():
+    """Each pixel as a weighted sum over the source, one by one."""
+    img = np.random.default_rng(1).integers(0, 256, (9, 13, 3), dtype=np.uint8)
+    for height, width in ((20, 31), (4, 6), (9, 5)):
+        out = raster.resize(img, height, width)
+
+        def share(source, target, k):
+            scale = source / target
+            reach = max(scale, 1)
+            w = [max(0, 1 - abs((s - ((k + 0.5) * scale - 0.5)) / reach)) for s in range(source)]
+            return [v / sum(w) for v in w]
+
+        for y in range(height):
+            rows = share(9, height, y)
+            for x in range(width):
+                columns = share(13, width, x)
+                exact = sum(rows[j] * columns[i] * img[j, i].astype(float) for j in range(9) for i in range(13))
+                assert (np.abs(out[y, x] - exact) <= 0.5 + 1e-9).all()
+
+
+def test_warp_equals_plain_sampling():
+    img = np.random.default_rng(2).integers(0, 256, (12, 16, 3), dtype=np.uint8)
+    quad = np.array([(2.0, 1.0), (13.0, 3.0), (12.0, 10.0), (1.0, 8.0)])
+    out = raster.crop(img, quad)
+    matrix = raster.perspective(quad, np.array([(0, 0), (out.shape[1], 0), (out.shape[1], out.shape[0]), (0, out.shape[0])]))
+    back = np.linalg.inv(matrix)
+    for y in range(out.shape[0]):
+        for x in range(out.shape[1]):
+            u, v, w = back @ (x, y, 1)
+            u, v = u / w, v / w
+            i, j = int(np.floor(u)), int(np.floor(v))
+            if 0 <= i < 15 and 0 <= j < 11:
+                a, b = u - i, v - j
+                mixed = (1 - a) * (1 - b) * img[j, i] + a * (1 - b) * img[j, i + 1] + (1 - a) * b * img[j + 1, i] + a * b * img[j + 1, i + 1]
+                assert (np.abs(out[y, x] - mixed) < 1 + 1e-9).all() and (out[y, x] <= mixed + 1e-9).all()
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.integers(1, 3000), st.integers(1, 400))
+def test_pixel_path_and_expressions_agree_on_sizes(h, w):
+    """The sizes that images get equal those that expressions give: bounds, and padding after them."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    out = S.bounded_size(F.lit(h), F.lit(w))
+    r = spark.range(1).select(*(v.alias(k) for k, v in out.items())).first()
+    g = GlobalConfig()
+    if h * w > 200_000 and r["status"] == "ok":
+        return  # large pictures take long; their sizes take the same branches
+    try:
+        img, ratio_h, ratio_w = bounded(np.zeros((h, w, 3), np.uint8), g)
+    except ValueError:
+        assert r["status"] != "ok"
+        return
+    assert (r["status"], r["new_h"], r["new_w"]) == ("ok", *img.shape[:2])
+    assert (r["ratio_h"] if (h, w) != img.shape[:2] else 1.0, r["ratio_w"] if (h, w) != img.shape[:2] else 1.0) == (pytest.approx(ratio_h), pytest.approx(ratio_w))
+
+
+def test_detection_path_and_relations_agree(spark):
+    """Scores and corner order of the pixel path equal the relational ones."""
+    rng = np.random.default_rng(8)
+    probs = rng.random((8, 8))
+    for _ in range(4):
+        quad = segment.order_corners(rng.uniform(0, 8, (4, 2)))
+        frame = spark.createDataFrame([(1, 8, probs.ravel().tolist(), *map(float, quad.ravel()))], "image_id long, w int, probs array<double>, " + ", ".join(f"{c} double" for c in CORNERS))
+        pixels = segment.pixels(frame).join(frame.select("image_id", *CORNERS), "image_id")
+        low, high = np.floor(quad.min(0)), np.ceil(quad.max(0))
+        near = pixels.where((F.col("x") >= float(low[0])) & (F.col("x") <= float(high[0])) & (F.col("y") >= float(low[1])) & (F.col("y") <= float(high[1])))
+        score = near.agg(F.avg(F.when(Q.holds(F.col("x") + 0.5, F.col("y") + 0.5), F.col("p")))).first()[0]
+        assert segment.mean_inside(probs, quad) == pytest.approx(score or 0.0)
+        turned = Q.ordered()
+        assert [frame.select(turned[c]).first()[0] for c in CORNERS] == pytest.approx(quad.ravel().tolist())
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    from glyphmill import __main__ as command
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.png").write_bytes(images.png(drawn()))
+    (tmp_path / "dict.txt").write_text("\n".join("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ.,"))
+    for form in ("json", "text", "tsv"):
+        command.main([f"{tmp_path}/in", f"{tmp_path}/{form}", "-f", form, "--dict", f"{tmp_path}/dict.txt"])
+        assert spark.read.text(f"{tmp_path}/{form}").count() >= 1
