@@ -114,22 +114,29 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Levels of the tree that the SQL of op9 has; what lies deeper it leaves as it is.
+URL_LEVELS = 6
+
+
 def url_sql() -> str:
-    """SQL of op9: a common table for each level of the template tree."""
-    level = [f"s{d}" for d in range(1, urls.DEPTH + 1)]
+    """SQL of op9: a few common tables for each level of the template tree."""
     fits = " ".join(
         f"WHEN (host = '{rule.partition('/')[0]}' OR host LIKE '%.{rule.partition('/')[0]}') AND starts_with(path, '/{rule.partition('/')[2]}') THEN '{rule}'"
         for _, rule in sorted(URL_RULES, key=lambda r: -len(r[1]))
     )
     says = " ".join(f"WHEN rule = '{rule}' THEN '{said}'" for said, rule in URL_RULES)
 
-    def pure(b: str, a: str) -> str:
-        return f"({b} + {urls.WEIGHT * urls.PRIOR}::DOUBLE) / ({b} + {a} + {urls.WEIGHT}::DOUBLE)"
+    def pure(b: str, a: str, towards: str = f"{urls.PRIOR}::DOUBLE") -> str:
+        return f"(({b}) + ({towards}) * {urls.WEIGHT}::DOUBLE) / (({b}) + ({a}) + {urls.WEIGHT}::DOUBLE)"
 
-    cuts = ", ".join(
-        f"CASE WHEN {'len(parts) > %d THEN %s WHEN ' % (urls.DEPTH + 1, repr('/**')) if d == urls.DEPTH else ''}len(parts) > {d} THEN '/' || parts[{d + 1}] ELSE '' END AS s{d}"
-        for d in range(1, urls.DEPTH + 1)
-    )
+    def told(b: str, a: str, e: str, t: str, n: str) -> tuple[str, str]:
+        share = f"{urls.WEIGHT}::DOUBLE / nullif({n}, 0)"
+        return f"({b}) + coalesce(({e}) * ({share}), 0)", f"({a}) + coalesce((({t}) - ({e})) * ({share}), 0)"
+
+    own, pool = told("ob", "oa", "oe", "ot", "own"), told("pb", "pa", "pe", "pt", "size")
+    others = pure(*told("pb - ob", "pa - oa", "pe - oe", "pt - ot", "size - own"))
+    each = "sum(n)::DOUBLE AS own, sum(blocked)::BIGINT AS ob, sum(allowed)::BIGINT AS oa, sum(expected) AS oe, sum(told)::BIGINT AS ot"
+    whole = "sum(own) AS size, sum(ob)::BIGINT AS pb, sum(oa)::BIGINT AS pa, sum(oe) AS pe, sum(ot)::BIGINT AS pt"
     sql = f"""
 WITH split AS MATERIALIZED (
     SELECT page_id, translate(coalesce(regexp_extract(url, '{urls.PARTS}', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
@@ -138,30 +145,38 @@ WITH split AS MATERIALIZED (
     SELECT *, CASE {fits} END AS rule, regexp_replace(path, '[0-9]+', '*', 'g') AS shape FROM split
 ), labelled AS MATERIALIZED (
     SELECT *, CASE {says} END AS said FROM ruled
-), counts AS (
+), p0 AS MATERIALIZED (
     SELECT host, shape, count(*) AS n, sum((said IS NOT NULL AND said = 'block')::INT)::BIGINT AS blocked, sum((said IS NOT NULL AND said = 'allow')::INT)::BIGINT AS allowed,
-           string_split(shape, '/') AS parts FROM labelled GROUP BY host, shape
-), t0 AS MATERIALIZED (SELECT host, shape, n, blocked, allowed, {cuts} FROM counts)"""
-    for d, name in enumerate(level, 1):
-        above = ", ".join(["host", *level[: d - 1]])
-        rest = " || ".join(level[d:]) or "''"
-        columns = ", ".join(level).replace(name, "CASE WHEN wide AND {0} <> '' THEN '/*' ELSE {0} END AS {0}".format(name), 1)
-        after = ", ".join(level).replace(name, "CASE WHEN near THEN '/*' ELSE {0} END AS {0}".format(name), 1)
+           0::BIGINT AS told, {urls.PRIOR}::DOUBLE AS prior, regexp_extract(shape, '^(/[^/]*)?', 0) AS first, regexp_extract(host, '[^.]*$', 0) AS label, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) AS domain
+    FROM labelled GROUP BY host, shape
+)"""
+    for k, by in enumerate(("first", "shape", "label, shape", "domain, shape"), 1):
+        mine = "(SELECT host, first, sum(blocked)::BIGINT AS ob, sum(allowed)::BIGINT AS oa FROM p0 GROUP BY ALL) AS o USING (host, first)" if k == 1 else "(SELECT host, shape, blocked AS ob, allowed AS oa FROM p0) AS o USING (host, shape)"
+        sql += f"""
+, p{k} AS MATERIALIZED (SELECT p{k - 1}.* REPLACE ({"CASE WHEN b - ob + a - oa > 0 THEN n ELSE 0 END AS told, " if k == 1 else ""}{pure("b - ob", "a - oa", "prior")} AS prior) FROM p{k - 1} JOIN (SELECT {by}, sum(blocked)::BIGINT AS b, sum(allowed)::BIGINT AS a FROM p0 GROUP BY {by}) AS s USING ({by}) JOIN {mine})"""
+    sql += """
+, t0 AS MATERIALIZED (SELECT host, shape, n, blocked, allowed, told, told * prior AS expected, '' AS node, shape AS rest FROM p4)"""
+    for d in range(1, URL_LEVELS + 1):
         sql += f"""
-, w{d} AS (SELECT {above}, true AS wide FROM t{d - 1} WHERE {name} <> '' GROUP BY {above} HAVING count(DISTINCT {name}) > {urls.MAX_CHILDREN})
-, u{d} AS MATERIALIZED (SELECT host, shape, n, blocked, allowed, {columns} FROM t{d - 1} LEFT JOIN w{d} USING ({above}))
-, c{d} AS MATERIALIZED (SELECT {above}, {name}, {rest} AS rest, sum(n)::DOUBLE AS c, sum(blocked)::BIGINT AS b, sum(allowed)::BIGINT AS a FROM u{d} WHERE {name} <> '' GROUP BY {above}, {name}, rest)
-, p{d} AS (SELECT {above}, rest, sum(c) AS pc FROM c{d} GROUP BY {above}, rest)
-, q{d} AS (SELECT {above}, sum(c) AS size, sum(b)::BIGINT AS pb, sum(a)::BIGINT AS pa FROM c{d} GROUP BY {above})
-, o{d} AS (SELECT {above}, {name}, sum(c) AS own, sum(b)::BIGINT AS ob, sum(a)::BIGINT AS oa FROM c{d} GROUP BY {above}, {name})
-, m{d} AS (SELECT {above}, {name}, true AS near FROM c{d} JOIN p{d} USING ({above}, rest) JOIN o{d} USING ({above}, {name}) JOIN q{d} USING ({above})
-    GROUP BY {above}, {name}, own, size, ob, oa, pb, pa
-    HAVING 100 * (sum(abs(c * size - pc * own)) + own * (size - sum(pc))) <= {2 * urls.MERGE} * own * size AND abs({pure("ob", "oa")} - {pure("pb", "pa")}) <= {urls.GAP})
-, t{d} AS MATERIALIZED (SELECT host, shape, n, blocked, allowed, {after} FROM u{d} LEFT JOIN m{d} USING ({above}, {name}))"""
-    template = " || ".join(level)
+, g{d} AS MATERIALIZED (SELECT *, rest <> '' AND min(rest) OVER w < max(rest) OVER w AS goes FROM t{d - 1} WINDOW w AS (PARTITION BY host, node))
+, s{d} AS MATERIALIZED (SELECT * EXCLUDE (goes), regexp_extract(rest, '^/[^/]*', 0) AS seg, substring(rest, length(regexp_extract(rest, '^/[^/]*', 0)) + 1) AS tail FROM g{d} WHERE goes)
+, e{d} AS MATERIALIZED (SELECT host, node, seg, {each} FROM s{d} GROUP BY ALL)
+, n{d} AS (SELECT host, node, log2(sum(own)) - sum(own * log2(own)) / sum(own) AS spread, {whole}, count(*) AS k FROM e{d} GROUP BY ALL)
+, a{d} AS (SELECT *, coalesce(k > 1 AND abs({pure(*own, others)} - ({others})) > {urls.GAP}, false) AS alone FROM e{d} JOIN n{d} USING (host, node))
+, k{d} AS (SELECT host, node, seg, alone, spread > log2({urls.MAX_CHILDREN}) AND {urls.MAX_CHILDREN} * own < size AND NOT alone AS wide FROM a{d})
+, u{d} AS MATERIALIZED (SELECT s{d}.* REPLACE (CASE WHEN wide THEN '/*' ELSE seg END AS seg), alone FROM s{d} JOIN k{d} USING (host, node, seg))
+, c{d} AS MATERIALIZED (SELECT host, node, seg, tail, sum(n)::DOUBLE AS c FROM u{d} GROUP BY ALL)
+, q{d} AS (SELECT host, node, tail, sum(c) AS pc FROM c{d} GROUP BY ALL)
+, o{d} AS (SELECT host, node, seg, {each} FROM u{d} GROUP BY ALL)
+, r{d} AS (SELECT host, node, {whole} FROM o{d} GROUP BY ALL)
+, m{d} AS (SELECT host, node, seg, true AS near FROM c{d} JOIN q{d} USING (host, node, tail) JOIN o{d} USING (host, node, seg) JOIN r{d} USING (host, node)
+    GROUP BY host, node, seg, own, size, ob, oa, oe, ot, pb, pa, pe, pt
+    HAVING 100 * (sum(abs(c * size - pc * own)) + own * (size - sum(pc))) <= {2 * urls.MERGE} * own * size AND abs({pure(*own)} - {pure(*pool)}) <= {urls.GAP})
+, t{d} AS MATERIALIZED (SELECT host, shape, n, blocked, allowed, told, expected, node || CASE WHEN near AND NOT alone THEN '/*' ELSE seg END AS node, tail AS rest FROM u{d} LEFT JOIN m{d} USING (host, node, seg))"""
+    every = " UNION ALL ".join([*(f"SELECT * EXCLUDE (goes) FROM g{d} WHERE NOT goes" for d in range(1, URL_LEVELS + 1)), f"SELECT * FROM t{URL_LEVELS}"])
     return sql + f"""
-, named AS (SELECT host, shape, blocked, allowed, {template} AS template FROM t{urls.DEPTH})
-, judged AS (SELECT host, template, {pure("sum(blocked)", "sum(allowed)")} AS purity FROM named GROUP BY host, template)
+, named AS MATERIALIZED (SELECT host, shape, n, blocked, allowed, told, expected, node || rest AS template FROM ({every}))
+, judged AS (SELECT host, template, {pure(*told("sum(blocked)", "sum(allowed)", "sum(expected)", "sum(told)", "sum(n)"))} AS purity FROM named GROUP BY host, template)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity > {urls.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM labelled JOIN named USING (host, shape) JOIN judged USING (host, template)
 """

@@ -1,19 +1,24 @@
 """URL filtering by rules, and by a tree of path templates for each host.
 
-A path's segments with digits are variable: their digit runs become wildcards at once. Level by level then,
-below every node of a host's tree: where pages spread over segments as evenly as over more than MAX_CHILDREN equal
-ones (by entropy), segments with less than their even share of pages become one wildcard; branches whose labels lie
-more than GAP from those of all other branches, smoothed towards these, never join one; and other branches whose paths further down are distributed like those of all branches together, and
-whose labelled purity is close to theirs, merge into the wildcard branch. A template is rejected where the
-share of blocked among its labelled pages, smoothed towards PRIOR by WEIGHT pages, exceeds LIMIT.
+A path's segments with digits are variable: their digit runs become wildcards at once. Level by level then, below
+every node of a host's tree that leads to more than one path: where pages spread over segments as evenly as over
+more than MAX_CHILDREN equal ones (by entropy), segments with less than their even share of pages become one
+wildcard; branches whose purity lies more than GAP from that of all other branches never join one; and other
+branches whose paths further down are distributed like those of all branches together, and whose purity is close to
+theirs, merge into the wildcard branch. A template is rejected where its purity exceeds LIMIT.
+
+Purity is the share of blocked among labelled pages, smoothed by WEIGHT pages towards PRIOR. What other hosts say of a
+path counts as WEIGHT labelled pages more: the purity of its first segment over all other hosts, then of the whole path
+over these, over those of its last domain label, and over those of its last two, each smoothed towards the one before.
+So pages that no rule fits are judged by what is known of their like elsewhere, if their host says nothing.
 
 All statistics come from one table of (host, path shape) counts, aggregated over all pages before any
 shuffle by key, so a host with most of the pages is a few more rows of counts.
 
 Results in odd cases: a null url, or one without `://`, has empty host and path, and belongs to the template
-of these; labels other than block and allow count as none; segments beyond DEPTH stand in one `/**`; of rules
-of one length that fit, the first in the list wins; repeated rows count and are kept; empty tables give
-empty results; other columns pass through.
+of these; labels other than block and allow count as none; of rules of one length that fit, the first in the list
+wins; repeated rows count and are kept; empty tables give empty results; other columns pass through, and the new ones
+replace those of their names.
 """
 
 from __future__ import annotations
@@ -24,12 +29,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import stored
+from glyphmill.llm.shared import forget, fresh, stored
 
-DEPTH, MAX_CHILDREN = 4, 16
+MAX_CHILDREN = 16
 #: Distance of two distributions (half the summed differences) in percent, and of two purities, up to which branches merge.
 MERGE, GAP = 20, 0.25
 PRIOR, WEIGHT, LIMIT = 0.2, 4.0, 0.5
+#: What is counted of a path: pages, blocked and allowed ones, those of which other hosts say something, and blocked ones by that.
+COUNTS = ("n", "blocked", "allowed", "told", "expected")
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to the first `://` (if there is one), then host and path.
@@ -54,73 +61,114 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return found
 
 
-def purity(blocked: Column, allowed: Column) -> Column:
-    return (blocked + F.lit(WEIGHT * PRIOR)) / (blocked + allowed + F.lit(WEIGHT))
+def purity(blocked: Column, allowed: Column, towards: Column | float = PRIOR) -> Column:
+    return (blocked + towards * WEIGHT) / (blocked + allowed + F.lit(WEIGHT))
 
 
-def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def with_evidence(counts: DataFrame) -> DataFrame:
+    """counts with what other hosts say of a path: told (n, or 0 where they say nothing) and expected (blocked ones of these)."""
+    keys = {"first": F.regexp_extract("shape", "^(/[^/]*)?", 0), "label": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)}
+    counts = counts.withColumns(keys)
+
+    def sums(by: list[str], b: str, a: str) -> DataFrame:
+        return counts.groupBy(*by).agg(F.sum("blocked").alias(b), F.sum("allowed").alias(a))
+
+    out = counts.withColumn("prior", F.lit(PRIOR)).join(sums(["host", "first"], "ob", "oa"), ["host", "first"])
+    for by in (["first"], ["shape"], ["label", "shape"], ["domain", "shape"]):
+        ob, oa = (F.col(c) for c in (("ob", "oa") if by == ["first"] else ("blocked", "allowed")))  # the host's own
+        out = out.join(sums(by, "b", "a"), by)
+        if by == ["first"]:
+            out = out.withColumn("told", F.when(F.col("b") - ob + F.col("a") - oa > 0, F.col("n")).otherwise(0))
+        out = out.withColumn("prior", purity(F.col("b") - ob, F.col("a") - oa, F.col("prior"))).drop("a", "b")
+    return out.withColumn("expected", F.col("told") * F.col("prior")).drop(*keys, "ob", "oa", "prior")
+
+
+def with_told(blocked: Column, allowed: Column, expected: Column, told: Column, n: Column) -> tuple[Column, Column]:
+    """Blocked and allowed pages of a branch of n, and WEIGHT more as other hosts say (as far as they say anything)."""
+    share = WEIGHT / F.nullif(n, F.lit(0.0))
+    return blocked + F.coalesce(expected * share, F.lit(0.0)), allowed + F.coalesce((told - expected) * share, F.lit(0.0))
+
+
+def templates(counts: DataFrame) -> DataFrame:
     """host, shape, template and the template's purity, from counts (host, shape, n, blocked, allowed).
 
-    shape is a path whose digit runs are wildcards.
+    shape is a path whose digit runs are wildcards. Every level takes a few jobs over what is left of the counts; paths
+    that are alone below a node are settled, so levels end where branching does.
     """
-    level = [f"s{d}" for d in range(1, depth + 1)]
-    parts = F.split("shape", "/", -1)
-    cut = counts.withColumn("parts", parts)
-    for d, name in enumerate(level, 1):
-        one = F.when(F.size("parts") > d, F.concat(F.lit("/"), F.col("parts")[d])).otherwise("")
-        cut = cut.withColumn(name, F.when(F.size("parts") > depth + 1, F.lit("/**")).otherwise(one) if d == depth else one)
-    tree = stored(cut.drop("parts"), "tree")
-    for d, name in enumerate(level, 1):
-        above = ["host", *level[: d - 1]]
-        each = tree.where(F.col(name) != "").groupBy(*above, name).agg(F.sum("n").cast("double").alias("own"), F.sum("blocked").alias("ob"), F.sum("allowed").alias("oa"))
-        spread = F.log2(F.sum("own")) - F.sum(F.col("own") * F.log2("own")) / F.sum("own")
-        node = each.groupBy(*above).agg(spread.alias("spread"), F.sum("own").alias("size"), F.sum("ob").alias("pb"), F.sum("oa").alias("pa"), F.count("*").alias("k"))
-        others = purity(F.col("pb") - F.col("ob"), F.col("pa") - F.col("oa"))
-        moved = (F.col("ob") + WEIGHT * others) / (F.col("ob") + F.col("oa") + F.lit(WEIGHT)) - others
-        apart = (F.col("k") > 1) & (F.col("ob") + F.col("oa") > 0) & (F.abs(moved) > GAP)
-        wide = (F.col("spread") > math.log2(MAX_CHILDREN)) & (MAX_CHILDREN * F.col("own") < F.col("size")) & ~apart
-        kinds = each.join(node, above).select(*above, name, apart.alias("alone"), wide.alias("wide"))
-        tree = tree.join(kinds, [*above, name], "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
-        tree = stored(tree.withColumn(name, F.when(F.col("wide"), "/*").otherwise(F.col(name))).drop("wide"), "tree")
-        rest = F.concat(*level[d:]) if d < depth else F.lit("")
-        branch = tree.where(F.col(name) != "").withColumn("rest", rest)
-        sums = [F.sum("n").cast("double").alias("c"), F.sum("blocked").alias("b"), F.sum("allowed").alias("a")]
-        child = branch.groupBy(*above, name, "rest").agg(*sums)
-        pooled = child.groupBy(*above, "rest").agg(F.sum("c").alias("pc"))
-        pool = child.groupBy(*above).agg(F.sum("c").alias("size"), F.sum("b").alias("pb"), F.sum("a").alias("pa"))
-        own = child.groupBy(*above, name).agg(F.sum("c").alias("own"), F.sum("b").alias("ob"), F.sum("a").alias("oa"))
-        shares = child.join(pooled, [*above, "rest"]).join(own, [*above, name]).join(pool, above)
-        apart = shares.groupBy(*above, name, "own", "size", "ob", "oa", "pb", "pa").agg(
-            F.sum(F.abs(F.col("c") * F.col("size") - F.col("pc") * F.col("own"))).alias("differ"), F.sum("pc").alias("seen")
-        )
-        distance = F.col("differ") + F.col("own") * (F.col("size") - F.col("seen"))
-        near = (100 * distance <= 2 * MERGE * F.col("own") * F.col("size")) & (F.abs(purity(F.col("ob"), F.col("oa")) - purity(F.col("pb"), F.col("pa"))) <= GAP)
-        merged = apart.where(near).select(*above, name, F.lit(True).alias("near"))
-        tree = tree.join(merged, [*above, name], "left").withColumn(name, F.when(F.col("near") & ~F.col("alone"), "/*").otherwise(F.col(name))).drop("near")
-        tree = stored(tree.select("host", "shape", "n", "blocked", "allowed", *level), "tree")
-    named = tree.select("host", "shape", "blocked", "allowed", F.concat(*level).alias("template"))
-    judged = named.groupBy("host", "template").agg(purity(F.sum("blocked"), F.sum("allowed")).alias("purity"))
+    tree = with_evidence(counts).withColumns({"node": F.lit(""), "rest": F.col("shape")})
+    tree = stored(tree.select("host", "shape", *COUNTS, "node", "rest"), "tree")
+    settled, at = [], ["host", "node"]
+    while True:
+        ways = tree.groupBy(*at).agg((F.min("rest") < F.max("rest")).alias("branches"))
+        known = tree.join(ways, at)
+        goes = F.col("branches") & (F.col("rest") != "")
+        settled.append(stored(known.where(~goes).select("host", "shape", *COUNTS, F.concat("node", "rest").alias("template")), "settled"))
+        deeper = stored(level(known.where(goes).drop("branches")), "tree")
+        forget(tree)
+        tree = deeper
+        if not tree.take(1):
+            break
+    named = settled[0]
+    for more in settled[1:]:
+        named = named.unionByName(more)
+    total = purity(*with_told(F.sum("blocked"), F.sum("allowed"), F.sum("expected"), F.sum("told"), F.sum("n").cast("double")))
+    judged = named.groupBy("host", "template").agg(total.alias("purity"))
     return named.select("host", "shape", "template").join(judged, ["host", "template"])
 
 
-def judge(df: DataFrame, rules: Sequence[tuple[str, str]] = (), url: str = "url", label: str | None = None, depth: int = DEPTH) -> DataFrame:
+def level(tree: DataFrame) -> DataFrame:
+    """The tree one segment further down: node longer by the segment or by a wildcard, rest shorter."""
+    first = F.regexp_extract("rest", "^/[^/]*", 0)
+    tree = tree.withColumns({"seg": first, "tail": F.expr("substring(rest, char_length(regexp_extract(rest, '^/[^/]*', 0)) + 1)")})
+    above = ["host", "node"]
+    c = F.col
+    sums = [F.sum("n").cast("double").alias("own"), F.sum("blocked").alias("ob"), F.sum("allowed").alias("oa"), F.sum("expected").alias("oe"), F.sum("told").alias("ot")]
+    each = tree.groupBy(*above, "seg").agg(*sums)
+    spread = F.log2(F.sum("own")) - F.sum(c("own") * F.log2("own")) / F.sum("own")
+    whole = [F.sum(o).alias(p) for o, p in (("own", "size"), ("ob", "pb"), ("oa", "pa"), ("oe", "pe"), ("ot", "pt"))]
+    node = each.groupBy(*above).agg(spread.alias("spread"), *whole, F.count("*").alias("k"))
+    blocked, allowed = with_told(c("ob"), c("oa"), c("oe"), c("ot"), c("own"))
+    others = purity(*with_told(c("pb") - c("ob"), c("pa") - c("oa"), c("pe") - c("oe"), c("pt") - c("ot"), c("size") - c("own")))
+    alone = (c("k") > 1) & (F.abs(purity(blocked, allowed, others) - others) > GAP)
+    wide = (F.col("spread") > math.log2(MAX_CHILDREN)) & (MAX_CHILDREN * F.col("own") < F.col("size")) & ~alone
+    kinds = each.join(node, above).select(*above, "seg", F.coalesce(alone, F.lit(False)).alias("alone"), F.coalesce(wide, F.lit(False)).alias("wide"))
+    tree = stored(tree.join(kinds, [*above, "seg"]).withColumn("seg", F.when(F.col("wide"), "/*").otherwise(F.col("seg"))).drop("wide", "rest"), "tree")
+    child = tree.groupBy(*above, "seg", "tail").agg(F.sum("n").cast("double").alias("c"))
+    pooled = child.groupBy(*above, "tail").agg(F.sum("c").alias("pc"))
+    own = tree.groupBy(*above, "seg").agg(*sums)
+    pool = own.groupBy(*above).agg(*whole)
+    shares = child.join(pooled, [*above, "tail"]).join(own, [*above, "seg"]).join(pool, above)
+    apart = shares.groupBy(*above, "seg", "own", "size", "ob", "oa", "oe", "ot", "pb", "pa", "pe", "pt").agg(
+        F.sum(F.abs(F.col("c") * F.col("size") - F.col("pc") * F.col("own"))).alias("differ"), F.sum("pc").alias("seen")
+    )
+    distance = F.col("differ") + F.col("own") * (F.col("size") - F.col("seen"))
+    alike = purity(blocked, allowed) - purity(*with_told(c("pb"), c("pa"), c("pe"), c("pt"), c("size")))
+    near = (100 * distance <= 2 * MERGE * F.col("own") * F.col("size")) & (F.abs(alike) <= GAP)
+    merged = tree.join(apart.where(near).select(*above, "seg", F.lit(True).alias("near")), [*above, "seg"], "left")
+    seg = F.when(F.col("near") & ~F.col("alone"), "/*").otherwise(F.col("seg"))
+    return merged.select("host", "shape", *COUNTS, F.concat("node", seg).alias("node"), F.col("tail").alias("rest"))
+
+
+def judge(df: DataFrame, rules: Sequence[tuple[str, str]] = (), url: str = "url", label: str | None = None) -> DataFrame:
     """df with host, path, rule, template, purity and verdict (allow or block): the rule's, else the template's.
 
     The labels that purity comes from are the rules' verdicts, and the column label (block, allow or null) where no rule fits.
     """
-    drop = {c.lower() for c in ("host", "path", "rule", "template", "purity", "verdict", "__shape", "__said")}
-    pages = df.drop(*(c for c in df.columns if c.lower() in drop and c not in (url, label)))
-    pages = pages.withColumns({"__host": host_of(F.col(url)), "__path": path_of(F.col(url))})
-    pages = pages.withColumn("__rule", matched_rule(F.col("__host"), F.col("__path"), rules))
+    new = ("host", "path", "rule", "template", "purity", "verdict")
+    pages = df.drop(*(c for c in df.columns if c.lower() in new and c not in (url, label)))
+    h, p, r, v, s, t, w = fresh(pages, "host", "path", "rule", "said", "shape", "template", "purity")
+    pages = pages.withColumns({h: host_of(F.col(url)), p: path_of(F.col(url))})
+    pages = pages.withColumn(r, matched_rule(F.col(h), F.col(p), rules))
     verdict = F.lit(None).cast("string")
     for said, rule in rules:
-        verdict = F.when(F.col("__rule") == rule, said).otherwise(verdict)
+        verdict = F.when(F.col(r) == rule, said).otherwise(verdict)
     said = F.coalesce(verdict, F.col(label)) if label else verdict
-    pages = pages.withColumns({"__said": verdict, "__shape": F.regexp_replace("__path", "[0-9]+", "*")})
-    blocked, allowed = (F.sum(F.when(said == v, 1).otherwise(0)) for v in ("block", "allow"))
-    counts = pages.groupBy(F.col("__host").alias("host"), F.col("__shape").alias("shape")).agg(F.count("*").alias("n"), blocked.alias("blocked"), allowed.alias("allowed"))
-    found = templates(counts, depth).select(F.col("host").alias("__host"), F.col("shape").alias("__shape"), F.col("template").alias("__template"), F.col("purity").alias("__purity"))
-    out = pages.join(found, ["__host", "__shape"]).withColumn("verdict", F.coalesce("__said", F.when(F.col("__purity") > LIMIT, "block").otherwise("allow")))
-    names = {"__host": "host", "__path": "path", "__rule": "rule", "__template": "template", "__purity": "purity"}
-    kept = [c for c in out.columns if c not in ("__shape", "__said", "verdict", *names)]
-    return out.select(*kept, *(F.col(a).alias(b) for a, b in names.items()), "verdict")
+    pages = pages.withColumns({v: verdict, s: F.regexp_replace(p, "[0-9]+", "*")})
+    blocked, allowed = (F.sum(F.when(said == x, 1).otherwise(0)) for x in ("block", "allow"))
+    counts = pages.groupBy(F.col(h).alias("host"), F.col(s).alias("shape")).agg(F.count("*").alias("n"), blocked.alias("blocked"), allowed.alias("allowed"))
+    counts = stored(counts, "counts")
+    found = templates(counts).select(F.col("host").alias(h), F.col("shape").alias(s), F.col("template").alias(t), F.col("purity").alias(w))
+    out = pages.join(found, [h, s])
+    kept = [F.col(f"`{c}`") for c in df.columns if c in pages.columns and not (c.lower() in new)]
+    judged = F.coalesce(F.col(v), F.when(F.col(w) > LIMIT, "block").otherwise("allow"))
+    return out.select(*kept, *(F.col(a).alias(b) for a, b in zip((h, p, r, t, w), new, strict=False)), judged.alias("verdict"))
