@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm.components import components
-from glyphmill.llm.shared import append_columns, forget, release, small_batches, stored
+from glyphmill.llm.shared import append_columns, bounded, forget, release, small_batches, stored
 from glyphmill.llm.words import Words, grams, mix
 
 BUCKETS, BAND = 64, 4
@@ -40,8 +40,6 @@ FANOUT = 16
 LOCAL, HEAVY = 12, 1 << 17
 #: Bits of a bitmap for each token, before rounding up to a power of two.
 DENSITY = 4
-#: Shared prefix tokens (8 bytes each) up to which they are broadcast to find their holders; more are joined by shuffle.
-SHARED = 1 << 20
 #: Blocks carry bitmaps of the tokens of one residue of this many; all others count as tokens that may be shared.
 SAMPLED = 4
 
@@ -278,7 +276,7 @@ def linked_groups(sets: list[np.ndarray], t: int) -> np.ndarray:
 
 
 def cluster_links(docs: DataFrame, clusters: DataFrame, n: int, t: int) -> DataFrame:
-    """Edges (a, b) that connect the linked classes of each cluster. clusters: __key, cluster, size; docs: __key, __text."""
+    """Edges (a, b) that connect the linked classes of each cluster. clusters (stored): __key, cluster, size; docs: __key, __text."""
 
     def tokens(column):
         flat, ends = token_sets(column, n)
@@ -297,7 +295,7 @@ def cluster_links(docs: DataFrame, clusters: DataFrame, n: int, t: int) -> DataF
         return pa.table({"a": keys, "b": keys[least]})
 
     part = F.when(F.col("size") > CHUNK, F.pmod(F.xxhash64("__key"), F.ceil(2 * F.col("size") / CHUNK))).otherwise(F.lit(0))
-    chosen = docs.join(clusters.withColumn("part", part.cast("long")), "__key")
+    chosen = docs.join(bounded(clusters).withColumn("part", part.cast("long")), "__key")
     fields = T.StructType([T.StructField("tokens", T.ArrayType(T.LongType()))])
     sets = append_columns(chosen, ["__text"], fields, tokens).select("__key", "cluster", "part", "tokens")
     return sets.groupBy("cluster", "part").applyInArrow(join, "a long, b long").where("a <> b")
@@ -314,7 +312,7 @@ def block_pairs(reps: DataFrame, t: int) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("token")
     shared = stored(shared, "shared")
     release(reps.sparkSession)
-    found = tokens.join(F.broadcast(shared) if shared.count() <= SHARED else shared, "token")
+    found = tokens.join(bounded(shared), "token")
     bands = F.array(F.struct(home.alias("band"), F.lit(True).alias("home")), F.when(home != guest, F.struct(guest.alias("band"), F.lit(False).alias("home"))))
     found = stored(found.withColumn("b", F.explode(F.array_compact(bands))).select("*", "b.*").drop("b"), "blocks")
     forget(shared)
@@ -366,8 +364,8 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, n: int, t: int) -> DataFram
         flat, ends = token_sets(column, n)
         return [_lists([flat[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.int64())]
 
-    wanted = pairs.select(F.col("a").alias("__key")).union(pairs.select("b")).distinct()
-    sets = stored(append_columns(docs.join(wanted, "__key"), ["__text"], fields, tokens).select("__key", "tokens"), "sets")
+    wanted = stored(pairs.select(F.col("a").alias("__key")).union(pairs.select("b")).distinct(), "wanted")
+    sets = stored(append_columns(docs.join(bounded(wanted), "__key"), ["__text"], fields, tokens).select("__key", "tokens"), "sets")
     both = pairs.join(sets.select(F.col("__key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("__key").alias("b"), F.col("tokens").alias("y")), "b")
     common = both.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("o"))
     found = stored(common.where(100 * F.col("o") >= t * (F.col("p") + F.col("q") - F.col("o"))).select("a", "b"), "similar")
@@ -395,7 +393,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     centres = bands.groupBy("band").agg(F.min("__key").alias("centre"), F.max("__key").alias("last")).where("centre < last").select("band", "centre")
     star = bands.join(centres, "band").where("__key > centre").select(F.col("__key").alias("a"), F.col("centre").alias("b"))
     label = components(star).withColumnRenamed("node", "__key").withColumnRenamed("component", "cluster")
-    sized = label.join(label.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
+    sized = stored(label.join(label.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("__key", "cluster", "size"), "sized")
     links = stored(cluster_links(docs, sized, n, t), "links")
     release(spark)
     large = sized.where(F.col("size") > CHUNK)
@@ -412,7 +410,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
         known = components(links).select(F.col("node").alias("__key"), "component")
         dealt = sized.where(F.col("size") > CHUNK).select("__key").join(known, "__key", "left")
         whole = whole.union(dealt.select("__key", F.coalesce("component", "__key")))
-    placed = reps.join(whole, "__key", "left").withColumn("cluster", F.coalesce("cluster", "__key")).drop("bands")
+    placed = reps.join(bounded(stored(whole, "whole")), "__key", "left").withColumn("cluster", F.coalesce("cluster", "__key")).drop("bands")
     pairs = stored(block_pairs(placed, t), "pairs")
     forget(reps)
     release(spark)

@@ -17,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows in an Arrow batch: at a few kB a text, a few MB a batch in a Python worker.
 BATCH_ROWS = 1024
+#: Rows of a few numbers (some 30 bytes each) up to which they are broadcast.
+FETCHED = 1 << 20
 #: Seconds after which release() looks again.
 RELEASE_AGAIN = 0.4
 
@@ -85,6 +87,11 @@ def forget(*tables: DataFrame) -> None:
         drop(df.sparkSession, path_of(df))
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """Stored rows of a few numbers, to be broadcast if they are at most FETCHED; beyond it, joins shuffle."""
+    return F.broadcast(rows) if rows.count() <= FETCHED else rows
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of df has, in any case."""
     taken = {c.lower() for c in df.columns}
