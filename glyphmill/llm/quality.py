@@ -1,7 +1,8 @@
 """Quality rules by distribution divergence, in DataFrame functions alone.
 
 Each text gives two histograms: over character classes, and over common words of several languages (with one
-bin for all other words). References are the summed histograms of all documents of a language. A document is
+bin for all other words). References are the summed histograms of all documents of a language that pass the base rules,
+less the document's own; a language of too few documents or words has those of all languages together. A document is
 rejected if the Jensen-Shannon distance (base 2, 0 to 1) of either histogram to its language's reference is
 over a limit; texts with fewer words than a guard aren't judged by that histogram, as their histograms
 are mostly chance. Base rules on length and repeated three-word windows come first.
@@ -9,8 +10,8 @@ are mostly chance. Base rules on length and repeated three-word windows come fir
 Words are runs of characters other than U+0020 and U+0009 to U+000D.
 
 Results in odd cases: a null or empty text has no words, fails the base rules and has null distances; a
-null language is a language of its own; a language's reference always exists, as the document is in it;
-repeated rows count each; new columns replace others of the same name; empty tables give empty results.
+null language is a language of its own; where no other document passes the base rules there is no reference, distances are
+null, and the base rules decide; repeated rows count each; new columns replace others of the same name; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.shared import let, stored
+from glyphmill.llm.shared import fresh, let, stored
 
 # White space between words; characters that count as symbols; frequent words of four languages.
 WHITE = " \t\n\x0b\f\r"
@@ -40,6 +41,8 @@ MIN_WORDS, REPEATED = 50, 50
 #: Words that a text must have before a histogram judges it, and the distance that rejects it.
 CLASS_GUARD, CLASS_LIMIT = 50, 0.2
 WORD_GUARD, WORD_LIMIT = 80, 0.29
+#: Documents and words that a language's reference needs.
+SUPPORT_DOCS, SUPPORT_WORDS = 20, 2000
 #: References up to this many languages are broadcast (each at most a few kB); more are joined by shuffle.
 LANGUAGES = 1024
 
@@ -66,7 +69,7 @@ def covered(windows: Column, span: int) -> Column:
 def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_counts and common (word and count)."""
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_counts", "common"]
-    kept = df.drop(*(c for c in df.columns if c.lower() in {*new, "__t", "__w", "__g", "__c", "__n"} and c != text))
+    kept = df.drop(*(c for c in df.columns if c.lower() in new and c != text))
     t = F.coalesce(F.col(text), F.lit(""))
     out = kept.withColumns({"__t": t}).withColumns({"__w": words_of(F.col("__t"))} | {f"__{k}": F.regexp_count("__t", F.lit(v)) for k, v in CLASSES.items()})
     white = F.regexp_count("__t", F.lit("[\\x20\\x09-\\x0D]"))
@@ -94,10 +97,12 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     return out.drop("__t", "__w", "__g", "__c", "__n", "__white", *(f"__{k}" for k in CLASSES))
 
 
-def references(features: DataFrame, lang: str = "lang") -> DataFrame:
-    """A row for each language: __lang, class_sums, word_sums (map) and words_all, over all documents."""
-    key = F.coalesce(F.col(lang), F.lit("")).alias("__lang")
-    sums = features.groupBy(key).agg(F.array(*(F.sum(F.col("class_counts")[i]) for i in range(len(CLASS_NAMES)))).alias("class_sums"), F.sum("n_words").alias("words_all"))
+def references(features: DataFrame, key: Column) -> DataFrame:
+    """A row for each key: __lang, class_sums, word_sums (map), words_all and docs_all, over all rows."""
+    key = key.alias("__lang")
+    sums = features.groupBy(key).agg(
+        F.array(*(F.sum(F.col("class_counts")[i]) for i in range(len(CLASS_NAMES)))).alias("class_sums"), F.sum("n_words").alias("words_all"), F.count("*").alias("docs_all")
+    )
     common = features.select(key, F.explode("common").alias("c")).groupBy("__lang", "c.word").agg(F.sum("c.n").alias("n"))
     maps = common.groupBy("__lang").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "n")))).alias("word_sums"))  # at most len(BINS) entries
     return sums.join(maps, "__lang", "left").withColumn("word_sums", F.coalesce("word_sums", F.create_map().cast("map<string,bigint>")))
@@ -113,50 +118,66 @@ def _part(p: Column, q: Column) -> Column:
 
 
 def class_distance() -> Column:
-    """Jensen-Shannon distance of class_counts and class_sums."""
+    """Jensen-Shannon distance of class_counts and class_sums (less the text's own where __own is 1); null without a reference."""
 
     def total(a: Column) -> Column:
         return F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
 
-    parts = F.zip_with("class_counts", "class_sums", lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    sums = let(F.struct(total(F.col("class_counts")).alias("p"), total(F.col("class_sums")).alias("q")), lambda s: F.aggregate(
-        parts, F.lit(0.0), lambda acc, e: acc + _part(e["x"] / s["p"], e["y"] / s["q"])))
-    return F.sqrt(F.greatest(sums / 2, F.lit(0.0)))
+    parts = F.zip_with("class_counts", "class_sums", lambda x, y: F.struct(x.alias("x"), (y - x * F.col("__own")).alias("y")))
+    sizes = F.struct(total(F.col("class_counts")).alias("p"), (total(F.col("class_sums")) - total(F.col("class_counts")) * F.col("__own")).alias("q"))
+
+    def sums(s: Column) -> Column:
+        return F.when(s["q"] > 0, F.aggregate(parts, F.lit(0.0), lambda acc, e: acc + _part(e["x"] / s["p"], e["y"] / s["q"])))
+
+    return let(let(sizes, sums), lambda v: F.when(v.isNotNull(), F.sqrt(F.greatest(v / 2, F.lit(0.0)))))
 
 
 def word_distance() -> Column:
-    """Jensen-Shannon distance over common words and one bin of all others; bins the text lacks add their share."""
-    counted = F.transform("common", lambda e: F.struct((e["n"] / F.col("n_words")).alias("p"), (F.element_at("word_sums", e["word"]) / F.col("words_all")).alias("q")))
+    """Jensen-Shannon distance over common words and one bin of all others; bins the text lacks add their share. Null without a reference."""
+    all_ = F.col("words_all") - F.col("__own") * F.col("n_words")
+
+    def counted(words: Column) -> Column:
+        known = lambda e: F.coalesce(F.try_element_at("word_sums", e["word"]), F.lit(0).cast("bigint"))
+        return F.transform("common", lambda e: F.struct((e["n"] / F.col("n_words")).alias("p"), ((known(e) - F.col("__own") * e["n"]) / words).alias("q")))
 
-    def distance(bins: Column) -> Column:
+    def distance(bins: Column, words: Column) -> Column:
         def total(a: Column, field: str) -> Column:
             return F.aggregate(a, F.lit(0.0), lambda s, e: s + e[field])
 
-        own, seen = total(bins, "p"), total(bins, "q")
-        everything = F.aggregate(F.map_values("word_sums"), F.lit(0).cast("bigint"), lambda s, x: s + x) / F.col("words_all")
+        mine = F.aggregate("common", F.lit(0).cast("bigint"), lambda s, e: s + e["n"])
+        everything = (F.aggregate(F.map_values("word_sums"), F.lit(0).cast("bigint"), lambda s, x: s + x) - F.col("__own") * mine) / words
         shared = F.aggregate(bins, F.lit(0.0), lambda s, e: s + _part(e["p"], e["q"]))
-        rest = _part(F.greatest(1 - own, F.lit(0.0)), F.greatest(1 - everything, F.lit(0.0)))
-        return shared + rest + F.greatest(everything - seen, F.lit(0.0))
+        sums = F.struct(total(bins, "p").alias("own"), total(bins, "q").alias("seen"), everything.alias("all"))
+        return let(sums, lambda t: shared + _part(F.greatest(1 - t["own"], F.lit(0.0)), F.greatest(1 - t["all"], F.lit(0.0))) + F.greatest(t["all"] - t["seen"], F.lit(0.0)))
 
-    return F.sqrt(F.greatest(let(counted, distance) / 2, F.lit(0.0)))
+    found = let(all_, lambda words: F.when(words > 0, let(counted(words), lambda bins: distance(bins, words))))
+    return let(found, lambda v: F.when(v.isNotNull(), F.sqrt(F.greatest(v / 2, F.lit(0.0)))))
 
 
 def judged(features: DataFrame, lang: str = "lang") -> DataFrame:
     """features (stored) with class_distance, word_distance, base_failed and kept."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
-    found = stored(references(features, lang), "references")
+    key, sound = F.coalesce(F.col(lang), F.lit("")), features.where(~base)
+    found = stored(references(sound, key).where((F.col("docs_all") >= SUPPORT_DOCS) & (F.col("words_all") >= SUPPORT_WORDS)), "references")
+    pooled = stored(references(sound, F.lit("all")), "pooled")  # one row
     found = F.broadcast(found) if found.count() <= LANGUAGES else found
-    joined = features.withColumn("__lang", F.coalesce(F.col(lang), F.lit(""))).join(found, "__lang")
-    out = joined.withColumns({
-        "class_distance": F.when(F.col("n_words") > 0, class_distance()),
-        "word_distance": F.when(F.col("n_words") > 0, word_distance()),
-        "base_failed": base,
-    })
+    names = ("class_sums", "word_sums", "words_all")
+    joined = features.withColumns({"__lang": key, "__all": F.lit("all")}).join(found.drop("docs_all"), "__lang", "left")
+    pooled = pooled.select(F.col("__lang").alias("__all"), *(F.col(c).alias(f"__{c}") for c in names))
+    joined = joined.join(F.broadcast(pooled), "__all", "left").withColumns({c: F.coalesce(c, f"__{c}") for c in names} | {"__own": F.when(base, 0).otherwise(1)})
+    words = F.col("n_words") > 0
+    out = joined.withColumns({"class_distance": F.when(words, class_distance()), "word_distance": F.when(words, word_distance()), "base_failed": base})
     far = ((F.col("n_words") >= CLASS_GUARD) & (F.col("class_distance") > CLASS_LIMIT)) | ((F.col("n_words") >= WORD_GUARD) & (F.col("word_distance") > WORD_LIMIT))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("__lang", "class_sums", "word_sums", "words_all")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("__lang", "__all", "__own", *names, *(f"__{c}" for c in names))
+
+
+#: Names of columns that this module needs for itself while it works.
+OWN = ["__t", "__w", "__g", "__c", "__n", "__white", *(f"__{k}" for k in CLASSES), "__lang", "__all", "__own", "__class_sums", "__word_sums", "__words_all", "class_sums", "word_sums", "words_all", "docs_all"]
 
 
 def quality(df: DataFrame, text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
     """df with features, distances and verdict. Features are stored once, as references and verdicts both read them."""
-    featured = with_features(df, text)
-    return judged(stored(featured if keep_text else featured.drop(text), "features"), lang)
+    away = dict(zip(clashes := [c for c in df.columns if c.lower() in OWN], fresh(df, *(f"kept_{n}" for n in range(len(clashes)))), strict=True))
+    featured = with_features(df.withColumnsRenamed(away), away.get(text, text))
+    kept = featured if keep_text else featured.drop(away.get(text, text))
+    return judged(stored(kept, "features"), away.get(lang, lang)).withColumnsRenamed({b: a for a, b in away.items()})

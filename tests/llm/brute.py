@@ -50,26 +50,26 @@ def distance(p, q):
 
 def quality(docs):
     """doc_id: (class distance, word distance, kept)."""
-    made = {d["doc_id"]: histograms(d["text"]) for d in docs}
-    classes, common, words = defaultdict(Counter), defaultdict(Counter), Counter()
-    for d in docs:
-        c, w, n = made[d["doc_id"]]
-        classes[d["lang"]].update(dict(enumerate(c)))
-        common[d["lang"]].update(w)
-        words[d["lang"]] += n
+    made = [histograms(d["text"]) for d in docs]
+    failed = [n < 50 or 100 * base_counts(d["text"])[4] > 50 * n for d, (_, _, n) in zip(docs, made, strict=True)]
     out = {}
-    for d in docs:
-        (c, w, n), lang = made[d["doc_id"]], d["lang"]
-        if not n:
-            out[d["doc_id"]] = (None, None, False)
+    for k, d in enumerate(docs):
+        (c, w, n), lang = made[k], d["lang"]
+        like = [i for i, e in enumerate(docs) if e["lang"] == lang and not failed[i]]
+        if len(like) < Q.SUPPORT_DOCS or sum(made[i][2] for i in like) < Q.SUPPORT_WORDS:
+            like = [i for i in range(len(docs)) if not failed[i]]
+        like = [i for i in like if i != k]
+        total = sum(made[i][2] for i in like)
+        if not n or not total:
+            out[d["doc_id"]] = (None, None, not failed[k])
             continue
-        sums = [classes[lang][i] for i in range(len(c))]
+        sums = [sum(made[i][0][j] for i in like) for j in range(len(c))]
         by_class = distance([x / sum(c) for x in c], [x / sum(sums) for x in sums])
-        p, q = ([src[b] / total for b in Q.BINS] for src, total in ((w, n), (common[lang], words[lang])))
+        common = sum((made[i][1] for i in like), Counter())
+        p, q = ([src[b] / size for b in Q.BINS] for src, size in ((w, n), (common, total)))
         by_word = distance([*p, 1 - sum(p)], [*q, 1 - sum(q)])
-        base = n < 50 or 100 * base_counts(d["text"])[4] > 50 * n
         far = n >= Q.CLASS_GUARD and by_class > Q.CLASS_LIMIT or n >= Q.WORD_GUARD and by_word > Q.WORD_LIMIT
-        out[d["doc_id"]] = (by_class, by_word, not base and not far)
+        out[d["doc_id"]] = (by_class, by_word, not failed[k] and not far)
     return out
 
 

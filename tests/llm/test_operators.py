@@ -240,7 +240,26 @@ def test_quality_equals_plain(spark, sf_dir):
     for r in quality.quality(docs).collect():
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute.base_counts(r["text"])
         by_class, by_word, kept = expected[r["doc_id"]]
-        assert r["class_distance"] == pytest.approx(by_class, abs=1e-9) and r["word_distance"] == pytest.approx(by_word, abs=1e-9) and r["kept"] == kept
+        near = (lambda v: v if v is None else pytest.approx(v, abs=1e-9))
+        assert r["class_distance"] == near(by_class) and r["word_distance"] == near(by_word) and r["kept"] == kept
+
+
+def test_quality_of_rare_languages(spark, sf_dir):
+    """A document doesn't vouch for itself: alone in its language it is held against all others, and junk goes."""
+    docs = [{"doc_id": d["doc_id"], "text": d["text"], "lang": d["lang"]} for d in documents(spark, sf_dir)]
+    junk = " ".join(f"{chr(97 + k % 26)}#{k}$%9&{k * 7}|" for k in range(300))
+    docs += [{"doc_id": 10_000, "text": junk, "lang": "xx"}, {"doc_id": 10_001, "text": max((d["text"] or "" for d in docs if d["lang"] == "en"), key=len), "lang": None}]
+    docs += [docs[0], docs[0]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumns({c: F.lit(7) for c in ("__t", "__own", "words_all", "__lang", "Common")})
+    rows = quality.quality(frame).collect()
+    assert len(rows) == len(docs) and {r["words_all"] for r in rows} == {7} and "__own" in rows[0].__fields__
+    expected = brute.quality(docs)
+    assert {r["doc_id"]: r["kept"] for r in rows if r["doc_id"] > 9999} == {10_000: False, 10_001: expected[10_001][2]}
+
+
+def test_quality_without_references(spark):
+    rows = quality.quality(table(spark, ["word " * 10, None, " ".join(f"w{k}" for k in range(60))])).orderBy("doc_id").collect()
+    assert [(r["class_distance"], r["kept"]) for r in rows][1:] == [(None, False), (None, True)]
 
 
 def test_quality_odd_rows(spark):
