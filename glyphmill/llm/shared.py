@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -33,10 +34,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """This application's folder under spark.checkpoint.dir; where that is unset, under the warehouse, or in tests on one machine a temporary folder."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphmill-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+            base = tempfile.mkdtemp(prefix="glyphmill-") if alone else spark.conf.get("spark.sql.warehouse.dir")
         _scratch[app] = f"{base.rstrip('/')}/glyphmill-{app}"
         atexit.register(_remove, spark, _scratch[app])
     return _scratch[app]
@@ -65,13 +69,12 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
-def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and reread: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    made = spark.read.schema(_as_read(df.schema, partition_by)).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    made = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])).parquet(path)
     made.stored_at = path
     return made
 
@@ -108,11 +111,6 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _as_read(schema: T.StructType, last: Sequence[str]) -> T.StructType:
-    fields = [f for f in schema.fields if f.name not in last] + [schema[c] for c in last]
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-
-
 def append_columns(df: DataFrame, inputs: Sequence[str], fields: T.StructType, kernel: Callable[..., list]) -> DataFrame:
     """df with the columns that kernel makes from the input columns' Arrow arrays.
 
