@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.shared import append_columns, release, small_batches, stored
+from glyphmill.llm.shared import append_columns, fresh, release, small_batches, stored
 from glyphmill.llm.words import Words, grams, mix
 
 WINDOW = 50
@@ -88,7 +88,9 @@ def sketch(df: DataFrame, text: str, size: int, bits: int) -> np.ndarray:
     def sent(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for r, parts in enumerate(held):
             used, n = np.unique(np.concatenate(parts), return_counts=True)
-            first = np.flatnonzero(np.r_[True, used[1:] >> np.uint64(shard) != used[:-1] >> np.uint64(shard)]) if len(used) else []
+            if not len(used):
+                continue
+            first = np.flatnonzero(np.r_[True, used[1:] >> np.uint64(shard) != used[:-1] >> np.uint64(shard)])
             made = list(zip(first, [*first[1:], len(used)], strict=True))
             for at in range(0, len(made), 256):
                 some = made[at : at + 256]
@@ -233,12 +235,14 @@ def without(column: pa.Array, lost: list, size: int, spaced: bool) -> tuple[list
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, spaced: bool = False, max_bits: int = MAX_BITS) -> DataFrame:
     """df with text cut, and n_words, n_removed: a word goes if a window over it also starts in a document of smaller key."""
     lost = repeated_windows(df, key, text, size, max_bits)
-    joined = df.join(lost, df[key].cast("long") == lost["__key"], "left").drop("__key")
+    k, at = fresh(df, "key", "at")
+    lost = lost.toDF(k, at)
+    joined = df.join(lost, df[key].cast("long") == lost[k], "left").drop(k)
     fields = T.StructType([T.StructField(text, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
-    def kernel(column, at):
-        texts, counts, gone = without(column, [None if x is None else np.asarray(x) for x in at.to_pylist()], size, spaced)
+    def kernel(column, starts):
+        texts, counts, gone = without(column, [None if x is None else np.asarray(x) for x in starts.to_pylist()], size, spaced)
         null = column.is_null().to_pylist()
         return [[None if z and not spaced else t for t, z in zip(texts, null, strict=True)], counts, gone]
 
-    return append_columns(joined, [text, "__at"], fields, kernel).drop("__at")
+    return append_columns(joined, [text, at], fields, kernel).drop(at)

@@ -569,6 +569,27 @@ def test_sketch_never_underestimates(spark):
     assert len(twice) and substrings.estimated_repeated(twice, filled, 6).all()
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Each stage alone: nulls, empty and long texts, repeated rows, clashing names, an empty table."""
+    import corpus_pipeline as pipeline
+
+    texts = [*ODD, " ".join(f"w{k}" for k in range(90)), " ".join(f"w{k}" for k in range(90))]
+    docs = table(spark, texts).withColumns({c: F.lit(7) for c in ("__key", "__gone", "lines", "row", "n_removed", "sequence", "component_id", "kept")})
+    docs = docs.union(docs.where("doc_id = 11")).union(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in pipeline.STAGES:
+        found, none = stage(spark, docs, ""), stage(spark, docs.limit(0), "")
+        assert none.count() == 0
+        if name == "best_fit_packing":
+            assert found.count() >= docs.count()
+        else:
+            assert found.columns == docs.columns and {r["__gone"] for r in found.select("__gone").collect()} == {7}
+        rows = found.collect()
+        if name == "quality_rules":
+            assert sorted(r["doc_id"] for r in rows) == [11, 11, 12]
+        elif name == "ngram_jaccard":
+            assert 12 not in {r["doc_id"] for r in rows} and sum(r["doc_id"] == 11 for r in rows) == 2 and sum(r["doc_id"] is None for r in rows) == 1
+
+
 def test_pipeline_equals_plain(spark, sf_dir, tmp_path):
     import corpus_pipeline as pipeline
 
