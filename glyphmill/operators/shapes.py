@@ -71,14 +71,6 @@ def box_corners(centre: np.ndarray, sides: tuple[float, float], degrees: float)
     return centre + np.array([(-1, -1), (1, -1), (1, 1), (-1, 1)]) * np.array(sides) / 2 @ turn.T
 
 
-def drop_collinear(points: np.ndarray) -> np.ndarray:
-    """A closed contour without points that lie straight between their neighbours."""
-    if len(points) < 3:
-        return points
-    a, b = points - np.roll(points, 1, 0), np.roll(points, -1, 0) - points
-    return points[a[:, 0] * b[:, 1] != a[:, 1] * b[:, 0]]
-
-
 def rectangles(shapes: DataFrame, keys: list[str], truncate: bool = True) -> DataFrame:
     """keys, hull_points, hull_area, cx, cy, w, h, angle of rows with arrays xs and ys."""
     kinds = ", ".join(f"{k} {dict(shapes.dtypes)[k]}" for k in keys)
