@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, jaccard, langid, lines, media, packing, quality, substrings, urls
-from glyphmill.llm.shared import texts
+from glyphmill.llm import bpe, jaccard, langid, lines, media, packing, quality, runs, substrings, urls
+from glyphmill.llm.shared import let, texts
 
 
 def tokenizer_path(name: str) -> str:
@@ -207,6 +207,40 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """docs where the words of every tenth document (by crc32 of its key), from some word on, repeat those from there with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, words = F.floor(h / 10), F.filter(F.split("text", "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
+
+    def tail(w: Column) -> Column:
+        n = F.size(w)
+
+        def repeated(v: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < v["a"], i).otherwise(v["a"] + (i - v["a"]) % v["p"]).cast("int")))
+
+        a = F.pmod(g, n)
+        return F.when(n > 0, F.array_join(let(F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p")), repeated), " ")).otherwise("")
+
+    return docs.withColumn("text", F.when(h % 10 == 0, let(words, tail)).otherwise(F.col("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_repeated_tails(texts(documents(spark, sf_dir)))
+    found = runs.periodic_runs(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length DIV -longest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_bpe_codec": op2_bpe_codec,
@@ -218,6 +252,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {

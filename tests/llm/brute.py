@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 from glyphmill.llm import lines as L
@@ -165,3 +166,33 @@ def without(text, gone):
         if p + 1 not in gone:
             at = spans[p + 1][0] if p + 1 < len(spans) else len(text)
     return "".join([*out, text[at:]])
+
+
+def with_tail(doc, words):
+    h, n = zlib.crc32(str(doc).encode()), len(words)
+    g = h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+
+
+def periodic_runs(words, least=12):
+    """(start, length, period) of all runs, by start, then period: each period's stretches of matches, less those with a smaller period."""
+    found = {}
+    for p in range(1, len(words) // 2 + 1):
+        a = None
+        for j in range(len(words) - p + 1):
+            if j < len(words) - p and words[j] == words[j + p]:
+                a = j if a is None else a
+            elif a is not None:
+                if j - a + p >= max(least, 2 * p):
+                    found.setdefault((a, j + p), p)
+                a = None
+    return sorted(((a, b - a, p) for (a, b), p in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(words, found):
+    gone = {i for start, length, period in found for i in range(start + period, start + length)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)

@@ -1,0 +1,77 @@
+"""The operators on spelling, token files and periodic runs against plain versions, and their odd cases."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from glyphmill.llm import queries, runs
+from test_operators import ODD, documents, table
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("aab"), max_size=60), max_size=8))
+def test_runs_equal_plain(docs):
+    texts = [" ".join(d) for d in docs]
+    _, found, collapsed = runs.runs_of(pa.array(texts, pa.string()))
+    for d, rs, c in zip(docs, found.to_pylist(), collapsed.to_pylist(), strict=True):
+        expected = brute.periodic_runs(d)
+        assert [(r["start"], r["length"], r["period"]) for r in rs] == expected
+        assert c == brute.collapsed(d, expected)
+
+
+def test_runs_of_long_periods_and_blocks(monkeypatch):
+    rng = random.Random(4)
+    docs = []
+    for period in (1, 2, 5, 11, 12, 37, 150):
+        unit = [f"w{rng.randrange(50)}" for _ in range(period)]
+        docs += [[*(f"x{k}" for k in range(rng.randrange(9))), *(unit * 9)[: max(12, 2 * period) + cut], "end"] for cut in (-1, 0, 1, period // 2)]
+    expected = [brute.periodic_runs(d) for d in docs]
+    for pairs in (1 << 18, 7):
+        monkeypatch.setattr(runs, "PAIRS", pairs)
+        found = runs.runs_of(pa.array([" ".join(d) for d in docs]))[1].to_pylist()
+        assert [[tuple(r.values()) for r in rs] for rs in found] == expected
+
+
+def test_runs_where_hashes_collide(monkeypatch):
+    """Words are compared themselves: where all hashes agree, the document is searched without them."""
+    monkeypatch.setattr(runs.Words, "hashes", lambda self: np.full(len(self.starts), 1 << 60, np.uint64))
+    docs = [["a", "b"] * 9, [f"w{k}" for k in range(30)], ["a"] * 20 + ["b"] * 20, []]
+    found = runs.runs_of(pa.array([" ".join(d) for d in docs]))[1].to_pylist()
+    assert [[tuple(r.values()) for r in rs] for rs in found] == [brute.periodic_runs(d) for d in docs]
+
+
+def test_runs_query_equals_plain(spark, sf_dir):
+    texts = {d["doc_id"]: d["text"] for d in documents(spark, sf_dir)}
+    rows, some = queries.QUERIES["op13_periodic_runs"](spark, sf_dir).collect(), 0
+    assert len(rows) == len(texts)
+    for r in rows:
+        words = brute.with_tail(r["doc_id"], brute.WORD.findall(texts[r["doc_id"]] or ""))
+        found = brute.periodic_runs(words)
+        best = min(found, key=lambda x: (-x[1], x[0], x[2]), default=(None,) * 3)
+        some += bool(found)
+        assert (r["n_runs"], r["start"], r["length"], r["period"]) == (len(found), *best)
+        assert r["exponent_milli"] == (found and 1000 * best[1] // best[2] or None)
+        assert r["runs_sha256"] == hashlib.sha256("".join(f"{a},{b},{c}\n" for a, b, c in found).encode()).hexdigest()
+        assert r["collapsed_sha256"] == hashlib.sha256(brute.collapsed(words, found).encode()).hexdigest()
+    assert some > 10
+
+
+def test_runs_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(runs, "GROUP", 100)
+    texts = [*ODD, "a b " * 30, *ODD, "w " * 200_000]
+    docs = table(spark, texts).withColumns({c: F.lit(7) for c in ("Runs", "collapsed", "_runs", "start")})
+    rows = runs.periodic_runs(docs.union(docs)).orderBy("doc_id").collect()
+    for r, t in zip(rows, [t for t in texts for _ in "12"], strict=True):
+        words = brute.WORD.findall(t or "")
+        found = [(0, len(words), 1)] if len(words) > 10_000 else brute.periodic_runs(words)
+        assert [tuple(x) for x in r["runs"]] == found and r["collapsed"] == brute.collapsed(words, found) and r["n_words"] == len(words) and r["start"] == 7
+    assert runs.periodic_runs(docs.limit(0)).count() == 0
