@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, jaccard, langid, lines, media, packing, quality, runs, substrings, urls
-from glyphmill.llm.shared import let, texts
+from glyphmill.llm import bpe, jaccard, langid, lines, media, packing, quality, runs, substrings, tokenfiles, urls
+from glyphmill.llm.shared import let, new_path, texts
 
 
 def tokenizer_path(name: str) -> str:
@@ -207,6 +207,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "token-files")
+    tokenfiles.write_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), folder)
+    found = tokenfiles.documents_of(tokenfiles.open_files(spark, folder))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def with_repeated_tails(docs: DataFrame) -> DataFrame:
     """docs where the words of every tenth document (by crc32 of its key), from some word on, repeat those from there with some period."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -252,6 +259,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_token_files": op12_token_files,
     "op13_periodic_runs": op13_periodic_runs,
 }
 

@@ -69,10 +69,15 @@ def release(spark: SparkSession) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder where nothing is yet."""
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet to the shared folder and reread: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     made = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])).parquet(path)
     made.stored_at = path

@@ -13,8 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphmill.llm import queries, runs
-from test_operators import ODD, documents, table
+from glyphmill.llm import queries, runs, tokenfiles
+from test_operators import BYTE_BPE, ODD, documents, table
 
 
 @settings(max_examples=150, deadline=None)
@@ -75,3 +75,63 @@ def test_runs_odd_rows(spark, monkeypatch):
         found = [(0, len(words), 1)] if len(words) > 10_000 else brute.periodic_runs(words)
         assert [tuple(x) for x in r["runs"]] == found and r["collapsed"] == brute.collapsed(words, found) and r["n_words"] == len(words) and r["start"] == 7
     assert runs.periodic_runs(docs.limit(0)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), min_size=1, max_size=300), min_size=1, max_size=9), st.integers(0, 3))
+def test_token_file_round_trip(docs, nulls):
+    """Every run of ids, and any ids in any order, read by rank directories."""
+    ids, ends = np.concatenate(docs).astype(np.uint32), np.cumsum([len(d) for d in docs])
+    keys = [None if k < nulls else k * 3 for k in range(len(docs))]
+    held = tokenfiles.TokenFile(tokenfiles.pack(ids, keys, ends))
+    assert held.keys == keys and held.ends.tolist() == ends.tolist() and held.n == len(ids)
+    rng = np.random.default_rng(len(ids))
+    places = rng.integers(0, len(ids), 50)
+    assert held.ids(places).tolist() == ids[places].tolist() and held.ids(np.arange(len(ids))).tolist() == ids.tolist()
+    for a, b in [(0, len(ids)), *zip([0, *ends], ends), *np.sort(rng.integers(0, len(ids) + 1, (20, 2)), 1)]:
+        assert held.run(int(a), int(b)).tolist() == ids[a:b].tolist()
+
+
+def test_token_file_of_one_level_and_none():
+    assert tokenfiles.TokenFile(tokenfiles.pack(np.zeros(0, np.uint32), [], np.zeros(0, int))).run(0, 0).tolist() == []
+    assert tokenfiles.TokenFile(tokenfiles.pack(np.arange(200), [1], np.array([200]))).run(50, 60).tolist() == list(range(50, 60))
+    with pytest.raises(ValueError):
+        tokenfiles.TokenFile(b"PAR1" + bytes(60))
+
+
+def test_token_files_query_equals_library(spark, sf_dir, monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, start, expected = Tokenizer.from_file(BYTE_BPE), 0, {}
+    for d in documents(spark, sf_dir):
+        ids = [*library.encode(d["text"] or "", add_special_tokens=False).ids, 0]
+        expected[d["doc_id"]] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    for size in (1 << 18, 5000):
+        monkeypatch.setattr(tokenfiles, "FILE_IDS", size)
+        rows = queries.QUERIES["op12_token_files"](spark, sf_dir).collect()
+        assert len(rows) == len(expected) and {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows} == expected
+
+
+def test_token_files_odd_rows_and_any_place(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfiles, "FILE_IDS", 300)
+    library, texts = Tokenizer.from_file(BYTE_BPE), [*ODD, "a b c", "word " * 2000]
+    docs = table(spark, texts).withColumns({c: F.lit(7) for c in ("key", "tie", "part", "ids", "start", "content")})
+    docs = docs.union(docs.where("doc_id = 5")).union(docs.where("doc_id IN (2, 6)").withColumn("doc_id", F.lit(None).cast("long"))).repartition(5)
+    tokenfiles.write_files(docs, BYTE_BPE, f"{tmp_path}/files", end_id=0)
+    files = tokenfiles.open_files(spark, f"{tmp_path}/files")
+    rows = tokenfiles.documents_of(files).orderBy("start").collect()
+    ids = {k: [*library.encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    assert [r["doc_id"] for r in rows] == [None, None, *sorted([*range(len(texts)), 5])]
+    assert sorted(bytes(r["ids"]) for r in rows[:2]) == sorted(np.array(ids[k], "<u4").tobytes() for k in (2, 6))
+    assert all(bytes(r["ids"]) == np.array(ids[r["doc_id"]], "<u4").tobytes() for r in rows[2:])
+    whole = np.frombuffer(b"".join(bytes(r["ids"]) for r in rows), "<u4")
+    assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1].tolist() and files.count() > 2
+    asked = [0, 5, 5, len(whole) - 1, 299, 300, 301, 2000, -1, len(whole), None]
+    found = tokenfiles.ids_at(files, spark.createDataFrame([(a,) for a in asked], "place long")).collect()
+    assert {r["place"]: r["id"] for r in found} == {a: int(whole[a]) for a in (0, 5, len(whole) - 1, 299, 300, 301, 2000)} and len(found) == 7
+    tokenfiles.write_files(docs.limit(0), BYTE_BPE, f"{tmp_path}/none")
+    none = tokenfiles.open_files(spark, f"{tmp_path}/none")
+    assert none.count() == 0 and tokenfiles.documents_of(none).count() == 0
