@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, jaccard, langid, lines, media, packing, quality, runs, substrings, tokenfiles, urls
+from glyphmill.llm import bpe, jaccard, langid, lines, media, packing, quality, runs, spelling, substrings, tokenfiles, urls
 from glyphmill.llm.shared import let, new_path, texts
 
 
@@ -207,6 +207,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(documents(spark, sf_dir).select("doc_id", "text"), spoil=31)
+    return spelling.spelling_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     tokenfiles.write_files(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), folder)
@@ -259,6 +264,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_token_files": op12_token_files,
     "op13_periodic_runs": op13_periodic_runs,
 }

@@ -196,3 +196,49 @@ def periodic_runs(words, least=12):
 def collapsed(words, found):
     gone = {i for start, length, period in found for i in range(start + period, start + length)}
     return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def spelling_words(docs, spoil=31):
+    """Counts of words of seven characters and more."""
+    total = Counter()
+    for d in docs:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", d["text"] or ""):
+            word = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{d['doc_id']}:{word}".encode())
+            if h % spoil == 0:
+                i = h % len(word)
+                word = word[:i] + word[i + 1 :]
+            total[word] += 1
+    return {w: n for w, n in total.items() if len(w) >= 7 and n >= 2}
+
+
+def near(a, b):
+    """Whether one inserted, deleted or replaced character makes b of a."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(a == b[:i] + b[i + 1 :] for i in range(len(b)))
+
+
+def spelling_groups(counts, times=10):
+    """word: (form, root, n, n_near, form_n), near words by the patterns that all deletions make, and all pairs of these."""
+    patterns = defaultdict(set)
+    for w in counts:
+        patterns[w].add(w)
+        for i in range(len(w)):
+            patterns[w[:i] + w[i + 1 :]].add(w)
+    neighbours = defaultdict(set)
+    for some in patterns.values():
+        for a in some:
+            neighbours[a] |= {b for b in some if a != b and near(a, b)}
+    form = {}
+    for w, n in counts.items():
+        best = min(neighbours[w], key=lambda b: (-counts[b], b), default=None)
+        form[w] = best if best and counts[best] >= times * n else None
+    out = {}
+    for w, n in counts.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out[w] = (form[w], root, n, len(neighbours[w]), form[w] and counts[form[w]])
+    return out

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphmill.llm import queries, runs, tokenfiles
+from glyphmill.llm import queries, runs, spelling, tokenfiles
 from test_operators import BYTE_BPE, ODD, documents, table
 
 
@@ -135,3 +135,67 @@ def test_token_files_odd_rows_and_any_place(spark, tmp_path, monkeypatch):
     tokenfiles.write_files(docs.limit(0), BYTE_BPE, f"{tmp_path}/none")
     none = tokenfiles.open_files(spark, f"{tmp_path}/none")
     assert none.count() == 0 and tokenfiles.documents_of(none).count() == 0
+
+
+def spelled(rows):
+    return {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in rows}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.text("ab\u00e9", min_size=2, max_size=7), max_size=60), st.integers(1, 9))
+def test_near_pairs_equal_plain(words, block):
+    """Each near pair once, whatever the blocks; distances are recomputed for all pairs."""
+    names = sorted(words)
+    old, spelling.PAIRS = spelling.PAIRS, block
+    try:
+        found = [frozenset((names[a], names[b])) for u, v in spelling.near_pairs(names, np.full(len(names), 3), np.arange(len(names))) for a, b in zip(u, v, strict=True)]
+    finally:
+        spelling.PAIRS = old
+    assert len(found) == len(set(found)) and set(found) == {frozenset((a, b)) for a in names for b in names if a < b and brute.edit_distance(a, b) == 1}
+
+
+def test_shards_hold_segments_at_any_place():
+    """The automaton scans whole words: a segment within one is a hit that is not counted."""
+    words = ["abcdefgh", "xxabcdxx", "xxxxefgh", "abcdefxh"]
+    shard = spelling.Shard(words, np.array([3, 0, 0, 0]))
+    who, lists = shard.hits(np.arange(4))
+    assert sorted(zip(who.tolist(), (lists % 2).tolist(), strict=True)) == [(0, 0), (0, 1), (2, 1), (3, 0)]
+
+
+@pytest.mark.parametrize("sizes", [(1 << 15, 1 << 17), (40, 25)])
+def test_spelling_query_equals_plain(spark, sf_dir, monkeypatch, sizes):
+    """Also with many small shards, of which most are cut into tiles."""
+    monkeypatch.setattr(spelling, "SHARD", sizes[0])
+    monkeypatch.setattr(spelling, "TILE", sizes[1])
+    if sizes[0] == 40:
+        counts = dict(sorted(brute.spelling_words(documents(spark, sf_dir)).items(), key=lambda x: zlib.crc32(x[0].encode()))[:1500])
+        found = spelling.spelling_groups(spark.createDataFrame(list(counts.items()), "word string, n long")).collect()
+    else:
+        counts, found = brute.spelling_words(documents(spark, sf_dir)), queries.QUERIES["op11_spelling_variants"](spark, sf_dir).collect()
+    expected = brute.spelling_groups(counts)
+    assert len(found) == len(counts) and spelled(found) == expected and sum(e[0] is not None for e in expected.values()) >= (10 if len(found) > 2000 else 0)
+
+
+def test_spelling_odd_rows_and_long_chains(spark):
+    rng = random.Random(8)
+    chain = ["letterhead", "letterheax", "letterhezx", "letterhxzx"]
+    long = "q" * 4000
+    texts = [None, "", " 12 ", *ODD, *(" ".join([w] * 2 * 11**k) for k, w in enumerate(chain[::-1])), f"{long} {long} {long}z {long}z", "r" * 9000, "r" * 9000, "ÉTÉESTBON ÉtÉestbon x\u00d7\u00d7\u00d7\u00d7\u00d7\u00d7 x\u00d7\u00d7\u00d7\u00d7\u00d7\u00d7"]
+    texts += [" ".join(rng.choices(["prefixes", "prefixed", "prefixez", "prefxes", "sprefixes"], k=40)) for _ in range(3)]
+    docs = table(spark, texts).withColumns({c: F.lit(7) for c in ("word", "key", "shard")})
+    docs = docs.union(docs.limit(20)).union(docs.where("doc_id > 40").withColumn("doc_id", F.lit(None).cast("long")))
+    plain = [r.asDict() for r in docs.select("doc_id", "text").collect()]
+    for spoil in (0, 5):
+        counts = brute.spelling_words(plain, spoil or 1 << 40)
+        counts = spelled_nulls(plain, spoil) if spoil else counts
+        found = spelling.spelling_groups(spelling.word_counts(docs, spoil=spoil)).collect()
+        assert spelled(found) == brute.spelling_groups(counts)
+    assert spelling.spelling_groups(spelling.word_counts(docs.limit(0))).count() == 0
+    with pytest.raises(ValueError):
+        spelling.word_counts(docs, least_chars=1)
+    chained = {r["word"]: r["root"] for r in spelling.spelling_groups(spelling.word_counts(docs)).collect()}
+    assert {chained[w] for w in chain} == {"letterhead"}
+
+
+def spelled_nulls(docs, spoil):
+    return brute.spelling_words([{"doc_id": "null" if d["doc_id"] is None else d["doc_id"], "text": d["text"]} for d in docs], spoil)
