@@ -78,11 +78,6 @@ def text_lines(spark: SparkSession, d: str) -> DataFrame:
     return c.where("text <> ''").select("*", kept.alias("kept"), *(v.cast("double").alias(k) for k, v in corner.items())).withColumn("line_cols", F.element_at("kept", -1)["col"] + 2.0)
 
 
-def segmented(spark: SparkSession, d: str) -> DataFrame:
-    chars = wordboxes.characters(text_lines(spark, d))
-    return decode.segmented(chars, F.when(F.col("ch").rlike("^[A-Za-z]$"), "letter").otherwise("other"), wordboxes.LINE)
-
-
 def rounded(columns: dict[str, Column], places: int = 4) -> list[Column]:
     return [F.round(v, places).alias(k) for k, v in columns.items()]
 
@@ -135,8 +130,10 @@ WITH turns AS (SELECT conv_id * 1000 + turn AS image_id, string_split(text, chr(
 
 @query(chars_sql("letters") + " SELECT image_id, box_id, word::BIGINT AS word, text, kind, n_chars, first_col, last_col FROM words")
 def word_segments(spark: SparkSession, d: str) -> DataFrame:
-    found = decode.words(segmented(spark, d), wordboxes.LINE)
-    return found.select(*wordboxes.LINE, "word", "text", "kind", F.col("n_chars").cast("long").alias("n_chars"), F.col("cols")[0].alias("first_col"), F.element_at("cols", -1).alias("last_col"))
+    words = wordboxes.letter_words(F.col("text"), F.transform("kept", lambda s: s["col"])).alias("w")
+    found = text_lines(spark, d).select(*wordboxes.LINE, words).select(*wordboxes.LINE, F.posexplode("w").alias("word", "w"))
+    cols = F.col("w.cols")
+    return found.select(*wordboxes.LINE, F.col("word").cast("long").alias("word"), "w.text", "w.kind", F.size(cols).cast("long").alias("n_chars"), cols[0].alias("first_col"), F.element_at(cols, -1).alias("last_col"))
 
 
 BOX_SQL = chars_sql("scripts") + """

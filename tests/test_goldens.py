@@ -193,6 +193,102 @@ def test_stages_keep_failures_and_odd_rows(spark):
     assert ocr(frame.limit(0), SETTINGS).count() == 0
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text("aB1 \t\u3000字漢\U0001f642é", max_size=12), min_size=1, max_size=6), st.integers(0, 2**32 - 1))
+def test_words_of_arrays_equal_windows(texts, seed):
+    """Words of whole lines at once equal those of windows over rows of characters."""
+    from pyspark.sql import SparkSession
+
+    rng, spark = np.random.default_rng(seed), SparkSession.getActiveSession()
+    rows = [(n, t, np.cumsum(rng.integers(1, 9, len(t))).tolist()) for n, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "line long, text string, cols array<int>")
+    chars = lines.select("line", F.posexplode(F.expr("regexp_extract_all(text, '(?s).', 0)")).alias("pos", "ch"), "cols").withColumn("col", F.expr("cols[pos]"))
+    kind = F.when(decode.is_cjk(F.col("ch")), "Cn").otherwise("EnNum")
+    expected = {}
+    for r in decode.words(decode.segmented(chars, kind, ["line"]), ["line"]).orderBy("line", "word").collect():
+        expected.setdefault(r["line"], []).append((r["text"], r["kind"], r["cols"]))
+    for r in lines.select("line", wordboxes.script_words("text", "cols").alias("w")).collect():
+        assert [tuple(w) for w in r["w"]] == expected.get(r["line"], [])
+
+
+def plain_boxes(row, single, own):
+    """word_results of one line, step by step."""
+    text, kept, line_cols = row["text"] or "", row["kept"] or [], row["line_cols"] or 0
+    box = [row[c] for c in CORNERS]
+    xs, ys = box[::2], box[1::2]
+    x0, x1, y0, y1 = min(xs), max(xs), min(ys), max(ys)
+    words, before, kind_before = [], None, None
+    for i, ch in enumerate(text if line_cols > 0 else ""):
+        col = kept[i][0] if i < len(kept) else None
+        kind = "\u4e00" <= ch <= "\u9fff"
+        if ch.isspace():
+            kind_now = None
+        elif kind_before is None or kind != kind_before or before is None or text[i - 1].isspace() or (col is not None and before[0] is not None and col - before[0] > 5):
+            words.append((kind, [ch], [col]))
+            kind_now = kind
+        else:
+            words[-1][1].append(ch)
+            words[-1][2].append(col)
+            kind_now = kind
+        kind_before = kind if kind_now is not None else kind_before
+        before = (col,)
+    if not words:
+        return []
+    words = [(k, c, [x for x in cols if x is not None]) for k, c, cols in words]
+    step = (x1 - x0) / max(line_cols, 1e-6)
+    widths = [(c[-1] - c[0]) * step / (len(c) - 1) if c else step for _, _, c in words if len(c) != 1]
+    width = sum(widths) / len(widths) if widths else (x1 - x0) / len(text)
+    cell = lambda c: (max((c + 0.5) * step - width / 2, 0) + x0, min((c + 0.5) * step + width / 2, x1 - x0) + x0)
+    if not single and not any(k for k, _, _ in words):
+        contents = ["".join(c) for _, c, _ in words]
+        cells = [(cell(c[0])[0], cell(c[-1])[1]) for _, _, c in words if c]
+    else:
+        contents = [ch for _, c, _ in words for ch in c]
+        cells = sorted(cell(x) for _, _, c in words for x in c)
+    probs = [k[2] for k in kept]
+    scores = [0.0] if not probs else probs if own else [sum(probs) / len(probs)] * len(probs)
+    out = []
+    for content, (a, b), score in zip(contents, cells, scores, strict=False):
+        corners = []
+        for s, t in ((a, y0), (b, y0), (b, y1), (a, y1)):
+            u, v = (s - x0) / max(x1 - x0, 1e-6), (t - y0) / max(y1 - y0, 1e-6)
+            for c in (xs, ys):
+                upper, lower = c[0] + (c[1] - c[0]) * u, c[3] + (c[2] - c[3]) * u
+                corners.append(upper + (lower - upper) * v)
+        out.append((content, score, *corners))
+    return out
+
+
+@pytest.mark.parametrize("single", [True, False])
+@pytest.mark.parametrize("own", [True, False])
+def test_word_results_equal_plain(spark, single, own):
+    """Lines of all sorts, with fewer steps than characters, null parts and repeated rows."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(80):
+        text = "".join(rng.choice(list("abC1  \u3000字漢é") if k % 3 else list("abcdefgh   "), rng.integers(0, 14)))
+        n = max(0, len(text) - (k % 7 == 0) * 2)
+        kept = [(int(c), 1, float(p)) for c, p in zip(np.cumsum(rng.integers(1, 9, n)), rng.random(n), strict=True)]
+        corners = np.array([(5, 5), (95, 8), (96, 30), (4, 26)]) + rng.normal(0, 2, (4, 2))
+        rows.append((1, 2, text, kept, float(rng.integers(20, 80)), *map(float, corners.ravel())))
+    rows += [(1, 2, None, None, None, *[0.0] * 8), (1, 2, "ab", None, 4.0, *[0.0] * 8), (1, 2, "ab", [(1, 1, 0.5)], None, *[3.0] * 8), *rows[:2]]
+    schema = "image_id long, box_id int, text string, kept array<struct<col:int,token:int,prob:double>>, line_cols double, " + ", ".join(f"{c} double" for c in CORNERS)
+    frame = spark.createDataFrame(rows, schema)
+    for r in wordboxes.word_results(frame.coalesce(1), single, own).collect():
+        expected = plain_boxes(r, single, own)
+        assert [(w["text"], *map(pytest.approx, w[1:])) for w in r["word_results"]] == expected
+    assert wordboxes.word_results(frame.limit(0)).count() == 0
+
+
+def test_word_boxes_in_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.png").write_bytes(images.png(drawn()))
+    seen = Recognition(config=Config(det=DetConfig(limit_type="max"), glob=GlobalConfig(text_score=0.3, return_word_box=True)))
+    recognise_files(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", seen).awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out").drop("image_id").collect()
+    assert found == ocr(images.image_files(spark, f"{tmp_path}/in"), seen).drop("image_id").collect() and found[0]["word_results"]
+
+
 def line_of(spark, text, cols, corners=(10, 20, 110, 20, 110, 40, 10, 40), line_cols=50.0, probs=None):
     probs = probs or [0.5 + k / 100 for k in range(len(cols))]
     kept = [(c, 1, p) for c, p in zip(cols, probs, strict=True)]
