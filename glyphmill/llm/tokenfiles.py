@@ -181,8 +181,9 @@ def documents_of(files: DataFrame, key: str = "doc_id") -> DataFrame:
             for n, first in enumerate(batch.column(0).to_pylist()):
                 held = TokenFile(batch.column(1)[n].as_buffer())
                 starts = np.r_[0, held.ends[:-1]].astype(np.int64)
-                ids = [held.run(a, b).astype("<u4").tobytes() for a, b in zip(starts.tolist(), held.ends.tolist(), strict=True)]
-                columns = pa.array(held.keys, pa.int64()), pa.array(starts + first), pa.array(held.ends - starts), pa.array(ids, pa.binary())
+                bounds = pa.py_buffer(np.r_[0, 4 * held.ends].astype(np.int32))
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, bounds, pa.py_buffer(held.run(0, held.n).astype("<u4").tobytes())])
+                columns = pa.array(held.keys, pa.int64()), pa.array(starts + first), pa.array(held.ends - starts), ids
                 yield pa.RecordBatch.from_arrays(list(columns), names=[key, "start", "n_tokens", "ids"])
 
     return files.select("first", "content").mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids binary")
