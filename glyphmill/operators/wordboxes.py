@@ -201,9 +201,8 @@ def word_results(lines: DataFrame, single: bool = False, token_confidences: bool
         corners = {c: pc.fill_null(corner.field(n), 0.0).to_numpy() for n, c in enumerate(CORNERS)}
         return _boxes(single, token_confidences, text, kept, line_cols.to_numpy(zero_copy_only=False).astype(float), corners)
 
-    steps = F.transform(F.coalesce("kept", F.array().cast("array<struct<col:int,token:int,prob:double>>")), lambda s: F.struct(s["col"].cast("int").alias("col"), s["prob"].cast("double").alias("prob")))
     given = F.struct(*(F.col(c).cast("double").alias(c) for c in CORNERS))
-    return lines.withColumn("word_results", boxes(F.col("text"), steps, F.col("line_cols").cast("double"), given))
+    return lines.withColumn("word_results", boxes(F.col("text"), F.col("kept"), F.col("line_cols").cast("double"), given))
 
 
 def word_boxes(lines: DataFrame) -> DataFrame:

@@ -64,18 +64,25 @@ def sizes(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", (20 + F.col("o_orderkey") % 4000).cast("int").alias("w"), (10 + F.col("o_custkey") % 3000).cast("int").alias("h"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores where their files make fewer partitions than that: for small tables from which much is made."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def text_lines(spark: SparkSession, d: str) -> DataFrame:
     """Every line of every turn that isn't empty, as if a recogniser had read it: kept steps, columns and a slanted box.
 
     A character takes two columns, and five more follow each tenth.
     """
-    c = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("image_id"), F.posexplode(F.split("text", "\n", -1)).alias("box_id", "text"))
+    c = spread(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("image_id"), F.posexplode(F.split("text", "\n", -1)).alias("box_id", "text"))
     places = F.sequence(F.lit(0), F.char_length("text") - 1)
     prob = lambda i: ((F.col("image_id") * 31 + i * 17) % 50 + 50) / 100.0
-    kept = F.transform(places, lambda i: F.struct((i * 2 + F.floor(i / 10).cast("int") * 5).alias("col"), F.lit(1).alias("token"), prob(i).alias("prob")))
+    place = lambda i: i * 2 + F.floor(i / 10).cast("int") * 5
+    kept = F.transform(places, lambda i: F.struct(place(i).alias("col"), F.lit(1).alias("token"), prob(i).alias("prob")))
     x, y, skew = F.col("image_id") * 37 % 500, F.col("box_id") * 25, F.col("image_id") % 5
     corner = {"x1": x, "y1": y, "x2": x + 400, "y2": y + skew, "x3": x + 400, "y3": y + 20 + skew, "x4": x, "y4": y + 20}
-    return c.where("text <> ''").select("*", kept.alias("kept"), *(v.cast("double").alias(k) for k, v in corner.items())).withColumn("line_cols", F.element_at("kept", -1)["col"] + 2.0)
+    return c.where("text <> ''").select("*", kept.alias("kept"), *(v.cast("double").alias(k) for k, v in corner.items())).withColumn("line_cols", place(F.char_length("text") - 1) + 2.0)
 
 
 def rounded(columns: dict[str, Column], places: int = 4) -> list[Column]:
