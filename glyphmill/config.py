@@ -13,6 +13,8 @@ class Quirks:
     overwrite_ratios: bool = True  # if both resizes fire, the second ratio stands alone
     truncate_sides: bool = True  # sides of rotated rectangles are whole numbers
     recogniser_red_first: bool = True  # the detector is fed blue first, the recogniser red first
+    raster_areas: bool = True  # candidates rank by a sum over boundary pixels in raster order, not by the area that their outer border encloses
+    dilate_forward: bool = True  # dilation looks right and down, not left and up
     token_confidences: bool = True  # a word's confidence is that of the kept step of its own number, not its characters' mean
 
 
@@ -26,6 +28,10 @@ class DetConfig:
     unclip_ratio: float = 1.6
     use_dilation: bool = True
     min_side: int = 3
+    grown_min_side: int = 3
+    borders: bool = False  # candidates are outer borders and those of holes, less the points within straight runs, last found first
+    filled_score: bool = False  # a box's score is of its filled polygon with whole corners, not of the pixel centres inside
+    round_corners: bool = False  # boxes grow with round corners, and the result's smallest rectangle counts
 
 
 @dataclass(frozen=True)

@@ -10,10 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.operators.shapes import box_corners, min_area_rect
+from glyphmill.functions import quads as Q
+from glyphmill.schemas import CORNERS
+
+#: Side of a tile of pixels that boxes meet.
+TILE = 16
 
 
 def pixels(maps: DataFrame, image: str = "image_id") -> DataFrame:
@@ -96,7 +100,10 @@ def components(maps: DataFrame, thresh: float, dilate: bool = False, image: str
     return maps.select(image, "h", "w", "probs").mapInArrow(run, f"{image} long, label int, y int, x int, is_boundary boolean")
 
 
-def dilate_mask(fg: np.ndarray) -> np.ndarray:
+def dilate_mask(fg: np.ndarray, forward: bool = True) -> np.ndarray:
+    """A pixel is set if it, its right, lower or lower right one is; or, not forward, its left, upper or upper left one."""
+    if not forward:
+        return dilate_mask(fg[::-1, ::-1])[::-1, ::-1]
     out = fg.copy()
     out[:, :-1] |= fg[:, 1:]
     out[:-1] |= fg[1:]
@@ -151,36 +158,27 @@ def order_corners(points: np.ndarray) -> np.ndarray:
     return np.array([tl, tr, br, bl])
 
 
-def detect_boxes(probs: np.ndarray, width: int, height: int, det, truncate: bool = True) -> list[tuple[np.ndarray, float]]:
-    """Boxes (four ordered corners in the source image) and scores of one probability map, largest component first."""
-    h, w = probs.shape
-    fg = probs > det.thresh
-    labels = label_mask(dilate_mask(fg) if det.use_dilation else fg)
-    y, x = np.nonzero(boundary_mask(labels))
-    of = labels[y, x]
-    order = np.argsort(of, kind="stable")
-    x, y, of = x[order], y[order], of[order]
-    found = []
-    for at, (a, b) in enumerate(zip(np.searchsorted(of, u := np.unique(of)), np.searchsorted(of, u, "right"), strict=True)):
-        points = np.stack([x[a:b], y[a:b]], 1).astype(float)
-        area = abs(np.sum(points[:, 0] * np.roll(points[:, 1], -1) - np.roll(points[:, 0], -1) * points[:, 1])) / 2 if len(points) > 2 else 0.0
-        found.append((-area, at, points))
-    boxes = []
-    for _, _, points in sorted(found, key=lambda f: f[:2])[: det.max_candidates]:
-        if len(points) < 4:
-            continue
-        centre, sides, angle = min_area_rect(points, truncate)
-        if min(sides) < det.min_side:
-            continue
-        quad = box_corners(centre, sides, angle)
-        score = mean_inside(probs, quad)
-        if score < det.box_thresh:
-            continue
-        grow = sides[0] * sides[1] * det.unclip_ratio / (2 * (sides[0] + sides[1]))
-        sides = tuple(int(s + 2 * grow) if truncate else s + 2 * grow for s in sides)
-        if min(sides) < det.min_side:
-            continue
-        quad = order_corners(box_corners(centre, sides, angle) * (width / w, height / h)).clip(0, (width - 1, height - 1))
-        if min(int(np.hypot(*(quad[0] - quad[1]))), int(np.hypot(*(quad[0] - quad[3])))) > 3:
-            boxes.append((quad, score))
-    return boxes
+def box_scores(points: DataFrame, boxes: DataFrame, image: str = "image_id", box: str = "box_id") -> DataFrame:
+    """image, box and score: the mean of p over the pixels (image, y, x, p) whose centres lie in a box, 0 where none does.
+
+    boxes: image, box, CORNERS, and h and w of their maps, to whose last pixels bounds are cut; bounds of no width or
+    height hold nothing. Boxes and pixels meet on tiles of TILE by TILE pixels, so a pixel is tested against the boxes of its
+    tile alone; a tile of very many boxes is one more key that adaptive execution splits.
+    """
+    box_keys = [image, box]
+    around = Q.bounds()
+
+    def cut(v: Column, size: str) -> Column:
+        return F.least(F.greatest(v, F.lit(0)), F.col(size) - 1).cast("int")
+
+    ends = {"from_x": cut(F.floor(around["left"]), "w"), "to_x": cut(F.ceil(around["right"]), "w"), "from_y": cut(F.floor(around["top"]), "h"), "to_y": cut(F.ceil(around["bottom"]), "h")}
+    placed = boxes.select(*box_keys, *CORNERS, *(v.alias(k) for k, v in ends.items())).where("from_x < to_x AND from_y < to_y")
+
+    def tiles(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.expr(f"{low} DIV {TILE}"), F.expr(f"{high} DIV {TILE}")))
+
+    tiled = placed.withColumn("tile_y", tiles("from_y", "to_y")).withColumn("tile_x", tiles("from_x", "to_x"))
+    pixel_tiles = points.select(image, "y", "x", "p", F.expr(f"y DIV {TILE}").cast("long").alias("tile_y"), F.expr(f"x DIV {TILE}").cast("long").alias("tile_x"))
+    met = tiled.join(pixel_tiles, [image, "tile_y", "tile_x"]).where("x BETWEEN from_x AND to_x AND y BETWEEN from_y AND to_y")
+    sums = met.where(Q.holds(F.col("x") + 0.5, F.col("y") + 0.5)).groupBy(*box_keys).agg(F.avg("p").alias("score"))
+    return boxes.select(*box_keys).join(sums, box_keys, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))

@@ -17,6 +17,7 @@ from glyphmill.config import Config, DetConfig, GlobalConfig
 from glyphmill.functions import quads as Q
 from glyphmill.functions import sizing as S
 from glyphmill.operators import decode, raster, segment, shapes, wordboxes
+from glyphmill.operators import outlines as borders_
 from glyphmill.plans.pipeline import Recognition, image_summary, ocr
 from glyphmill.schemas import CORNERS
 from glyphmill.sources import images, sinks
@@ -371,25 +372,107 @@ def contour_area(spark: SparkSession, d: str) -> DataFrame:
     return segment.contour_areas(segment.components(maps(spark, d), THRESH))
 
 
-SCORED = [(1.0, 1.0, 6.0, 2.0, 5.0, 7.0, 0.5, 6.0), (0.0, 0.0, 8.0, 0.0, 8.0, 3.0, 0.0, 3.0), (3.2, 3.2, 3.4, 3.2, 3.4, 3.4, 3.2, 3.4)]
+#: Boxes of events in the maps of embeddings; most of the smaller tables' boxes have no map.
+SPOTS_SQL = """
+, spots AS (
+    SELECT event_id % 2000 AS image_id, event_id AS box_id, ((event_id * 37) % 70)::DOUBLE / 10 AS x0, ((event_id * 91) % 70)::DOUBLE / 10 AS y0, 0.5::DOUBLE + ((event_id * 13) % 50)::DOUBLE / 10 AS w, 0.5::DOUBLE + (user_id % 50)::DOUBLE / 10 AS h, (event_id % 7 - 3)::DOUBLE / 5 AS skew FROM events
+), quad AS (SELECT image_id, box_id, x0 AS x1, y0 AS y1, x0 + w AS x2, y0 + skew AS y2, x0 + w AS x3, y0 + h + skew AS y3, x0 AS x4, y0 + h AS y4 FROM spots)
+, cut AS (
+    SELECT *, least(greatest(floor(least(x1, x2, x3, x4)), 0), 7)::INT AS left_, least(greatest(ceil(greatest(x1, x2, x3, x4)), 0), 7)::INT AS right_,
+           least(greatest(floor(least(y1, y2, y3, y4)), 0), 7)::INT AS top_, least(greatest(ceil(greatest(y1, y2, y3, y4)), 0), 7)::INT AS bottom_ FROM quad
+)"""
+
 
+def spots(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id")
+    tenth = lambda v: v.cast("double") / 10
+    x0, y0, skew = tenth(F.col("event_id") * 37 % 70), tenth(F.col("event_id") * 91 % 70), (F.col("event_id") % 7 - 3).cast("double") / 5
+    w, h = 0.5 + tenth(F.col("event_id") * 13 % 50), 0.5 + tenth(F.col("user_id") % 50)
+    corner = {"x1": x0, "y1": y0, "x2": x0 + w, "y2": y0 + skew, "x3": x0 + w, "y3": y0 + h + skew, "x4": x0, "y4": y0 + h}
+    return e.select((F.col("event_id") % 2000).alias("image_id"), F.col("event_id").alias("box_id"), *(v.alias(k) for k, v in corner.items()), F.lit(8).alias("h"), F.lit(8).alias("w"))
 
-def inside_sql(corners: tuple) -> str:
+
+def inside_sql() -> str:
+    """Even-odd test of a pixel's centre."""
     tests = []
-    for i in range(4):
-        xi, yi, xj, yj = (float(v) for v in (*corners[2 * i : 2 * i + 2], *corners[2 * i - 2 : 2 * i or None][:2]))
-        if yi != yj:
-            tests.append(f"(({yi} > y + 0.5) <> ({yj} > y + 0.5) AND x + 0.5 < ({xj}::DOUBLE - {xi}) * (y + 0.5::DOUBLE - {yi}) / ({yj}::DOUBLE - {yi}) + {xi})::INT")
+    for i in range(1, 5):
+        j = i - 1 or 4
+        tests.append(f"coalesce(((y{i} > y + 0.5::DOUBLE) <> (y{j} > y + 0.5::DOUBLE)) AND x + 0.5::DOUBLE < (x{j} - x{i}) * (y + 0.5::DOUBLE - y{i}) / nullif(y{j} - y{i}, 0) + x{i}, false)::INT")
     return f"({' + '.join(tests)}) % 2 = 1"
 
 
-@query(MASK_SQL + " " + " UNION ALL ".join(f"SELECT image_id, {n} AS quad, round(coalesce(avg(p) FILTER (WHERE {inside_sql(c)}), 0), 6) AS score FROM px GROUP BY image_id" for n, c in enumerate(SCORED)))
+@query(MASK_SQL + SPOTS_SQL + f""", hit AS (
+    SELECT c.image_id, c.box_id, avg(p) AS score FROM cut c JOIN px USING (image_id) WHERE left_ < right_ AND top_ < bottom_ AND x BETWEEN left_ AND right_ AND y BETWEEN top_ AND bottom_ AND {inside_sql()} GROUP BY ALL
+) SELECT image_id, box_id, round(coalesce(score, 0), 6) AS score FROM cut LEFT JOIN hit USING (image_id, box_id)""")
 def box_score(spark: SparkSession, d: str) -> DataFrame:
-    """Mean of each map inside three fixed quadrilaterals: pixels against boxes by image, in expressions alone."""
-    quads = F.explode(F.array(*(F.struct(F.lit(n).alias("quad"), *(F.lit(v).alias(c) for c, v in zip(CORNERS, q, strict=True))) for n, q in enumerate(SCORED)))).alias("q")
-    rows = segment.pixels(maps(spark, d)).select("image_id", "y", "x", "p", quads).select("image_id", "y", "x", "p", "q.*")
-    hit = F.when(Q.holds(F.col("x") + 0.5, F.col("y") + 0.5), F.col("p"))
-    return rows.groupBy("image_id", "quad").agg(F.round(F.coalesce(F.avg(hit), F.lit(0.0)), 6).alias("score"))
+    """Mean of each box's map inside it: boxes and pixels meet by tiles."""
+    return segment.box_scores(segment.pixels(maps(spark, d)), spots(spark, d)).withColumn("score", F.round("score", 6))
+
+
+POLYGON_SQL = """
+, polygons AS (SELECT event_id % 2000 AS image_id, event_id AS polygon_id, unnest(range(5)) AS k, """ + ", ".join(f"((event_id * {m} + k * {n} * (1 + event_id % 11)) % 90)::DOUBLE / 10 - 0.5::DOUBLE AS {c}" for c, m, n in (("px_", 37, 29), ("py_", 53, 31))) + """ FROM events)
+, low AS (SELECT polygon_id, least(greatest(floor(min(px_)), 0), 7) AS lx, least(greatest(floor(min(py_)), 0), 7) AS ly, least(greatest(ceil(max(px_)), 0), 8) AS hx, least(greatest(ceil(max(py_)), 0), 8) AS hy FROM polygons GROUP BY polygon_id)
+, whole AS (SELECT p.image_id, polygon_id, k, trunc(px_ - lx)::BIGINT AS x, trunc(py_ - ly)::BIGINT AS y FROM polygons p JOIN low USING (polygon_id) WHERE hx > lx AND hy > ly)
+, sides AS (SELECT a.polygon_id, a.k, CASE WHEN a.y <= b.y THEN a.x ELSE b.x END AS xa, least(a.y, b.y) AS ya, CASE WHEN a.y <= b.y THEN b.x ELSE a.x END AS xb, greatest(a.y, b.y) AS yb FROM whole a JOIN whole b ON a.polygon_id = b.polygon_id AND b.k = (a.k + 1) % 5)
+, met AS (
+    SELECT polygon_id, k, y, yb, xa + (y - ya) * (xb - xa)::DOUBLE / (yb - ya) AS exact, floor((2 * (xa * (yb - ya) + (y - ya) * (xb - xa)) + (yb - ya))::DOUBLE / (2 * (yb - ya)))::BIGINT AS x FROM sides, unnest(range(ya, yb + 1)) AS u(y) WHERE ya < yb
+), nth AS (SELECT *, row_number() OVER (PARTITION BY polygon_id, y ORDER BY exact, x) AS r FROM met WHERE y < yb)
+, spans AS (
+    SELECT polygon_id, ya AS y, least(xa, xb) AS a, greatest(xa, xb) AS b FROM sides WHERE ya = yb
+    UNION ALL SELECT polygon_id, y, x, x FROM met
+    UNION ALL SELECT p.polygon_id, p.y, p.x, q.x FROM nth p JOIN nth q ON p.polygon_id = q.polygon_id AND p.y = q.y AND q.r = p.r + 1 WHERE p.r % 2 = 1
+), inked AS (SELECT DISTINCT polygon_id, y, x FROM spans, unnest(range(a, b + 1)) AS u(x))
+, meant AS (SELECT polygon_id, avg(p) AS score FROM inked i JOIN low USING (polygon_id) JOIN px ON px.image_id = polygon_id % 2000 AND px.y = i.y + ly AND px.x = i.x + lx WHERE i.y <= hy - ly AND i.x <= hx - lx GROUP BY polygon_id)"""
+
+
+@query(MASK_SQL + POLYGON_SQL + " SELECT DISTINCT p.image_id, polygon_id, round(coalesce(score, 0), 6) AS score FROM polygons p LEFT JOIN meant USING (polygon_id)")
+def polygon_score(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of each map inside filled polygons of five corners, most of which cross themselves."""
+    e = F.col("event_id")
+    at = lambda m, n: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: ((e * m + k * n * (1 + e % 11)) % 90).cast("double") / 10 - 0.5)
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id")
+    polygons = events.select((e % 2000).alias("image_id"), e.alias("polygon_id"), at(37, 29).alias("xs"), at(53, 31).alias("ys"))
+    return borders_.polygon_scores(maps(spark, d), polygons).withColumn("score", F.round("score", 6))
+
+
+#: Largest distance of a chord from its arc.
+ARC = 0.25
+TURNS_SQL = ", ".join(f"atan2((x{b} - x{a}) * (y{c} - y{b}) - (y{b} - y{a}) * (x{c} - x{b}), (x{b} - x{a}) * (x{c} - x{b}) + (y{b} - y{a}) * (y{c} - y{b})) AS t{b}" for a, b, c in ((4, 1, 2), (1, 2, 3), (2, 3, 4), (3, 4, 1)))
+
+
+@query(QUAD_SQL + f", u AS (SELECT *, {AREA_SQL} AS area, {AROUND_SQL} AS around, {AREA_SQL} * 1.6::DOUBLE / ({AROUND_SQL}) AS dist, {TURNS_SQL} FROM q), v AS (SELECT *, 2 * acos(1 - least({ARC}::DOUBLE, dist) / dist) AS step FROM u)"
+    + " SELECT rank, round(dist, 4) AS distance, (" + " + ".join(f"ceil(t{n} / step - 1e-9) + 1" for n in (1, 2, 3, 4)) + ")::INT AS n_points, round(area + around * dist + dist * dist / 2 * (" + " + ".join(f"ceil(t{n} / step - 1e-9) * sin(t{n} / ceil(t{n} / step - 1e-9))" for n in (1, 2, 3, 4)) + "), 3) AS area FROM v")
+def round_offset(spark: SparkSession, d: str) -> DataFrame:
+    """Quadrilaterals grown with round corners; SQL has the closed form of convex polygons."""
+    quads = boxes(spark, d).select("rank", F.array(*Q.X).alias("xs"), F.array(*Q.Y).alias("ys"))
+    found = borders_.grown_polygons(quads, ["rank"], tolerance=ARC)
+    return found.select("rank", F.round("distance", 4).alias("distance"), "n_points", F.round("area", 3).alias("area"))
+
+
+@query(MASK_SQL + """, crack AS MATERIALIZED (
+    SELECT f.image_id, y, x, s, (y * 8 + x) * 4 + s AS c FROM fg f, unnest(range(4)) AS u(s) WHERE NOT EXISTS (SELECT 1 FROM fg g WHERE g.image_id = f.image_id AND g.y = f.y + CASE s WHEN 0 THEN -1 WHEN 2 THEN 1 ELSE 0 END AND g.x = f.x + CASE s WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END)
+), ways AS (
+    SELECT *, CASE s WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS fy, CASE s WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS fx, CASE s WHEN 0 THEN -1 WHEN 2 THEN 1 ELSE 0 END AS oy, CASE s WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS ox FROM crack
+), after AS MATERIALIZED (
+    SELECT w.image_id, c, w.y, w.x, s, CASE WHEN g.y IS NOT NULL THEN (g.y * 8 + g.x) * 4 + (s + 3) % 4 WHEN a.y IS NOT NULL THEN (a.y * 8 + a.x) * 4 + s ELSE (w.y * 8 + w.x) * 4 + (s + 1) % 4 END AS n
+    FROM ways w LEFT JOIN fg a ON a.image_id = w.image_id AND a.y = w.y + fy AND a.x = w.x + fx LEFT JOIN fg g ON g.image_id = w.image_id AND g.y = w.y + fy + oy AND g.x = w.x + fx + ox
+), round_ AS (
+    SELECT image_id, c AS start, c, 0 AS k FROM after UNION ALL SELECT r.image_id, r.start, a.n, k + 1 FROM round_ r JOIN after a ON a.image_id = r.image_id AND a.c = r.c WHERE a.n > r.start
+), closed AS (SELECT r.image_id, r.start FROM round_ r JOIN after a ON a.image_id = r.image_id AND a.c = r.c WHERE a.n = r.start)
+, walk AS MATERIALIZED (SELECT r.image_id, r.start, k, a.y, a.x FROM round_ r JOIN closed USING (image_id, start) JOIN after a ON a.image_id = r.image_id AND a.c = r.c)
+, moved AS (SELECT *, coalesce((y, x) IS DISTINCT FROM (lag(y) OVER w, lag(x) OVER w), true) AS new FROM walk WINDOW w AS (PARTITION BY image_id, start ORDER BY k))
+, dots AS MATERIALIZED (
+    SELECT image_id, start, row_number() OVER (PARTITION BY image_id, start ORDER BY k) AS i, y, x FROM moved m WHERE new AND NOT (k > 0 AND y * 8 + x = start // 4 AND NOT EXISTS (SELECT 1 FROM moved o WHERE o.image_id = m.image_id AND o.start = m.start AND o.k > m.k AND o.new))
+), sizes AS (SELECT image_id, start, count(*) AS n FROM dots GROUP BY ALL)
+, beside AS (
+    SELECT d.*, n, b.y AS by_, b.x AS bx_, a.y AS ay_, a.x AS ax_ FROM dots d JOIN sizes USING (image_id, start)
+    JOIN dots b ON b.image_id = d.image_id AND b.start = d.start AND b.i = (d.i + n - 2) % n + 1 JOIN dots a ON a.image_id = d.image_id AND a.start = d.start AND a.i = d.i % n + 1
+)
+SELECT image_id, (row_number() OVER (PARTITION BY image_id ORDER BY start) - 1)::INT AS border, start % 4 > 0 AS is_hole, any_value(n)::INT AS n_points, abs(sum(x * ay_ - ax_ * y))::DOUBLE / 2 AS area,
+       count(*) FILTER (WHERE n < 3 OR (ay_ - y, ax_ - x) IS DISTINCT FROM (y - by_, x - bx_))::INT AS n_corners FROM beside GROUP BY image_id, start""")
+def borders(spark: SparkSession, d: str) -> DataFrame:
+    """Outer and hole borders of each map. SQL walks from crack to crack, from the least of each cycle."""
+    return borders_.borders(maps(spark, d), THRESH).select("image_id", "border", "is_hole", "n_points", "area", F.size("xs").alias("n_corners"))
 
 
 def outlines(spark: SparkSession, d: str) -> DataFrame:

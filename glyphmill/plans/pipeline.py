@@ -21,10 +21,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from glyphmill.config import Config
 from glyphmill.functions import quads
 from glyphmill.operators import decode, wordboxes
+from glyphmill.operators.detection import detect_boxes
 from glyphmill.operators.inference import backend
 from glyphmill.operators.raster import crop as cropped
 from glyphmill.operators.raster import pad_rows, recogniser_input, resize, tensor
-from glyphmill.operators.segment import detect_boxes
 from glyphmill.schemas import CORNERS, ERROR, OcrError, error_of
 from glyphmill.sources.images import pixels_of
 
@@ -75,7 +75,7 @@ class Recognition:
 
     def boxes(self, probs: np.ndarray, width: int, height: int) -> list[dict]:
         """Quadrilaterals in the padded image and their scores, in reading order."""
-        found = detect_boxes(probs, width, height, self.config.det, self.config.quirks.truncate_sides)
+        found = detect_boxes(probs, width, height, self.config.det, self.config.quirks)
         found.sort(key=lambda f: (int(f[0][0][1]), int(f[0][0][0])))
         return [{"box_id": n, "det_score": score, **dict(zip(CORNERS, map(float, quad.ravel()), strict=True))} for n, (quad, score) in enumerate(found)]
 
