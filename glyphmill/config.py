@@ -13,6 +13,8 @@ class Quirks:
     overwrite_ratios: bool = True  # if both resizes fire, the second ratio stands alone
     truncate_sides: bool = True  # sides of rotated rectangles are whole numbers
     recogniser_red_first: bool = True  # the detector is fed blue first, the recogniser red first
+    bilinear_crops: bool = True  # crops are bilinear and black outside the image, not cubic with the edge going on
+    filtered_resize: bool = True  # resizing is by a triangle filter that widens when shrinking, not between the two nearest samples in whole numbers
     raster_areas: bool = True  # candidates rank by a sum over boundary pixels in raster order, not by the area that their outer border encloses
     dilate_forward: bool = True  # dilation looks right and down, not left and up
     token_confidences: bool = True  # a word's confidence is that of the kept step of its own number, not its characters' mean
@@ -21,6 +23,7 @@ class Quirks:
 @dataclass(frozen=True)
 class DetConfig:
     limit_side_len: int = 736
+    batch: int = 8  # images that are held as tensors at once
     limit_type: str = "min"
     thresh: float = 0.3
     box_thresh: float = 0.5
@@ -39,6 +42,7 @@ class RecConfig:
     height: int = 48
     width: int = 320
     batch: int = 6
+    width_step: int = 0  # 0: a line is padded to the widest of its batch, of its own image; else to a multiple of so many pixels, whatever its mates
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -82,9 +83,16 @@ def close_backends() -> None:
 atexit.register(close_backends)
 
 
-def backend(kind: str, *arguments) -> Backend:
-    """The worker's backend of a kind: brightness, columns or planes (classes), or onnx (path)."""
-    key = (kind, *arguments)
+def backend(kind: str | Callable[..., Backend], *arguments) -> Backend:
+    """The worker's backend of a kind: brightness, columns or planes (classes), onnx (path), or what a class or function of one's own makes.
+
+    What a function makes is kept by its full name, as a task gets a copy of the function.
+    """
+    if callable(kind):
+        make, name = kind, f"{kind.__module__}.{kind.__qualname__}"
+    else:
+        make, name = {"brightness": BrightnessDetector, "columns": ColumnRecogniser, "planes": PlaneRecogniser, "onnx": OnnxBackend}[kind], kind
+    key = (name, *arguments)
     if key not in _made:
-        _made[key] = {"brightness": BrightnessDetector, "columns": ColumnRecogniser, "planes": PlaneRecogniser, "onnx": OnnxBackend}[kind](*arguments)
+        _made[key] = make(*arguments)
     return _made[key]

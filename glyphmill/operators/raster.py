@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -31,6 +33,28 @@ def resize(img: np.ndarray, height: int, width: int, cubic: bool = False) -> np.
     return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
 
 
+def _taps(source: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two source samples of each target sample, and the second one's weight in 2048ths; samples beyond the edges are the edge's."""
+    at = (np.arange(target) + 0.5) * (source / target) - 0.5
+    low = np.floor(at).astype(np.int64)
+    weight = np.floor((at - low) * 2048 + 0.5).astype(np.int64)
+    weight[(low < 0) | (low >= source - 1)] = 0
+    low = low.clip(0, source - 1)
+    return low, np.minimum(low + 1, source - 1), weight
+
+
+def resize_fixed(img: np.ndarray, height: int, width: int) -> np.ndarray:
+    """An 8-bit image at another size, bilinear between the two nearest samples in whole numbers: weights of 11 bits along rows, then along columns, one rounding at the end."""
+    if img.shape[:2] == (height, width):
+        return img
+    left, right, across = _taps(img.shape[1], width)
+    upper, lower, down = _taps(img.shape[0], height)
+    rows = img.astype(np.int64)
+    rows = rows[:, left] * (2048 - across)[:, None] + rows[:, right] * across[:, None]
+    out = rows[upper] * (2048 - down)[:, None, None] + rows[lower] * down[:, None, None]
+    return ((out + (1 << 21)) >> 22).astype(np.uint8)
+
+
 def pad_rows(img: np.ndarray, rows: int) -> np.ndarray:
     return np.pad(img, ((rows, rows), (0, 0), (0, 0)))
 
@@ -77,13 +101,48 @@ def warp(img: np.ndarray, matrix: np.ndarray, height: int, width: int) -> np.nda
     return np.where(base[..., None], out, 0).astype(np.uint8)
 
 
-def crop(img: np.ndarray, quad: np.ndarray) -> np.ndarray | None:
-    """The upright crop of a quadrilateral, turned if it is tall; None if it has no area."""
+def _cubic_weights(t: np.ndarray) -> list[np.ndarray]:
+    """Weights of the samples at -1, 0, 1 and 2 for a place t after sample 0, by the cubic kernel of slope -3/4."""
+    a = -0.75
+
+    def outer(x: np.ndarray) -> np.ndarray:
+        return a * (x**3 - 5 * x**2 + 8 * x - 4)
+
+    def inner(x: np.ndarray) -> np.ndarray:
+        return (a + 2) * x**3 - (a + 3) * x**2 + 1
+
+    return [outer(t + 1), inner(t), inner(1 - t), outer(2 - t)]
+
+
+def warp_cubic(img: np.ndarray, matrix: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The image under a perspective matrix: each pixel from four by four samples, those beyond the edges being the edge's; rounded and cut to 0 to 255."""
+    y, x = np.mgrid[0:height, 0:width].astype(float)
+    h = np.linalg.inv(matrix)
+    w = h[2, 0] * x + h[2, 1] * y + h[2, 2]
+    rows, columns = img.shape[:2]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sx, sy = (np.nan_to_num((h[k, 0] * x + h[k, 1] * y + h[k, 2]) / w, posinf=1e9, neginf=-1e9) for k in (0, 1))
+    # far outside only the edge counts, wherever exactly a sample lies
+    sx, sy = sx.clip(-4, columns + 3), sy.clip(-4, rows + 3)
+    x0, y0 = np.floor(sx), np.floor(sy)
+    across, down = _cubic_weights(sx - x0), _cubic_weights(sy - y0)
+    out = np.zeros((height, width, img.shape[2]))
+    for j in range(4):
+        yj = (y0 + j - 1).clip(0, rows - 1).astype(int)
+        line = np.zeros_like(out)
+        for i in range(4):
+            line += across[i][..., None] * img[yj, (x0 + i - 1).clip(0, columns - 1).astype(int)]
+        out += down[j][..., None] * line
+    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
+
+
+def crop(img: np.ndarray, quad: np.ndarray, cubic: bool = False) -> np.ndarray | None:
+    """The upright crop of a quadrilateral, turned if it is tall; None if it has no area. cubic: by warp_cubic(), else by warp()."""
     side = lambda i, j: np.hypot(*(quad[i] - quad[j]))
     width, height = int(max(side(0, 1), side(2, 3))), int(max(side(0, 3), side(1, 2)))
     if not width or not height:
         return None
-    out = warp(img, perspective(quad, np.array([(0, 0), (width, 0), (width, height), (0, height)])), height, width)
+    out = (warp_cubic if cubic else warp)(img, perspective(quad, np.array([(0, 0), (width, 0), (width, height), (0, height)])), height, width)
     return turn(out, 0) if height / width >= 1.5 else out
 
 
@@ -93,9 +152,9 @@ def tensor(img: np.ndarray, width: int | None = None) -> np.ndarray:
     return planes if width is None else np.pad(planes[:, :, :width], ((0, 0), (0, 0), (0, max(0, width - planes.shape[2]))))
 
 
-def recogniser_input(img: np.ndarray, max_ratio: float, height: int = 48, red_first: bool = True) -> np.ndarray:
+def recogniser_input(img: np.ndarray, max_ratio: float, height: int = 48, red_first: bool = True, resized: Callable = resize) -> np.ndarray:
     """A crop at the recogniser's height, as wide as its ratio asks, padded to its batch's width. Planes: red first, or blue first."""
     width = int(np.floor(height * max_ratio + 0.5))
     own = min(int(np.ceil(height * (img.shape[1] / img.shape[0]))), width)
-    small = resize(img, height, own)
+    small = resized(img, height, own)
     return tensor(small if red_first else small[:, :, ::-1], width)

@@ -7,8 +7,9 @@ again each; null pixels or sizes count as undecodable.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +25,7 @@ from glyphmill.operators import decode, wordboxes
 from glyphmill.operators.detection import detect_boxes
 from glyphmill.operators.inference import backend
 from glyphmill.operators.raster import crop as cropped
-from glyphmill.operators.raster import pad_rows, recogniser_input, resize, tensor
+from glyphmill.operators.raster import pad_rows, recogniser_input, resize, resize_fixed, tensor
 from glyphmill.schemas import CORNERS, ERROR, OcrError, error_of
 from glyphmill.sources.images import pixels_of
 
@@ -33,7 +34,7 @@ def _to_32(v: float) -> int:
     return int(np.floor(int(v) / 32 + 0.5)) * 32
 
 
-def bounded(img: np.ndarray, glob, overwrite: bool = True) -> tuple[np.ndarray, float, float]:
+def bounded(img: np.ndarray, glob, overwrite: bool = True, resized: Callable = resize) -> tuple[np.ndarray, float, float]:
     """The image within the bounds of its sides, and the ratios back to its size before."""
     ratio_h = ratio_w = 1.0
     for fires, by in ((lambda h, w: max(h, w) > glob.max_side_len, lambda h, w: glob.max_side_len / max(h, w)), (lambda h, w: min(h, w) < glob.min_side_len, lambda h, w: glob.min_side_len / min(h, w))):
@@ -42,7 +43,7 @@ def bounded(img: np.ndarray, glob, overwrite: bool = True) -> tuple[np.ndarray,
             new_h, new_w = _to_32(h * by(h, w)), _to_32(w * by(h, w))
             if new_h <= 0 or new_w <= 0:
                 raise OcrError("Preprocess", "a side rounds to zero")
-            img = resize(img, new_h, new_w)
+            img = resized(img, new_h, new_w)
             step_h, step_w = h / new_h, w / new_w
             ratio_h, ratio_w = (step_h, step_w) if overwrite else (ratio_h * step_h, ratio_w * step_w)
     return img, ratio_h, ratio_w
@@ -57,10 +58,14 @@ class Recognition:
     characters: tuple[str, ...] = tuple("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ.,")
     config: Config = field(default_factory=Config)
 
+    @property
+    def resized(self) -> Callable:
+        return resize if self.config.quirks.filtered_resize else resize_fixed
+
     def prepared(self, img: np.ndarray) -> tuple[np.ndarray, dict]:
         """The image within bounds and padded, and the way back: ratios, rows of padding above, original size."""
         g = self.config.glob
-        small, ratio_h, ratio_w = bounded(img, g, self.config.quirks.overwrite_ratios)
+        small, ratio_h, ratio_w = bounded(img, g, self.config.quirks.overwrite_ratios, self.resized)
         h, w = small.shape[:2]
         wide = g.width_height_ratio != -1 and w / h > g.width_height_ratio
         top = abs(max(int(w / g.width_height_ratio), g.min_height) * 2 - h) // 2 if h <= g.min_height or wide else 0
@@ -71,7 +76,7 @@ class Recognition:
         d = self.config.det
         limit = d.limit_side_len if d.limit_type == "min" else 960 if max(h, w) < 960 else 1500 if max(h, w) < 1500 else 2000
         ratio = min(1.0, limit / max(h, w)) if d.limit_type == "max" else max(1.0, limit / min(h, w))
-        return tensor(resize(img, _to_32(h * ratio), _to_32(w * ratio))[:, :, ::-1])
+        return tensor(self.resized(img, _to_32(h * ratio), _to_32(w * ratio))[:, :, ::-1])
 
     def boxes(self, probs: np.ndarray, width: int, height: int) -> list[dict]:
         """Quadrilaterals in the padded image and their scores, in reading order."""
@@ -99,12 +104,13 @@ def _rows(rows: list[dict], schema: T.StructType) -> pa.RecordBatch:
 def detect(images: DataFrame, recognition: Recognition = Recognition()) -> DataFrame:
     """DETECTED: padded pixels (red first), the way back to the image, and boxes in them, for each image.
 
-    Images of a batch whose inputs have one shape are one call of the detector. A failing image has an error
-    (code, message) and no boxes.
+    At most config.det.batch images are held as tensors at once; those of them whose inputs have one shape are one call
+    of the detector. A failing image has an error (code, message) and no boxes.
     """
+    most = recognition.config.det.batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, most) for b in batches for a in range(0, b.num_rows, most)):
             keys, heights, widths, channels = (batch.column(n).to_pylist() for n in range(4))
             rows: list[dict] = [{"image_id": key} for key in keys]
             alike = defaultdict(list)
@@ -131,11 +137,12 @@ def detect(images: DataFrame, recognition: Recognition = Recognition()) -> DataF
     return images.select("image_id", "height", "width", "nChannels", "data").mapInArrow(run, DETECTED)
 
 
-def crop(detected: DataFrame) -> DataFrame:
+def crop(detected: DataFrame, recognition: Recognition = Recognition()) -> DataFrame:
     """CROP: a row for each detected box, its corners in the padded image and the pixels of its upright crop (red first).
 
     A box without area has an error and no pixels; so has a failed image, which is one row without a box.
     """
+    cubic = not recognition.config.quirks.bilinear_crops
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +154,7 @@ def crop(detected: DataFrame) -> DataFrame:
                 rows = []
                 for box in image["boxes"]:
                     img = np.frombuffer(pixels[n].as_buffer(), np.uint8).reshape(image["height"], image["width"], 3)
-                    cut = cropped(img, np.array([box[c] for c in CORNERS]).reshape(4, 2))
+                    cut = cropped(img, np.array([box[c] for c in CORNERS]).reshape(4, 2), cubic)
                     made = {"error": error_of(OcrError("Preprocess", "box without area"))} if cut is None else {"height": cut.shape[0], "width": cut.shape[1], "data": cut.tobytes()}
                     rows.append({"image_id": image["image_id"], "place": image["place"], **box, **made})
                 if rows:
@@ -156,42 +163,71 @@ def crop(detected: DataFrame) -> DataFrame:
     return detected.select(*DETECTED.names).mapInArrow(run, CROP)
 
 
-def recognise(crops: DataFrame, recognition: Recognition = Recognition()) -> DataFrame:
+def recognise(crops: DataFrame, recognition: Recognition = Recognition(), parts: int = 0) -> DataFrame:
     """STEPS: crops less their pixels, with each step's greatest class and probability, the crop's ratio and its batch's.
 
     An image's crops go to the recogniser by rising ratio, config.rec.batch at once; they stand together in crop()'s
-    output, so batches form within a task and nothing is shuffled.
+    output, so batches form within a task and nothing is shuffled. With config.rec.width_step a crop's padded width depends
+    on itself alone: crops of one width, of whatever images, are one batch, and a task holds less than a batch of each width.
+    parts: then crops are first dealt to so many partitions by width and key, which fills batches where images
+    have few lines; a common width is dealt to several.
     """
     c = recognition.config
-
-    def read(rows: list[dict]) -> list[dict]:
+    step = c.rec.width_step
+    least = c.rec.width / c.rec.height
+
+    def read(batch: list[dict], most: float) -> list[dict]:
+        """One call of the recogniser for crops that are padded to one ratio."""
+        images = (np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3) for r in batch)
+        try:
+            steps = backend(*recognition.recogniser).run(np.stack([recogniser_input(img, most, c.rec.height, c.quirks.recogniser_red_first, recognition.resized) for img in images]))
+        except ValueError as why:
+            return [r | {"error": error_of(why)} for r in batch]
+        return [r | {"tokens": tokens, "probs": probs, "ratio": r["width"] / r["height"], "max_ratio": most} for r, tokens, probs in zip(batch, steps.argmax(2).tolist(), steps.max(2).tolist(), strict=True)]
+
+    def shown(rows: list[dict]) -> pa.RecordBatch:
+        return _rows([{k: v for k, v in r.items() if k in STEPS.names} for r in rows], STEPS)
+
+    def of_image(rows: list[dict]) -> pa.RecordBatch:
+        """An image's crops by rising ratio, each batch as wide as its widest."""
+        made = [r for r in rows if r["error"]]
         ranked = sorted((r for r in rows if not r["error"]), key=lambda r: r["width"] / r["height"])
         for a in range(0, len(ranked), c.rec.batch):
             batch = ranked[a : a + c.rec.batch]
-            most = max([c.rec.width / c.rec.height, *(r["width"] / r["height"] for r in batch)])
-            images = (np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3) for r in batch)
-            try:
-                steps = backend(*recognition.recogniser).run(np.stack([recogniser_input(img, most, c.rec.height, c.quirks.recogniser_red_first) for img in images]))
-            except ValueError as why:
-                for r in batch:
-                    r["error"] = error_of(why)
-                continue
-            for r, tokens, probs in zip(batch, steps.argmax(2).tolist(), steps.max(2).tolist(), strict=True):
-                r |= {"tokens": tokens, "probs": probs, "ratio": r["width"] / r["height"], "max_ratio": most}
-        return [{k: v for k, v in r.items() if k in STEPS.names} for r in rows]
+            made += read(batch, max([least, *(r["width"] / r["height"] for r in batch)]))
+        return shown(made)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0]["image_id"] != row["image_id"]:
-                    yield _rows(read(held), STEPS)
-                    held = []
-                held.append(row)
-        if held:
-            yield _rows(read(held), STEPS)
+            pixels = batch.column("data")
+            for n, row in enumerate(batch.drop_columns(["data"]).to_pylist()):
+                yield row | {"data": pixels[n].as_buffer()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in itertools.groupby(rows_of(batches), key=lambda r: r["image_id"]):
+            yield of_image(list(rows))
+
+    def run_by_width(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = defaultdict(list)
+        for row in rows_of(batches):
+            if row["error"]:
+                yield shown([row])
+                continue
+            width = padded_width(row["width"], row["height"])
+            held[width].append(row | {"data": bytes(row["data"])})  # not the whole batch that it came in
+            if len(held[width]) == c.rec.batch:
+                yield shown(read(held.pop(width), width / c.rec.height))
+        for width, rows in held.items():
+            yield shown(read(rows, width / c.rec.height))
+
+    def padded_width(width: int, height: int) -> int:
+        return -(-max(c.rec.width, -(-c.rec.height * width // height)) // step) * step
 
-    return crops.select(*CROP.names).mapInArrow(run, STEPS)
+    if parts and step:
+        width = F.ceil(F.greatest(F.lit(c.rec.width), F.ceil(c.rec.height * F.col("width") / F.col("height"))) / step)
+        salt = F.pmod(F.xxhash64("image_id", "box_id"), F.lit(-(-parts // 8)))
+        crops = crops.repartition(parts, width, salt)
+    return crops.select(*CROP.names).mapInArrow(run_by_width if step else run, STEPS)
 
 
 def lines_of(recognised: DataFrame, recognition: Recognition = Recognition()) -> DataFrame:
@@ -218,7 +254,7 @@ def ocr(images: DataFrame, recognition: Recognition = Recognition()) -> DataFram
 
     detect(), crop() and recognise() run as one chain in a task, so no pixel is shuffled; a failed image is one row.
     """
-    return lines_of(recognise(crop(detect(images, recognition)), recognition), recognition)
+    return lines_of(recognise(crop(detect(images, recognition), recognition), recognition), recognition)
 
 
 def image_summary(images: DataFrame, results: DataFrame) -> DataFrame:

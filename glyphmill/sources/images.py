@@ -72,7 +72,7 @@ def decoded(data: bytes) -> np.ndarray | None:
 
 
 def png_pixels(data: bytes) -> np.ndarray:
-    """The pixels of a PNG of 8 or 16 bits a sample (or a palette of up to 8), not interlaced; alpha is dropped, 16 bits become 8."""
+    """The pixels of a PNG of 8 or 16 bits a sample (or a palette of up to 8), interlaced or not; alpha is dropped, 16 bits become 8."""
     at, body, palette, header = 8, b"", None, None
     while at + 12 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -92,26 +92,44 @@ def png_pixels(data: bytes) -> np.ndarray:
         raise ValueError("no header")
     width, height, depth, colour, _, _, interlaced = header
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
-    if not channels or interlaced or not width or not height or (depth not in (8, 16) and channels > 1) or (colour == 3 and palette is None):
+    if not channels or interlaced > 1 or not width or not height or (depth not in (8, 16) and channels > 1) or (colour == 3 and palette is None):
         raise ValueError("unsupported PNG")
+    raw = np.frombuffer(zlib.decompress(body), np.uint8)
+    if interlaced:
+        pixels, at = np.zeros((height, width, channels), np.uint8), 0
+        for y, x, down, across in PASSES:
+            size = len(range(y, height, down)), len(range(x, width, across))
+            if all(size):
+                pixels[y::down, x::across], at = _samples(raw, at, *size, channels, depth)
+    else:
+        pixels, _ = _samples(raw, 0, height, width, channels, depth)
+    if colour == 3:
+        if pixels.max() >= len(palette):
+            raise ValueError("colour beyond the palette")
+        return palette[pixels[:, :, 0]]
+    if colour == 0 and depth < 8:
+        pixels = (pixels.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    return np.repeat(pixels[:, :, :1], 3, 2) if channels < 3 else pixels[:, :, :3]
+
+
+# First row and column, and steps down and across, of the seven passes of an interlaced PNG.
+PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1))
+
+
+def _samples(raw: np.ndarray, at: int, height: int, width: int, channels: int, depth: int) -> tuple[np.ndarray, int]:
+    """The samples (8 bits of 16, or as they are) of filtered rows from a place on, and the place after them."""
     line, step = -(-width * channels * depth // 8), max(1, channels * depth // 8)
-    raw = np.frombuffer(zlib.decompress(body), np.uint8)[: height * (line + 1)].reshape(height, line + 1)
+    end = at + height * (line + 1)
+    rows = raw[at:end].reshape(height, line + 1)
     out, above = np.zeros((height, line), np.uint8), np.zeros(line, np.int64)
     for y in range(height):
-        out[y] = above = _unfiltered(int(raw[y, 0]), raw[y, 1:].astype(np.int64), above, step)
+        out[y] = above = _unfiltered(int(rows[y, 0]), rows[y, 1:].astype(np.int64), above, step)
     if depth < 8:
         bits = np.unpackbits(out, axis=1).reshape(height, -1, depth)[:, :width]
         out = (bits @ (1 << np.arange(depth - 1, -1, -1))).astype(np.uint8)
-        if colour == 0:
-            out = (out.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
     elif depth == 16:
         out = out[:, ::2]
-    pixels = out.reshape(height, width, channels)
-    if colour == 3:
-        if pixels.max() >= len(palette):
-            raise ValueError("colour beyond the palette")
-        return palette[pixels[:, :, 0]]
-    return np.repeat(pixels[:, :, :1], 3, 2) if channels < 3 else pixels[:, :, :3]
+    return out.reshape(height, width, channels), end
 
 
 def _unfiltered(kind: int, row: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
