@@ -60,3 +60,9 @@ def detector_size(h: Column, w: Column, d: DetConfig = DetConfig()) -> tuple[Col
     else:
         ratio = F.when(F.least(h, w) < limit, limit / F.least(h, w)).otherwise(1.0)
     return to_32(h, ratio), to_32(w, ratio)
+
+
+def padded_width(w: Column, h: Column, step: int, height: int = 48, least: int = 320) -> Column:
+    """The width that a crop of w by h takes at the recogniser's height, as a multiple of step; a crop of no height is as wide as high."""
+    own = F.coalesce(F.ceil(F.try_divide(height * w, h)), F.lit(height))
+    return (F.ceil(F.greatest(F.lit(least), own) / step) * step).cast("int")

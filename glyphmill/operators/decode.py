@@ -101,6 +101,20 @@ def recognition_batches(crops: DataFrame, image: str = "image_id", box: str = "b
     return dealt.withColumn("max_ratio", F.greatest(F.lit(floor), most))
 
 
+def numbered(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
+    """rows with place: from 1 within a group by a whole-numbered order, ties as they come.
+
+    A group is cut into parts of `size` neighbouring values of order, which are numbered for themselves; the rows of all
+    parts before come from a running sum over parts. So a group that has most rows is many tasks.
+    """
+    part = rows.withColumn("part", F.floor(F.col(order) / size))
+    sizes = part.groupBy(group, "part").agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(group, "part", before.alias("before"))
+    placed = part.withColumn("nth", F.row_number().over(Window.partitionBy(group, "part").orderBy(order)))
+    return placed.join(starts, [group, "part"]).withColumn("place", F.col("before") + F.col("nth")).drop("part", "before", "nth")
+
+
 def reading_order(boxes: DataFrame, image: str = "image_id", rank: str = "rank") -> DataFrame:
     """boxes with box_id: by whole y, then whole x of the first corner, then rank."""
     order = Window.partitionBy(image).orderBy(F.floor("y1"), F.floor("x1"), rank)

@@ -86,6 +86,10 @@ def text_lines(spark: SparkSession, d: str) -> DataFrame:
     return c.where("text <> ''").select("*", kept.alias("kept"), *(v.cast("double").alias(k) for k, v in corner.items())).withColumn("line_cols", place(F.char_length("text") - 1) + 2.0)
 
 
+#: Neighbouring ranks of one width that are numbered in one task.
+WIDTH_PART = 4096
+
+
 def rounded(columns: dict[str, Column], places: int = 4) -> list[Column]:
     return [F.round(v, places).alias(k) for k, v in columns.items()]
 
@@ -337,6 +341,15 @@ def rec_batches(spark: SparkSession, d: str) -> DataFrame:
     return decode.recognition_batches(crops).select(F.col("box_id").alias("rank"), "batch_id", F.round("max_ratio", 6).alias("max_ratio"), wide.alias("batch_width"), F.least(F.ceil(48 * F.col("ratio")).cast("int"), wide).alias("own_width"))
 
 
+@query(QUAD_SQL + CROP_SQL + """, p AS (SELECT rank, (ceil(greatest(320, CASE WHEN ch > 0 THEN ceil(48 * cw / ch::DOUBLE) ELSE 48 END) / 64) * 64)::INT AS padded_width FROM k)
+SELECT rank, padded_width, row_number() OVER (PARTITION BY padded_width ORDER BY rank) AS place FROM p""")
+def line_widths(spark: SparkSession, d: str) -> DataFrame:
+    """Padded widths that don't hang on batch mates, and each crop's place among those of its width over all images; a common width is dealt to salts and numbered in two steps."""
+    w, h = S.whole(F.greatest(Q.side(0, 1), Q.side(2, 3))), S.whole(F.greatest(Q.side(0, 3), Q.side(1, 2)))
+    crops = boxes(spark, d).select("rank", S.padded_width(w, h, 64).alias("padded_width"))
+    return decode.numbered(crops, "padded_width", "rank", WIDTH_PART).withColumn("place", F.col("place").cast("long"))
+
+
 MASK_SQL = f"""
 WITH RECURSIVE px AS MATERIALIZED (SELECT vec_id AS image_id, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x, embedding[i]::DOUBLE AS p FROM embeddings, unnest(range(1, 65)) AS u(i)), fg AS MATERIALIZED (SELECT image_id, y, x FROM px WHERE p > {THRESH})"""
 
@@ -564,6 +577,28 @@ def pictures(spark: SparkSession, d: str, scale: int = 16) -> DataFrame:
     return maps(spark, d).mapInArrow(draw, "image_id long, height int, width int, nChannels int, data binary")
 
 
+TAPS_SQL = """
+, {n}t AS (SELECT k, floor((k + 0.5::DOUBLE) * {source} / {target} - 0.5)::INT AS low, (k + 0.5::DOUBLE) * {source} / {target} - 0.5 AS exact FROM range({target}) AS r(k))
+, {n} AS (SELECT k::INT AS k, greatest(least(low, {source} - 1), 0) AS a, least(greatest(least(low, {source} - 1), 0) + 1, {source} - 1) AS b, CASE WHEN low < 0 OR low >= {source} - 1 THEN 0 ELSE floor((exact - low) * 2048 + 0.5)::BIGINT END AS w FROM {n}t)"""
+
+
+@query("WITH g AS MATERIALIZED (SELECT vec_id AS image_id, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x, trunc(least(abs(embedding[i]::DOUBLE) * 600, 255))::BIGINT AS v FROM embeddings, unnest(range(1, 65)) AS u(i))"
+    + TAPS_SQL.format(n="rows_", source=8, target=5) + TAPS_SQL.format(n="cols_", source=8, target=13)
+    + """ SELECT p.image_id, r.k AS y, c.k AS x, ((p.v * (2048 - c.w) + q.v * c.w) * (2048 - r.w) + (s.v * (2048 - c.w) + t.v * c.w) * r.w + 2097152) // 4194304 AS value
+FROM rows_ r, cols_ c JOIN g p ON p.y = r.a AND p.x = c.a JOIN g q ON q.image_id = p.image_id AND q.y = r.a AND q.x = c.b JOIN g s ON s.image_id = p.image_id AND s.y = r.b AND s.x = c.a JOIN g t ON t.image_id = p.image_id AND t.y = r.b AND t.x = c.b""")
+def resize_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """Every pixel of each map as a small grey image at 5 by 13, in whole numbers."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                made = raster.resize_fixed(images.pixels_of(r["height"], r["width"], r["nChannels"], r["data"]), 5, 13)[:, :, 0]
+                y, x = np.indices(made.shape)
+                yield pa.RecordBatch.from_arrays([pa.array([r["image_id"]] * made.size, pa.int64()), *(pa.array(v.ravel().astype(np.int32)) for v in (y, x)), pa.array(made.ravel().astype(np.int64))], names=["image_id", "y", "x", "value"])
+
+    return pictures(spark, d, 1).mapInArrow(run, "image_id long, y int, x int, value long")
+
+
 @query()
 def resize_pixels(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(pictures(spark, d, 4), lambda img: raster.resize(img, 20, 48))

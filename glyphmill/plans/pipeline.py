@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from glyphmill.config import Config
-from glyphmill.functions import quads
+from glyphmill.functions import quads, sizing
 from glyphmill.operators import decode, wordboxes
 from glyphmill.operators.detection import detect_boxes
 from glyphmill.operators.inference import backend
@@ -224,7 +224,7 @@ def recognise(crops: DataFrame, recognition: Recognition = Recognition(), parts:
         return -(-max(c.rec.width, -(-c.rec.height * width // height)) // step) * step
 
     if parts and step:
-        width = F.ceil(F.greatest(F.lit(c.rec.width), F.ceil(c.rec.height * F.col("width") / F.col("height"))) / step)
+        width = sizing.padded_width(F.col("width"), F.col("height"), step, c.rec.height, c.rec.width)
         salt = F.pmod(F.xxhash64("image_id", "box_id"), F.lit(-(-parts // 8)))
         crops = crops.repartition(parts, width, salt)
     return crops.select(*CROP.names).mapInArrow(run_by_width if step else run, STEPS)

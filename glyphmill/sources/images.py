@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.schemas import IMAGE
+from glyphmill.sources.jpeg import jpeg_pixels
 
 
 def image_files(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:
@@ -37,7 +38,7 @@ def raw_images(spark: SparkSession, images: list[tuple[int, np.ndarray]]) -> Dat
 def image_bytes(df: DataFrame, key: str = "image_id", content: str = "content") -> DataFrame:
     """Image rows from a column of encoded bytes, such as spark.read.format("binaryFile") has, decoded where they stand.
 
-    PNG is decoded here, other formats where Pillow is installed; what can't be decoded, null bytes included, has
+    PNG and baseline JPEG are decoded here, other formats where Pillow is installed; what can't be decoded, null bytes included, has
     height -1, as in Spark's image source.
     """
 
@@ -64,7 +65,10 @@ def decoded(data: bytes) -> np.ndarray | None:
     try:
         from PIL import Image
     except ImportError:
-        return None
+        try:
+            return jpeg_pixels(data) if data.startswith(b"\xff\xd8") else None
+        except (ValueError, KeyError, IndexError, TypeError, struct.error):  # a broken file: sizes, tables or codes that aren't there
+            return None
     try:
         return np.asarray(Image.open(io.BytesIO(data)).convert("RGB"))
     except Exception:  # a broken image fails in as many ways as there are formats

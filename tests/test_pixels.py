@@ -131,3 +131,83 @@ def test_lines_do_not_hang_on_their_mates(spark, quirks):
     plain = Recognition(config=config(0))
     assert [x[:2] for x in lines(ocr(frame, plain))] == [x[:2] for x in expected]
     assert recognise(crops.limit(0), seen).count() == 0 and set(CORNERS) <= set(crops.columns)
+
+
+def jpeg(spark, img, quality=0.9, grey=False, progressive=False):
+    """Pixels as a file by the JVM's own writer (colours at half the size)."""
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(img.shape[1], img.shape[0], 10 if grey else 1)
+    values = img.astype(int)
+    for y in range(img.shape[0]):
+        for x in range(img.shape[1]):
+            r, g, b = values[y, x].tolist()
+            image.setRGB(x, y, (r << 16 | g << 8 | b) - (1 << 24))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpg").next()
+    how = writer.getDefaultWriteParam()
+    how.setCompressionMode(2)
+    how.setCompressionQuality(quality)
+    if progressive:
+        how.setProgressiveMode(1)
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer.setOutput(jvm.javax.imageio.stream.MemoryCacheImageOutputStream(out))
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), how)
+    writer.getOutput().flush()
+    return bytes(out.toByteArray())
+
+
+def smooth(height, width):
+    y, x = np.mgrid[0:height, 0:width]
+    return np.stack([(x * 5 + y) % 256 * 0 + 128 + 100 * np.sin(x / 9), 128 + 90 * np.cos(y / 7), 40 + x * 1.5 + y], 2).clip(0, 255).astype(np.uint8)
+
+
+def test_baseline_jpeg_equals_the_file_source(spark, tmp_path, monkeypatch):
+    """Bytes read what Spark's own reader has of the same files, to rounding; without an imaging library."""
+    import builtins
+
+    real = builtins.__import__
+
+    def without(name, *rest):
+        if name.startswith("PIL"):
+            raise ImportError(name)
+        return real(name, *rest)
+
+    files = {}
+    for size in ((1, 1), (8, 8), (17, 33), (48, 31)):
+        for quality in (0.5, 0.95):
+            files[f"{size[0]}x{size[1]}-{quality}.jpg"] = jpeg(spark, smooth(*size), quality)
+    noise = np.random.default_rng(1).integers(0, 256, (20, 20, 1), dtype=np.uint8)
+    files["grey.jpg"] = jpeg(spark, np.repeat(noise, 3, 2), 0.8, grey=True)
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    read = {r["origin"].rsplit("/", 1)[1]: r for r in images.image_files(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(builtins, "__import__", without)
+    for name, data in files.items():
+        r = read[name]
+        theirs = images.pixels_of(r["height"], r["width"], r["nChannels"], bytes(r["data"])).astype(int)
+        ours = images.decoded(data).astype(int)
+        assert ours.shape == theirs.shape and np.abs(ours - theirs).max() <= 4 and np.abs(ours - theirs).mean() < 0.8, name
+    whole = files["17x33-0.95.jpg"]
+    assert images.decoded(jpeg(spark, smooth(16, 16), progressive=True)) is None
+    assert images.decoded(whole[: len(whole) // 2]) is None and images.decoded(b"\xff\xd8\xff") is None and images.decoded(b"\xff\xd8" + bytes(50)) is None
+
+
+def test_jpeg_with_restart_markers():
+    """Each unit of a grey picture begins anew after its marker."""
+    from glyphmill.sources.jpeg import jpeg_pixels
+
+    def segment(kind, body):
+        return bytes([0xFF, kind]) + struct.pack(">H", len(body) + 2) + body
+
+    levels = [3, 60, -50, 9]  # of the four blocks, in eighths of a step of 16
+    # codes: sizes 0 to 11 have codes of four bits, the end of a block one bit
+    head = segment(0xDB, b"\0" + bytes([16] * 64)) + segment(0xC0, struct.pack(">BHHB", 8, 16, 16, 1) + b"\1\x11\0")
+    head += segment(0xC4, b"\0" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))) + segment(0xC4, b"\x10" + bytes([1] + [0] * 15) + b"\0") + segment(0xDD, struct.pack(">H", 1))
+    scan = b""
+    for k, v in enumerate(levels):
+        size = abs(v).bit_length()
+        bits = f"{size:04b}" + (f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if size else "") + "0"
+        bits += "1" * (-len(bits) % 8)
+        scan += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0") + (bytes([0xFF, 0xD0 + k]) if k < 3 else b"\xff\xd9")
+    pixels = jpeg_pixels(b"\xff\xd8" + head + segment(0xDA, b"\1\1\0\0\x3f\0") + scan)
+    expected = [min(255, max(0, 128 + v * 16 / 8)) for v in levels]
+    assert [int(pixels[y, x, 0]) for y in (0, 8) for x in (0, 8)] == expected and (pixels[:8, :8] == pixels[0, 0]).all()
