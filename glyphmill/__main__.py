@@ -1,4 +1,4 @@
-"""python -m glyphmill IMAGES OUT [-f json|text|tsv] [--det MODEL.onnx --rec MODEL.onnx --dict FILE]"""
+"""python -m glyphmill IMAGES OUT [-f json|text|tsv] [--words] [--pretty] [--det MODEL.onnx --rec MODEL.onnx --dict FILE]"""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from glyphmill.config import Config, GlobalConfig
 from glyphmill.plans.pipeline import Recognition, ocr
 from glyphmill.sources.images import dictionary, image_files
 from glyphmill.sources.sinks import write
@@ -19,6 +20,8 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--det")
     parser.add_argument("--rec")
     parser.add_argument("--dict")
+    parser.add_argument("--words", action="store_true", help="word boxes in JSON")
+    parser.add_argument("--pretty", action="store_true", help="JSON on several lines")
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("glyphmill").getOrCreate()
     settings = {}
@@ -29,8 +32,10 @@ def main(arguments: list[str] | None = None) -> None:
     if given.dict:
         listed = dictionary(spark, given.dict).orderBy("class_id").collect()  # a dictionary's few thousand characters
         settings["characters"] = tuple(r["ch"] for r in listed[1:-1])
+    if given.words:
+        settings["config"] = Config(glob=GlobalConfig(return_word_box=True))
     lines = ocr(image_files(spark, given.images), Recognition(**settings))
-    write(lines.where("error IS NULL").drop("error"), given.out, given.format)
+    write(lines.where("error IS NULL").drop("error"), given.out, given.format, given.words, given.pretty)
 
 
 if __name__ == "__main__":

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Quirks:
-    """True: behave as the reference does; False: the corrected form."""
+    """True: behave as the reference does; False: the corrected form (but for scores_by_box)."""
 
     unmap_resize_first: bool = True  # boxes are scaled back before padding is taken off
     overwrite_ratios: bool = True  # if both resizes fire, the second ratio stands alone
@@ -15,6 +15,8 @@ class Quirks:
     recogniser_red_first: bool = True  # the detector is fed blue first, the recogniser red first
     bilinear_crops: bool = True  # crops are bilinear and black outside the image, not cubic with the edge going on
     filtered_resize: bool = True  # resizing is by a triangle filter that widens when shrinking, not between the two nearest samples in whole numbers
+    shifted_columns: bool = True  # classes that the dictionary lacks make no character but keep their step, so that later characters of a line have columns of earlier steps
+    scores_by_box: bool = True  # boxes carry their own scores into reading order; False (as the reference lists them, which nothing reads): those of candidates in their order
     raster_areas: bool = True  # candidates rank by a sum over boundary pixels in raster order, not by the area that their outer border encloses
     dilate_forward: bool = True  # dilation looks right and down, not left and up
     token_confidences: bool = True  # a word's confidence is that of the kept step of its own number, not its characters' mean

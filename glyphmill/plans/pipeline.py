@@ -81,7 +81,10 @@ class Recognition:
     def boxes(self, probs: np.ndarray, width: int, height: int) -> list[dict]:
         """Quadrilaterals in the padded image and their scores, in reading order."""
         found = detect_boxes(probs, width, height, self.config.det, self.config.quirks)
+        scores = [score for _, score in found]
         found.sort(key=lambda f: (int(f[0][0][1]), int(f[0][0][0])))
+        if not self.config.quirks.scores_by_box:
+            found = [(quad, score) for (quad, _), score in zip(found, scores, strict=True)]
         return [{"box_id": n, "det_score": score, **dict(zip(CORNERS, map(float, quad.ravel()), strict=True))} for n, (quad, score) in enumerate(found)]
 
 
@@ -245,6 +248,8 @@ def lines_of(recognised: DataFrame, recognition: Recognition = Recognition()) ->
     shown = ["image_id", "box_id", "text", "score", *CORNERS, "error"]
     if not c.glob.return_word_box:
         return found.select(*shown)
+    if not c.quirks.shifted_columns:
+        found = found.withColumn("kept", F.filter("kept", lambda s: s["token"] < len(recognition.characters) + 2))
     found = found.withColumn("line_cols", wordboxes.line_columns(F.size("tokens"), F.col("ratio"), F.col("max_ratio")))
     return wordboxes.word_results(found, c.glob.return_single_char_box, c.quirks.token_confidences).select(*shown, "word_results")
 

@@ -22,16 +22,29 @@ def as_text(results: DataFrame) -> DataFrame:
     return results.groupBy("image_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("value"))
 
 
-def as_json(results: DataFrame) -> DataFrame:
-    """image_id and value: boxes, txts, scores and (always empty) word_results as parallel lists."""
-    points = F.array(*(F.struct(F.col(f"x{n}").alias("x"), F.col(f"y{n}").alias("y")) for n in (1, 2, 3, 4)))
-    rows = F.array_sort(F.collect_list(F.struct("box_id", points.alias("box"), "text", "score")))
-    grouped = results.groupBy("image_id").agg(rows.alias("rows"))
+def as_json(results: DataFrame, words: bool = False, pretty: bool = False) -> DataFrame:
+    """image_id and value: boxes, txts, scores and word_results as parallel lists, a document for each image.
+
+    word_results are empty lists, unless words asks for those of the lines (text, score and box; lines need word_results
+    then, null ones count as empty). pretty: on lines of their own, indented.
+    """
+
+    def box(row: Column | None = None) -> Column:
+        get = F.col if row is None else (lambda c: row[c])
+        return F.array(*(F.struct(get(f"x{n}").alias("x"), get(f"y{n}").alias("y")) for n in (1, 2, 3, 4)))
+
+    empty = F.array().cast("array<string>")
+    held = F.struct("box_id", box().alias("box"), "text", "score", *(["word_results"] if words else []))
+    grouped = results.groupBy("image_id").agg(F.array_sort(F.collect_list(held), lambda a, b: a["box_id"] - b["box_id"]).alias("rows"))
+    if words:
+        found = F.transform("rows", lambda r: F.coalesce(F.transform(r["word_results"], lambda w: F.struct(w["text"].alias("text"), w["score"].alias("score"), box(w).alias("box"))), F.array()))
+    else:
+        found = F.transform("rows", lambda r: empty)
     document = F.struct(
         F.transform("rows", lambda r: r["box"]).alias("boxes"), F.transform("rows", lambda r: r["text"]).alias("txts"),
-        F.transform("rows", lambda r: r["score"]).alias("scores"), F.transform("rows", lambda r: F.array().cast("array<string>")).alias("word_results"),
+        F.transform("rows", lambda r: r["score"]).alias("scores"), found.alias("word_results"),
     )
-    return grouped.select("image_id", F.to_json(document).alias("value"))
+    return grouped.select("image_id", F.to_json(document, {"pretty": str(pretty).lower()}).alias("value"))
 
 
 def to_json_rows(results: DataFrame) -> DataFrame:
@@ -42,7 +55,8 @@ def from_json_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.from_json("value", RESULT).alias("r")).select("r.*")
 
 
-def write(results: DataFrame, path: str, form: str = "json") -> None:
-    made = {"json": as_json, "text": as_text, "tsv": as_tsv}[form](results)
+def write(results: DataFrame, path: str, form: str = "json", words: bool = False, pretty: bool = False) -> None:
+    """Rows or documents as lines of text files, in order. words and pretty: of JSON, see as_json()."""
+    made = as_json(results, words, pretty) if form == "json" else {"text": as_text, "tsv": as_tsv}[form](results)
     order = ["image_id", "box_id"] if form == "tsv" else ["image_id"]
     made.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("error").text(path)

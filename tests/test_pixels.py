@@ -211,3 +211,49 @@ def test_jpeg_with_restart_markers():
     pixels = jpeg_pixels(b"\xff\xd8" + head + segment(0xDA, b"\1\1\0\0\x3f\0") + scan)
     expected = [min(255, max(0, 128 + v * 16 / 8)) for v in levels]
     assert [int(pixels[y, x, 0]) for y in (0, 8) for x in (0, 8)] == expected and (pixels[:8, :8] == pixels[0, 0]).all()
+
+
+def test_json_with_words_and_on_several_lines(spark, tmp_path):
+    import json
+
+    from glyphmill.sources import sinks
+
+    frame = images.raw_images(spark, [(1, drawn(np.random.default_rng(1), 2)), (2, drawn(np.random.default_rng(2), 1))])
+    seen = Recognition(config=Config(det=DetConfig(limit_type="max"), glob=GlobalConfig(text_score=0.1, return_word_box=True)))
+    lines = ocr(frame, seen).where("error IS NULL")
+    for pretty in (False, True):
+        made = {r["image_id"]: r["value"] for r in sinks.as_json(lines, words=True, pretty=pretty).collect()}
+        assert ("\n" in made[1]) == pretty
+        rows = lines.where("image_id = 1").orderBy("box_id").collect()
+        held = json.loads(made[1])
+        assert held["txts"] == [r["text"] for r in rows] and [len(w) for w in held["word_results"]] == [len(r["word_results"]) for r in rows]
+        first = rows[0]["word_results"][0]
+        assert held["word_results"][0][0] == {"text": first["text"], "score": first["score"], "box": [{"x": first[f"x{n}"], "y": first[f"y{n}"]} for n in (1, 2, 3, 4)]}
+    assert json.loads(sinks.as_json(lines).where("image_id = 2").first()["value"])["word_results"] == [[]]
+    assert sinks.as_json(lines.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("shifted", "columns"), [(True, [0, 1]), (False, [1, 3])])
+def test_classes_without_characters(spark, shifted, columns):
+    """Steps 0 and 2 have a class that the dictionary lacks: A and B take the columns of the first two steps, or their own."""
+    config = Config(glob=GlobalConfig(text_score=0.1, return_word_box=True, return_single_char_box=True), quirks=Quirks(shifted_columns=shifted))
+    seen = Recognition(characters=("A", "B"), config=config)
+    place = (1.0, 1.0, 0, 40, 80)
+    row = (1, 0, 0.9, *[0.0, 0.0, 80.0, 0.0, 80.0, 40.0, 0.0, 40.0], place, None, [9, 1, 8, 2], [0.9] * 4, 2.0, 2.0)
+    from glyphmill.plans.pipeline import STEPS
+
+    found = lines_of(spark.createDataFrame([row], STEPS), seen).first()
+    assert found["text"] == "AB"
+    # a column is 20 wide; a word of two characters spreads over its columns
+    wide = 20 * (columns[1] - columns[0])
+    assert [(w["text"], w["x1"], w["x2"]) for w in found["word_results"]] == [(t, max(0.0, (c + 0.5) * 20 - wide / 2), min(80.0, (c + 0.5) * 20 + wide / 2)) for t, c in zip("AB", columns, strict=True)]
+
+
+def test_scores_in_the_order_of_candidates():
+    """The lower block is larger, so it is the first candidate; in reading order it is the second box."""
+    probs = np.zeros((60, 60))
+    probs[5:15, 5:25], probs[30:55, 5:55] = 0.6, 0.9
+    det = DetConfig(use_dilation=False, box_thresh=0.1, thresh=0.5)
+    own, listed = (Recognition(config=Config(det=det, quirks=Quirks(scores_by_box=v, raster_areas=False))).boxes(probs, 60, 60) for v in (True, False))
+    assert [round(b["det_score"], 2) for b in own] == [0.6, 0.9] and [round(b["det_score"], 2) for b in listed] == [0.9, 0.6]
+    assert [b["y1"] for b in own] == [b["y1"] for b in listed]
