@@ -23,7 +23,11 @@ FETCHED = 1 << 20
 #: Seconds after which release() looks again.
 RELEASE_AGAIN = 0.4
 
+#: Bytes of stored tables after which it is worth to look for shuffle files: what leads to a table was about as large.
+RELEASED = 8 << 20
+
 _scratch: dict[str, str] = {}
+_written: dict[str, int] = {}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -53,16 +57,31 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def drop(spark: SparkSession, path: str) -> None:
+def _place(spark: SparkSession, path: str):
+    """A path and its file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    where, system = _place(spark, path)
+    return system.getContentSummary(where).getLength()
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where, system = _place(spark, path)
+    system.delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let the cluster delete shuffle files that no plan refers to any more; stored tables don't need them.
+    """Let the cluster delete shuffle files that no plan refers to any more, once RELEASED bytes of tables were stored since the last time; stored tables don't need them.
 
     The last job's plan is still in the queue of listeners for a moment, hence the second round.
     """
+    app = spark.sparkContext.applicationId
+    if _written.get(app, 0) < RELEASED:
+        return
+    _written[app] = 0
     gc.collect()
     for pause in (0, RELEASE_AGAIN):
         time.sleep(pause)
@@ -79,6 +98,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    app = spark.sparkContext.applicationId
+    _written[app] = _written.get(app, 0) + _size(spark, path)
     made = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])).parquet(path)
     made.stored_at = path
     return made
