@@ -144,17 +144,68 @@ def filled(points: np.ndarray, height: int, width: int) -> np.ndarray:
     return mask
 
 
-def mean_filled(probs: np.ndarray, points: np.ndarray) -> float:
-    """Mean of the map over the filled polygon whose corners are cut to whole numbers from the corner of its bounds; 0 if there is none."""
+def filled_means(probs: np.ndarray, polygons: list[np.ndarray]) -> np.ndarray:
+    """Means of the map over filled polygons, whose corners are cut to whole numbers from the corner of their bounds; 0 where there is none.
+
+    As filled(), for all polygons at once and without masks: spans of pixels by polygon and row, of which each adds what
+    those before it left, from sums along the map's rows.
+    """
     h, w = probs.shape
-    low = np.clip(np.floor(points.min(0)), 0, (w - 1, h - 1)).astype(int)
-    high = np.clip(np.ceil(points.max(0)), 0, (w, h)).astype(int)
-    if (high <= low).any():
-        return 0.0
-    mask = filled(np.trunc(points - low), int(high[1] - low[1]) + 1, int(high[0] - low[0]) + 1)
-    part = probs[low[1] : high[1] + 1, low[0] : high[0] + 1]
-    chosen = mask[: part.shape[0], : part.shape[1]]
-    return float(part[chosen].mean()) if chosen.any() else 0.0
+    of = np.repeat(np.arange(len(polygons)), [len(p) for p in polygons])
+    out = np.zeros(len(polygons))
+    if not len(of):
+        return out
+    points = np.concatenate([p for p in polygons if len(p)])
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    some = of[first]
+    low, high = np.zeros((len(polygons), 2), np.int64), np.zeros((len(polygons), 2), np.int64)
+    low[some] = np.clip(np.floor(np.minimum.reduceat(points, first)), 0, (w - 1, h - 1))
+    high[some] = np.clip(np.ceil(np.maximum.reduceat(points, first)), 0, (w, h))
+    keep = (high > low).all(1)[of]
+    of, points = of[keep], points[keep]
+    if not len(of):
+        return out
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    after = np.arange(1, len(of) + 1)
+    after[np.r_[first[1:], len(of)] - 1] = first
+    at = np.trunc(points - low[of]).astype(np.int64)
+    x0, y0, x1, y1 = at[:, 0], at[:, 1], at[after, 0], at[after, 1]
+    flat = y0 == y1
+    spans = [(of[flat], y0[flat], np.minimum(x0, x1)[flat], np.maximum(x0, x1)[flat])]
+    up = y0 > y1
+    top, foot = np.where(up, y1, y0)[~flat], np.where(up, y0, y1)[~flat]
+    begin, end, whose = np.where(up, x1, x0)[~flat], np.where(up, x0, x1)[~flat], of[~flat]
+    size = foot - top + 1
+    edge = np.repeat(np.arange(len(top)), size)
+    y = np.arange(len(edge)) - np.repeat(np.cumsum(size) - size, size) + top[edge]
+    rise, run = (foot - top)[edge], (y - top[edge]) * (end - begin)[edge]
+    x = (2 * (begin[edge] * rise + run) + rise) // (2 * rise)
+    spans.append((whose[edge], y, x, x))
+    crosses = y < foot[edge]
+    exact = begin[edge] + run / rise
+    order = np.flatnonzero(crosses)[np.lexsort((exact[crosses], y[crosses], whose[edge][crosses]))]
+    spans.append((whose[edge][order][::2], y[order][::2], x[order][::2], x[order][1::2]))
+    who, y, a, b = (np.concatenate(c) for c in zip(*spans, strict=True))
+    # from the polygon's bounds to the map
+    last = np.minimum(high, (w - 1, h - 1))
+    y, a, b = y + low[who, 1], np.maximum(a + low[who, 0], low[who, 0]), np.minimum(b + low[who, 0], last[who, 0])
+    there = (y >= low[who, 1]) & (y <= last[who, 1]) & (a <= b)
+    who, y, a, b = who[there], y[there], a[there], b[there]
+    order = np.lexsort((a, y, who))
+    who, y, a, b = who[order], y[order], a[order], b[order]
+    row = np.cumsum(np.r_[False, (who[1:] != who[:-1]) | (y[1:] != y[:-1])][: len(who)]) * (w + 1)
+    done = np.maximum.accumulate(row + b + 1)
+    start = np.maximum(a, np.r_[0, done[:-1]][: len(who)] - row)
+    new = start <= b
+    sums = np.pad(np.cumsum(probs, 1), ((0, 0), (1, 0)))
+    held = np.bincount(who[new], (b - start + 1)[new], len(polygons))
+    total = np.bincount(who[new], (sums[y, b + 1] - sums[y, np.minimum(start, w)])[new], len(polygons))
+    return np.divide(total, held, out=out, where=held > 0)
+
+
+def mean_filled(probs: np.ndarray, points: np.ndarray) -> float:
+    """filled_means() of one polygon."""
+    return float(filled_means(probs, [points])[0])
 
 
 def arc_step(distance: float, tolerance: float) -> float:
@@ -243,21 +294,62 @@ def grown(points: np.ndarray, distance: float, tolerance: float = 1.0) -> np.nda
     return line[np.hypot(*(np.roll(line, -1, 0) - line).T) > 1e-9] if convex else outer_ring(line)
 
 
+def grown_convex(points: np.ndarray, distance: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Points of many convex polygons (n by corners by 2, inside on the left), each grown by its distance with round corners, and how many each has."""
+    n, k = points.shape[:2]
+    edge = np.roll(points, -1, 1) - points
+    b = np.stack([edge[..., 1], -edge[..., 0]], 2) / np.hypot(edge[..., 0], edge[..., 1])[..., None]
+    a = np.roll(b, 1, 1)
+    turn = np.arctan2(a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0], (a * b).sum(2))
+    step = 2 * np.arccos(np.maximum(0.0, 1 - np.minimum(tolerance, distance) / distance))
+    parts = np.where(turn > 1e-12, np.ceil(turn / step[:, None] - 1e-9), 0).astype(np.int64).ravel()
+    size = parts + 1
+    corner = np.repeat(np.arange(n * k), size)
+    i = np.arange(len(corner)) - np.repeat(np.cumsum(size) - size, size)
+    angle = np.arctan2(a[..., 1], a[..., 0]).ravel()[corner] + turn.ravel()[corner] * i / np.maximum(parts, 1)[corner]
+    grown_ = points.reshape(-1, 2)[corner] + distance[corner // k][:, None] * np.stack([np.cos(angle), np.sin(angle)], 1)
+    return grown_, size.reshape(n, k).sum(1)
+
+
+def _grown(polygons: list[np.ndarray], ratio: float, tolerance: float) -> list[tuple[float, np.ndarray]]:
+    """Distance and ring of each polygon; convex ones of as many corners at once."""
+    out: list = [(0.0, p) for p in polygons]
+    for corners in {len(p) for p in polygons if len(p)}:
+        which = np.array([n for n, p in enumerate(polygons) if len(p) == corners])
+        held = np.stack([polygons[n] for n in which.tolist()])
+        edge = np.roll(held, -1, 1) - held
+        length = np.hypot(edge[..., 0], edge[..., 1])
+        signed = (held[..., 0] * np.roll(held[..., 1], -1, 1) - np.roll(held[..., 0], -1, 1) * held[..., 1]).sum(1) / 2
+        distance = np.divide(np.abs(signed) * ratio, length.sum(1), out=np.zeros(len(held)), where=length.sum(1) > 0)
+        left = np.where((signed < 0)[:, None, None], held[:, ::-1], held)
+        edge = np.roll(left, -1, 1) - left
+        before = np.roll(edge, 1, 1)
+        plain = (distance > 0) & (length > 0).all(1) & (before[..., 0] * edge[..., 1] - before[..., 1] * edge[..., 0] >= 0).all(1) & (corners > 2)
+        # corners that turn once around in all: a line that crosses itself turns more often
+        turns = np.arctan2(before[..., 0] * edge[..., 1] - before[..., 1] * edge[..., 0], (before * edge).sum(2)).sum(1)
+        plain &= np.abs(turns - 2 * np.pi) < 1e-6
+        if plain.any():
+            made, sizes = grown_convex(left[plain], distance[plain], tolerance)
+            for n, d, ring in zip(which[plain].tolist(), distance[plain].tolist(), np.split(made, np.cumsum(sizes)[:-1]), strict=True):
+                out[n] = d, ring
+        for n, d in zip(which[~plain].tolist(), distance[~plain].tolist(), strict=True):
+            out[n] = d, grown(polygons[n], d, tolerance)
+    return out
+
+
 def grown_polygons(polygons: DataFrame, keys: list[str], ratio: float = 1.6, tolerance: float = 1.0) -> DataFrame:
     """keys, distance, n_points, area, xs and ys of polygons (keys, arrays xs and ys) grown by area * ratio / perimeter with round corners."""
     kinds = ", ".join(f"{k} {dict(polygons.dtypes)[k]}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for xs, ys in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist(), strict=True):
-                points = np.stack([np.array(xs or [], float), np.array(ys or [], float)], 1)
-                around = float(np.hypot(*(np.roll(points, -1, 0) - points).T).sum()) if len(points) else 0.0
-                distance = area_of(points) * ratio / around if around else 0.0
-                ring = grown(points, distance, tolerance) if len(points) else points
-                rows.append((distance, len(ring), area_of(ring) if len(ring) else 0.0, ring[:, 0].tolist(), ring[:, 1].tolist()))
-            kinds_ = [pa.float64(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            made = [pa.array([r[n] for r in rows], kinds_[n]) for n in range(5)]
+            given = [np.stack([np.array(xs or [], float), np.array(ys or [], float)], 1) for xs, ys in zip(batch.column("xs").to_pylist(), batch.column("ys").to_pylist(), strict=True)]
+            distances, rings = zip(*_grown(given, ratio, tolerance), strict=True) if given else ((), ())
+            ends = np.cumsum([0, *map(len, rings)]).astype(np.int32)
+            flat = np.concatenate(rings) if rings else np.zeros((0, 2))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(flat[:, c]))) for c in (0, 1)]
+            areas = [area_of(r) if len(r) else 0.0 for r in rings]
+            made = [pa.array(distances, pa.float64()), pa.array(np.diff(ends)), pa.array(areas, pa.float64()), *lists]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keys] + made, names=[*keys, "distance", "n_points", "area", "xs", "ys"])
 
     return polygons.select(*keys, "xs", "ys").mapInArrow(run, f"{kinds}, distance double, n_points int, area double, xs array<double>, ys array<double>")
@@ -280,7 +372,8 @@ def polygon_scores(maps: DataFrame, polygons: DataFrame, image: str = "image_id"
         for batch in batches:
             for key, some, h, w, probs in zip(*(batch.column(n).to_pylist() for n in range(5)), strict=True):
                 grid = np.array(probs, np.float64).reshape(h, w) if probs else None
-                scores = [mean_filled(grid, np.stack([p["xs"], p["ys"]], 1).astype(float)) if grid is not None and p["xs"] else 0.0 for p in some]
+                given = [np.stack([np.array(p["xs"] or [], float), np.array(p["ys"] or [], float)], 1) for p in some]
+                scores = filled_means(grid, given) if grid is not None else np.zeros(len(some))
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(some), pa.int64()), pa.array([p["id"] for p in some], pa.int64()), pa.array(scores, pa.float64())], names=[image, polygon, "score"])
 
     return held.mapInArrow(run, f"`{image}` long, `{polygon}` long, score double")

@@ -443,7 +443,7 @@ def polygon_score(spark: SparkSession, d: str) -> DataFrame:
     """Mean of each map inside filled polygons of five corners, most of which cross themselves."""
     e = F.col("event_id")
     at = lambda m, n: F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: ((e * m + k * n * (1 + e % 11)) % 90).cast("double") / 10 - 0.5)
-    events = spark.read.parquet(f"{d}/events.parquet").select("event_id")
+    events = spread(spark.read.parquet(f"{d}/events.parquet").select("event_id"))
     polygons = events.select((e % 2000).alias("image_id"), e.alias("polygon_id"), at(37, 29).alias("xs"), at(53, 31).alias("ys"))
     return borders_.polygon_scores(maps(spark, d), polygons).withColumn("score", F.round("score", 6))
 
@@ -457,7 +457,7 @@ TURNS_SQL = ", ".join(f"atan2((x{b} - x{a}) * (y{c} - y{b}) - (y{b} - y{a}) * (x
     + " SELECT rank, round(dist, 4) AS distance, (" + " + ".join(f"ceil(t{n} / step - 1e-9) + 1" for n in (1, 2, 3, 4)) + ")::INT AS n_points, round(area + around * dist + dist * dist / 2 * (" + " + ".join(f"ceil(t{n} / step - 1e-9) * sin(t{n} / ceil(t{n} / step - 1e-9))" for n in (1, 2, 3, 4)) + "), 3) AS area FROM v")
 def round_offset(spark: SparkSession, d: str) -> DataFrame:
     """Quadrilaterals grown with round corners; SQL has the closed form of convex polygons."""
-    quads = boxes(spark, d).select("rank", F.array(*Q.X).alias("xs"), F.array(*Q.Y).alias("ys"))
+    quads = spread(boxes(spark, d)).select("rank", F.array(*Q.X).alias("xs"), F.array(*Q.Y).alias("ys"))
     found = borders_.grown_polygons(quads, ["rank"], tolerance=ARC)
     return found.select("rank", F.round("distance", 4).alias("distance"), "n_points", F.round("area", 3).alias("area"))
 

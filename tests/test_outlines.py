@@ -132,6 +132,35 @@ def test_mean_of_filled_polygon():
     assert O.mean_filled(probs, square + 50) == 0.0 and O.mean_filled(probs, np.array([(2, 2), (2, 2), (2, 2.0)])) == 0.0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.floats(-3, 12), st.floats(-3, 12)), max_size=7), max_size=5))
+def test_means_of_many_polygons_equal_masks(listed):
+    """All polygons of a map at once against the mask of each."""
+    probs = np.random.default_rng(1).random((8, 9))
+    polygons = [np.array(p, float).reshape(-1, 2) for p in listed]
+    for points, mean in zip(polygons, O.filled_means(probs, polygons), strict=True):
+        expected = 0.0
+        if len(points):
+            low = np.clip(np.floor(points.min(0)), 0, (8, 7)).astype(int)
+            high = np.clip(np.ceil(points.max(0)), 0, (9, 8)).astype(int)
+            if (high > low).all():
+                part = probs[low[1] : high[1] + 1, low[0] : high[0] + 1]
+                mask = plain_fill([tuple(p) for p in np.trunc(points - low).astype(int).tolist()], *part.shape)
+                expected = part[mask].mean() if mask.any() else 0.0
+        assert mean == pytest.approx(expected)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), max_size=6), max_size=6))
+def test_many_polygons_grow_as_each(listed):
+    polygons = [np.array(p, float).reshape(-1, 2) for p in listed]
+    for points, (distance, ring) in zip(polygons, O._grown(polygons, 1.6, 0.25), strict=True):
+        around = around_of(points) if len(points) else 0.0
+        assert distance == pytest.approx(O.area_of(points) * 1.6 / around if around else 0.0)
+        alone = O.grown(points, distance, 0.25) if len(points) else points
+        assert (O.area_of(ring) if len(ring) else 0.0) == pytest.approx(O.area_of(alone) if len(alone) else 0.0, rel=1e-6, abs=1e-6)
+
+
 def around_of(points):
     return float(np.hypot(*(np.roll(points, -1, 0) - points).T).sum())
 
