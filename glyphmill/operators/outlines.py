@@ -362,10 +362,12 @@ SCORED = 1024
 def polygon_scores(maps: DataFrame, polygons: DataFrame, image: str = "image_id", polygon: str = "polygon_id") -> DataFrame:
     """image, polygon and score: the mean of the map (image, h, w, probs) over the filled polygon (image, polygon, arrays xs and ys), 0 without pixels or without a map.
 
-    Polygons come to their map in lists of about SCORED, by their numbers; of polygons that repeat each has its score.
+    Polygons come to their map in lists of about SCORED, by hash; of polygons that repeat each has its score; those of a null image are left out.
     """
+    parts = polygons.groupBy(image).agg(F.ceil(F.count("*") / SCORED).alias("parts"))
+    part = F.pmod(F.xxhash64(polygon, "xs", "ys"), "parts").alias("part")
     listed = F.collect_list(F.struct(F.col(polygon).alias("id"), "xs", "ys"))
-    lists = polygons.groupBy(image, F.expr(f"`{polygon}` DIV {SCORED}").alias("part")).agg(listed.alias("polygons"))
+    lists = polygons.join(parts, image).groupBy(image, part).agg(listed.alias("polygons"))
     held = lists.join(maps.select(image, "h", "w", "probs"), image, "left").select(image, "polygons", "h", "w", "probs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
