@@ -80,19 +80,6 @@ def words(solid: DataFrame, line: list[str], pos: str = "pos", col: str = "col",
     )
 
 
-def average_width(words_: DataFrame, line: list[str], col_width: Column) -> DataFrame:
-    """Per line, the mean over words of more than one column of the width a character takes; null if there is none."""
-    cols = F.col("cols")
-    wide = (cols[F.size(cols) - 1] - cols[0]) * col_width / F.nullif(F.size(cols) - 1, F.lit(0))
-    return words_.groupBy(*line).agg(F.avg(F.when(F.size(cols) > 1, wide)).alias("char_width"))
-
-
-def cell(col: Column, col_width: Column, char_width: Column, x0: Column, x1: Column) -> tuple[Column, Column]:
-    """Left and right of a character's cell, within the line's box."""
-    centre = (col + 0.5) * col_width
-    return F.greatest(centre - char_width / 2, F.lit(0.0)) + x0, F.least(centre + char_width / 2, x1 - x0) + x0
-
-
 def recognition_batches(crops: DataFrame, image: str = "image_id", box: str = "box_id", ratio: str = "ratio", size: int = 6, floor: float = 320 / 48) -> DataFrame:
     """crops with batch_id (by rising ratio, `size` to a batch) and the batch's greatest ratio, from keys alone."""
     rank = F.row_number().over(Window.partitionBy(image).orderBy(ratio, box)) - 1

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphmill.config import Config, DetConfig, GlobalConfig, Quirks, RecConfig
+from glyphmill.config import Config, DetConfig, GlobalConfig, Quirks
 from glyphmill.functions import quads as Q
 from glyphmill.functions import sizing as S
 from glyphmill.operators import decode, raster, segment, shapes, wordboxes
