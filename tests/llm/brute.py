@@ -39,7 +39,7 @@ def histograms(text):
     classes = [len(re.findall(p, text)) for p in Q.CLASSES.values()]
     white = len(re.findall(r"[\x20\x09-\x0D]", text))
     classes += [len(text.encode()) - len(text), white, len(text) - white - sum(classes)]
-    return classes, Counter(w.lower() for w in words if w in set(Q.FORMS)), len(words)
+    return classes, Counter(w.lower() for w in words), len(words)
 
 
 def distance(p, q):
@@ -53,12 +53,16 @@ def quality(docs):
     """doc_id: (class distance, word distance, kept)."""
     made = [histograms(d["text"]) for d in docs]
     failed = [n < 50 or 100 * base_counts(d["text"])[4] > 50 * n for d, (_, _, n) in zip(docs, made, strict=True)]
-    out = {}
+    out, bins = {}, {}
     for k, d in enumerate(docs):
         (c, w, n), lang = made[k], d["lang"]
+        name = ("of", lang)
         like = [i for i, e in enumerate(docs) if e["lang"] == lang and not failed[i]]
         if len(like) < Q.SUPPORT_DOCS or sum(made[i][2] for i in like) < Q.SUPPORT_WORDS:
-            like = [i for i in range(len(docs)) if not failed[i]]
+            like, name = [i for i in range(len(docs)) if not failed[i]], "all"
+        if name not in bins:
+            held = Counter(x for i in like for x in made[i][1] if re.fullmatch(r"[^\W\d_]+", x))
+            bins[name] = sorted(held, key=lambda x: (-held[x], x))[: Q.COMMON]
         like = [i for i in like if i != k]
         total = sum(made[i][2] for i in like)
         if not n or not total:
@@ -66,8 +70,8 @@ def quality(docs):
             continue
         sums = [sum(made[i][0][j] for i in like) for j in range(len(c))]
         by_class = distance([x / sum(c) for x in c], [x / sum(sums) for x in sums])
-        common = sum((made[i][1] for i in like), Counter())
-        p, q = ([src[b] / size for b in Q.BINS] for src, size in ((w, n), (common, total)))
+        common = {b: sum(made[i][1][b] for i in like) for b in bins[name]}
+        p, q = ([src[b] / size for b in bins[name]] for src, size in ((w, n), (common, total)))
         by_word = distance([*p, 1 - sum(p)], [*q, 1 - sum(q)])
         far = n >= Q.CLASS_GUARD and by_class > Q.CLASS_LIMIT or n >= Q.WORD_GUARD and by_word > Q.WORD_LIMIT
         out[d["doc_id"]] = (by_class, by_word, not failed[k] and not far)

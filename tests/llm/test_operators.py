@@ -294,6 +294,20 @@ def test_quality_of_rare_languages(spark, sf_dir):
     assert {r["doc_id"]: r["kept"] for r in rows if r["doc_id"] > 9999} == {10_000: False, 10_001: expected[10_001][2]}
 
 
+def test_quality_learns_common_words_of_any_language(spark, sf_dir):
+    """A fifth language of invented words: its junk goes by its own common words, its clean texts stay."""
+    rng = random.Random(5)
+    little, rare = [f"{a}{b}" for a in "kvz" for b in "aeiou"], [f"{a}{b}{c}" for a in "dfglmnprst" for b in "aeiou" for c in ("lo", "ni", "ru", "sta")]
+    clean = [" ".join(rng.choice(little if rng.random() < 0.45 else rare) for _ in range(200)).capitalize() for _ in range(40)]
+    junk = [" ".join(rng.choice(rare) for _ in range(200)) for _ in range(3)]
+    docs = [{"doc_id": d["doc_id"], "text": d["text"], "lang": d["lang"]} for d in documents(spark, sf_dir)]
+    docs += [{"doc_id": 20_000 + k, "text": t, "lang": "zz"} for k, t in enumerate(clean + junk)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    rows, expected = quality.quality(frame).collect(), brute.quality(docs)
+    assert [r["kept"] for r in sorted(rows, key=lambda r: r["doc_id"]) if r["lang"] == "zz"] == [True] * 40 + [False] * 3
+    assert all(r["word_distance"] == (w if (w := expected[r["doc_id"]][1]) is None else pytest.approx(w, abs=1e-9)) for r in rows)
+
+
 def test_quality_without_references(spark):
     rows = quality.quality(table(spark, ["word " * 10, None, " ".join(f"w{k}" for k in range(60))])).orderBy("doc_id").collect()
     assert [(r["class_distance"], r["kept"]) for r in rows][1:] == [(None, False), (None, True)]
