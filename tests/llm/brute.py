@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 from glyphmill.llm import lines as L
 from glyphmill.llm import quality as Q
+from glyphmill.llm import urls as U
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -246,3 +247,81 @@ def spelling_groups(counts, times=10):
             root = form[root]
         out[w] = (form[w], root, n, len(neighbours[w]), form[w] and counts[form[w]])
     return out
+
+
+def url_templates(counts):
+    """(host, shape): (template, purity), from (host, shape): (n, blocked, allowed); one host's tree after the other, by recursion."""
+
+    def first(shape):
+        return "/" + shape.split("/")[1] if "/" in shape else ""
+
+    def pure(b, a, towards=U.PRIOR):
+        return (b + towards * U.WEIGHT) / (b + a + U.WEIGHT)
+
+    said = defaultdict(lambda: [0, 0])
+    for (host, shape), (_, b, a) in counts.items():
+        parts = host.split(".")
+        for key in (("own", host, first(shape)), ("first", first(shape)), ("shape", shape), ("label", parts[-1], shape), ("domain", *parts[-2:], shape)):
+            said[key][0] += b
+            said[key][1] += a
+    known = {}
+    for (host, shape), (n, b, a) in counts.items():
+        parts, own = host.split("."), said["own", host, first(shape)]
+        every = said["first", first(shape)]
+        prior = pure(every[0] - own[0], every[1] - own[1])
+        told = n if sum(every) > sum(own) else 0
+        for key in (("shape", shape), ("label", parts[-1], shape), ("domain", *parts[-2:], shape)):
+            prior = pure(said[key][0] - b, said[key][1] - a, prior)
+        known[host, shape] = (n, b, a, told, told * prior)
+
+    def total(keys):
+        return [sum(c) for c in zip(*(known[k] for k in keys), strict=True)]
+
+    def evidence(sums, towards=U.PRIOR):
+        n, b, a, told, expected = sums
+        return pure(b + expected * U.WEIGHT / n, a + (told - expected) * U.WEIGHT / n, towards) if n else pure(b, a, towards)
+
+    def by_segment(items, segment):
+        found = defaultdict(list)
+        for k, rest in items:
+            found[segment(k, rest)].append((k, rest))
+        return found
+
+    template = {}
+
+    def grow(node, items):
+        if len({rest for _, rest in items}) == 1:
+            template.update({k: node + rest for k, rest in items})
+            return
+        template.update({k: node for k, rest in items if not rest})
+        items = [(k, rest) for k, rest in items if rest]
+        heads, whole, alone, wide = by_segment(items, lambda _, rest: first(rest)), total(k for k, _ in items), set(), set()
+        sizes = {g: total(k for k, _ in some) for g, some in heads.items()}
+        spread = -sum(z[0] / whole[0] * math.log2(z[0] / whole[0]) for z in sizes.values())
+        for g, z in sizes.items():
+            others = evidence([x - y for x, y in zip(whole, z, strict=True)])
+            if len(heads) > 1 and abs(evidence(z, others) - others) > U.GAP:
+                alone.add(g)
+            elif spread > math.log2(U.MAX_CHILDREN) and U.MAX_CHILDREN * z[0] < whole[0]:
+                wide.add(g)
+        tails = Counter()
+        for k, rest in items:
+            tails[rest[len(first(rest)) :]] += known[k][0]
+        below = defaultdict(list)
+        for g, some in by_segment(items, lambda _, rest: "/*" if first(rest) in wide else first(rest)).items():
+            z, mine = total(k for k, _ in some), Counter()
+            for k, rest in some:
+                mine[rest[len(first(rest)) :]] += known[k][0]
+            differ = sum(abs(mine[x] / z[0] - tails[x] / whole[0]) for x in tails)
+            merges = 100 * differ <= 2 * U.MERGE + 1e-9 and abs(evidence(z) - evidence(whole)) <= U.GAP
+            for k, rest in some:
+                below["/*" if merges and first(rest) not in alone else g].append((k, rest[len(first(rest)) :]))
+        for g, some in below.items():
+            grow(node + g, some)
+
+    for host, some in by_segment([(k, k[1]) for k in known], lambda k, _: k[0]).items():
+        grow("", some)
+    judged = defaultdict(list)
+    for k in known:
+        judged[k[0], template[k]].append(k)
+    return {k: (template[k], evidence(total(judged[k[0], template[k]]))) for k in known}

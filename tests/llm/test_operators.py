@@ -521,6 +521,29 @@ def test_url_evidence_of_other_hosts(spark):
     assert {r["said"] for r in found} == {7} and {r["__host"] for r in found} == {7} and {type(r["path"]) for r in found} == {str}
 
 
+@pytest.mark.parametrize(("plain", "heavy"), [(1 << 20, 1024), (0, 8)])
+def test_url_templates_equal_plain(spark, sf_dir, monkeypatch, plain, heavy):
+    """Trees of all pages and of hosts full of branches, by recursion; without keys that are spread, and with some."""
+    monkeypatch.setattr(urls, "PLAIN", plain)
+    monkeypatch.setattr(urls, "HEAVY", heavy)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url")
+    judged = urls.judge(pages, queries.URL_RULES).withColumn("shape", F.regexp_replace("path", "[0-9]+", "*"))
+    counts = {(r["host"], r["shape"]): (r["n"], r["b"], r["a"]) for r in judged.groupBy("host", "shape").agg(
+        F.count("*").alias("n"), F.sum(((F.col("rule").isNotNull()) & (F.col("verdict") == "block")).cast("int")).alias("b"),
+        F.sum(((F.col("rule").isNotNull()) & (F.col("verdict") == "allow")).cast("int")).alias("a")).collect()}
+    rng = random.Random(3)
+    for _ in range(400):
+        shape = "".join(f"/{rng.choice('abcdefghijklmnopqrstuvwxyz')}" for _ in range(rng.randrange(4)))
+        n = rng.randrange(1, 9)
+        b = rng.randrange(n + 1) if shape > "/r" else 0
+        counts[rng.choice(("big.net", "x.example.org", "example.org", "")), shape] = (n, b, rng.randrange(n - b + 1))
+    rows = [(h, s, *c) for (h, s), c in counts.items()]
+    found = {(r["host"], r["shape"]): (r["template"], r["purity"]) for r in urls.templates(spark.createDataFrame(rows, "host string, shape string, n long, blocked long, allowed long")).collect()}
+    expected = brute.url_templates(counts)
+    assert found == {k: (t, pytest.approx(v, abs=1e-9)) for k, (t, v) in expected.items()}
+    assert len({t for t, _ in found.values()}) < len({s for _, s in counts})
+
+
 def test_url_held_out_labels(spark, sf_dir):
     """A third of the rules' labels are hidden; what the tree says of these pages agrees with the rules more often than constant allow."""
     pages = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/pages.parquet").select("page_id", "url")
