@@ -395,6 +395,42 @@ def test_crowded_blocks_lose_no_group(spark, monkeypatch):
     assert {k for k, t in found.items() if t} == set(range(0, 180, 2))
 
 
+@pytest.mark.parametrize("tile", [1 << 14, 16])
+def test_crowded_blocks_alone_lose_no_link(spark, monkeypatch, tile):
+    """Similar lines whose words differ everywhere but in a passage that many unlike lines share."""
+    monkeypatch.setattr(lines, "TILE", tile)
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrst", k=7)) for _ in range(3000)]
+    passage = rng.choices(words, k=12)
+    texts = []
+    for _ in range(40):
+        base = rng.choices(words, k=20) + passage + rng.choices(words, k=12)
+        # an edit in every second word leaves no pair of neighbours, but in the passage
+        texts += [" ".join(base), " ".join(w if 20 <= i < 32 or i % 2 else f"{w[:3]}z{w[4:]}" for i, w in enumerate(base))]
+    found = {r["doc_id"]: r["text"] for r in lines.dedup_lines(table(spark, texts)).collect()}
+    assert {k for k, t in found.items() if t} == set(range(0, 80, 2))
+
+
+def test_counts_bound_edits(spark):
+    rng = random.Random(2)
+    pairs = []
+    for k in range(200):
+        x = "".join(rng.choices("abcxyz .é0#", k=rng.randrange(1, 400) if k else 3000))
+        y = "".join(c for c in x if rng.random() < 0.9) + "".join(rng.choices("abcq", k=rng.randrange(30)))
+        pairs.append((k, x, y))
+    given = spark.createDataFrame(pairs, "node long, x string, y string")
+    a, b = (lines.counted(given.select("node", F.col(c).alias("norm"), F.char_length(c).alias("chars"))).drop("words") for c in "xy")
+    both = a.toDF("node", *(f"a_{c}" for c in a.columns[1:])).join(b.toDF("node", *(f"b_{c}" for c in b.columns[1:])), "node")
+
+    def plain(x, y):
+        p, q = ({c: min(s.count(c), 255) for c in lines.COUNTED} | {"": min(sum(c not in lines.COUNTED for c in s), 255)} for s in (x, y))
+        return max(sum(max(p[c] - q[c], 0) for c in p), sum(max(q[c] - p[c], 0) for c in p))
+
+    found = {r["node"]: r["d"] for r in both.select("node", lines.count_distance("a", "b").alias("d")).collect()}
+    assert found == {k: plain(x, y) for k, x, y in pairs}
+    assert all(found[k] <= brute.edit_distance(x, y) for k, x, y in pairs[1:20])
+
+
 def test_short_lines_repeat_exactly(spark):
     found = lines.dedup_lines(table(spark, ["les.\n-\nand ornd.\n ", "LES.\nand  ornd.\nbut not this\n ", "-\nles,"]))
     assert {r["doc_id"]: r["text"] for r in found.collect()} == {0: "les.\n-\nand ornd.\n ", 1: "but not this\n ", 2: "les,"}
