@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.batches import bounded_batches
 from glyphmill.operators.decode import GAP, SPACE
 from glyphmill.schemas import CORNERS
 
@@ -201,6 +202,7 @@ def word_results(lines: DataFrame, single: bool = False, token_confidences: bool
         corners = {c: pc.fill_null(corner.field(n), 0.0).to_numpy() for n, c in enumerate(CORNERS)}
         return _boxes(single, token_confidences, text, kept, line_cols.to_numpy(zero_copy_only=False).astype(float), corners)
 
+    bounded_batches(lines.sparkSession)
     given = F.struct(*(F.col(c).cast("double").alias(c) for c in CORNERS))
     return lines.withColumn("word_results", boxes(F.col("text"), F.col("kept"), F.col("line_cols").cast("double"), given))
 

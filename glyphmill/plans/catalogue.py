@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.batches import bounded_batches
 from glyphmill.config import Config, DetConfig, GlobalConfig
 from glyphmill.functions import quads as Q
 from glyphmill.functions import sizing as S
@@ -76,6 +77,7 @@ def text_lines(spark: SparkSession, d: str) -> DataFrame:
 
     A character takes two columns, and five more follow each tenth.
     """
+    bounded_batches(spark)
     c = spread(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("image_id"), F.posexplode(F.split("text", "\n", -1)).alias("box_id", "text"))
     places = F.sequence(F.lit(0), F.char_length("text") - 1)
     prob = lambda i: ((F.col("image_id") * 31 + i * 17) % 50 + 50) / 100.0
