@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.batches import bounded_batches
 from glyphmill.operators.segment import dilate_mask
 
 #: Steps (y, x) east, south, west, north: along the upper, right, lower and left side of a pixel.
@@ -369,10 +370,13 @@ def polygon_scores(maps: DataFrame, polygons: DataFrame, image: str = "image_id"
     listed = F.collect_list(F.struct(F.col(polygon).alias("id"), "xs", "ys"))
     lists = polygons.join(parts, image).groupBy(image, part).agg(listed.alias("polygons"))
     held = lists.join(maps.select(image, "h", "w", "probs"), image, "left").select(image, "polygons", "h", "w", "probs")
+    bounded_batches(polygons.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, some, h, w, probs in zip(*(batch.column(n).to_pylist() for n in range(5)), strict=True):
+            for row in range(batch.num_rows):
+                # only one list at a time becomes Python objects
+                key, some, h, w, probs = (batch.column(n)[row].as_py() for n in range(5))
                 grid = np.array(probs, np.float64).reshape(h, w) if probs else None
                 given = [np.stack([np.array(p["xs"] or [], float), np.array(p["ys"] or [], float)], 1) for p in some]
                 scores = filled_means(grid, given) if grid is not None else np.zeros(len(some))
