@@ -563,11 +563,16 @@ def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("image_id", "box_id", "text", F.round("score", 6).alias("score"), *rounded({c: F.col(c) for c in CORNERS}))
 
 
+#: Pictures that are drawn at once.
+DRAWN = 64
+
+
 def pictures(spark: SparkSession, d: str, scale: int = 16) -> DataFrame:
-    """Each map as a grey image, `scale` pixels to a value."""
+    """Each map as a grey image, `scale` pixels to a value; DRAWN at once."""
+    bounded_batches(spark)
 
     def draw(batches):
-        for batch in batches:
+        for batch in (b.slice(a, DRAWN) for b in batches for a in range(0, b.num_rows, DRAWN)):
             data = []
             for probs in batch.column("probs").to_pylist():
                 grey = np.kron(np.clip(np.abs(np.array(probs)) * 600, 0, 255).astype(np.uint8).reshape(8, 8), np.ones((scale, scale), np.uint8))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from glyphmill.batches import bounded_batches
 from glyphmill.config import Config
 from glyphmill.functions import quads, sizing
 from glyphmill.operators import decode, wordboxes
@@ -111,6 +112,7 @@ def detect(images: DataFrame, recognition: Recognition = Recognition()) -> DataF
     of the detector. A failing image has an error (code, message) and no boxes.
     """
     most = recognition.config.det.batch
+    bounded_batches(images.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(a, most) for b in batches for a in range(0, b.num_rows, most)):
@@ -146,6 +148,7 @@ def crop(detected: DataFrame, recognition: Recognition = Recognition()) -> DataF
     A box without area has an error and no pixels; so has a failed image, which is one row without a box.
     """
     cubic = not recognition.config.quirks.bilinear_crops
+    bounded_batches(detected.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,6 +179,7 @@ def recognise(crops: DataFrame, recognition: Recognition = Recognition(), parts:
     have few lines; a common width is dealt to several.
     """
     c = recognition.config
+    bounded_batches(crops.sparkSession)
     step = c.rec.width_step
     least = c.rec.width / c.rec.height
 

@@ -49,3 +49,7 @@ def test_lists_of_polygons_come_in_small_batches(unbounded, sf_dir):
     wide = lists.crossJoin(unbounded.range(12)).coalesce(1)
     assert most_bytes(wide) < 1.1 * batches.BATCH_BYTES
     assert scores.count() == 6000 and scores.where("score > 0").count() == 1
+
+
+def test_pictures_come_in_small_batches(unbounded, sf_dir):
+    assert most_bytes(catalogue.pictures(unbounded, sf_dir)) < 1.1 * batches.BATCH_BYTES
