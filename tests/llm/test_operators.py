@@ -431,6 +431,48 @@ def test_counts_bound_edits(spark):
     assert all(found[k] <= brute.edit_distance(x, y) for k, x, y in pairs[1:20])
 
 
+def joined_and_split(rng, words):
+    """A line, and it with every fifth pair of words joined and as many words split: few edits, few words in common."""
+    own = rng.choices(words, k=20)
+    cut = [f"{w[:2]} {w[2:]}" for w in own[10:15]]
+    return " ".join(own), " ".join([own[i] + own[i + 1] for i in range(0, 10, 2)] + cut + own[15:])
+
+
+def test_words_joined_and_split_lose_no_link(spark):
+    """An edit that takes a space takes two words; where others make spaces, numbers of words don't tell."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnopqrst", k=5)) for _ in range(3000)]
+    texts = [t for _ in range(12) for t in joined_and_split(rng, words)]
+    assert all(brute.within(texts[k], texts[k + 1], len(texts[k]) // 10) for k in range(0, 24, 2))
+    found = {r["doc_id"]: r["text"] for r in lines.dedup_lines(table(spark, texts)).collect()}
+    assert {k for k, t in found.items() if t} == set(range(0, 24, 2))
+
+
+def test_words_and_counts_bound_edits(spark):
+    """No pair that lies as few edits apart as SIMILAR allows is ruled out."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(400):
+        line = list(" ".join("".join(rng.choices("abcé0qz", k=rng.randrange(1, 9))) for _ in range(rng.randrange(2, 60))))
+        x, edits = "".join(line), len(line) // 10
+        for _ in range(edits):
+            at = rng.choice([i for i, c in enumerate(line) if c == " "] or [0]) if rng.random() < 0.5 else rng.randrange(len(line))
+            line[at : at + 1] = rng.choice([[], [" ", line[at]], ["z"], [" "]])
+        y = " ".join("".join(line).split())
+        if 10 * brute.edit_distance(x, y) <= max(len(x), len(y)):
+            rows.append((k, x, y))
+    given = spark.createDataFrame(rows, "node long, x string, y string")
+    a, b = (lines.counted(given.select("node", F.col(c).alias("norm"), F.char_length(c).alias("chars"))) for c in "xy")
+    both = a.toDF("node", *(f"a_{c}" for c in a.columns[1:])).join(b.toDF("node", *(f"b_{c}" for c in b.columns[1:])), "node")
+    assert len(rows) > 200 and lines.possible(both, ["node"], F.col("a_chars"), F.col("b_chars")).count() == len(rows)
+
+
+def test_crowded_blocks_in_passes(spark, monkeypatch):
+    """Members of crowded blocks that are sent in several passes meet all the same."""
+    monkeypatch.setattr(lines, "CROWDED", 50)
+    test_crowded_blocks_alone_lose_no_link(spark, monkeypatch, 1 << 14)
+
+
 def test_short_lines_repeat_exactly(spark):
     found = lines.dedup_lines(table(spark, ["les.\n-\nand ornd.\n ", "LES.\nand  ornd.\nbut not this\n ", "-\nles,"]))
     assert {r["doc_id"]: r["text"] for r in found.collect()} == {0: "les.\n-\nand ornd.\n ", 1: "but not this\n ", 2: "les,"}
