@@ -473,6 +473,45 @@ def test_crowded_blocks_in_passes(spark, monkeypatch):
     test_crowded_blocks_alone_lose_no_link(spark, monkeypatch, 1 << 14)
 
 
+def test_shared_runs_bound_edits(spark):
+    """Pairs as few edits apart as SIMILAR allows share enough runs; unlike lines with the same counts of characters do not, and never meet with their texts."""
+    rng = random.Random(14)
+    rows = []
+    for k in range(120):
+        line = [rng.choice("abcdefghijklmé  ") for _ in range(rng.choice([3, 9, 40, 200, 900, 2040]))]
+        x = " ".join("".join(line).split()) or "a"
+        y = list(x)
+        for _ in range(len(x) // 10):
+            at = rng.randrange(len(y))
+            y[at : at + 1] = rng.choice([[], ["z", y[at]], ["z"], [" "]])
+        rows.append((k, x, "".join(y)))
+    shuffled = [(k, x, "".join(rng.sample(x, len(x)))) for k, x, _ in rows if 40 <= len(x) <= 900]
+    long = [(0, "a " * 1100 + "b", "c " * 1100 + "d")]
+
+    def left(some):
+        both = [lines.run_bits(table_of(some, c)).select(F.col("node"), *(F.col(n).alias(f"{side}_{n}") for n in ("chars", "runs", "n_runs"))) for c, side in (("x", "a"), ("y", "b"))]
+        return lines.run_room(both[0].join(both[1], "node").withColumns({"a": F.col("node"), "b": F.col("node")})).count()
+
+    def table_of(some, c):
+        return spark.createDataFrame(some, "node long, x string, y string").select("node", F.col(c).alias("norm"), F.char_length(c).alias("chars"))
+
+    assert left(rows) == len(rows) and left(long) == 1 and len(shuffled) > 20 and left(shuffled) == 0
+
+
+def test_files_of_shuffles_go_between_passes(spark, monkeypatch):
+    """Each pass of crowded blocks stores little, and lets go of what led to it all the same."""
+    seen = []
+    monkeypatch.setattr(lines, "release", lambda spark, small=False: seen.append(small))
+    monkeypatch.setattr(lines, "CROWDED", 50)
+    monkeypatch.setattr(lines, "CROWDED_SHARE", 0.5)
+    made = lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: seen.append(name) or made(df, name))
+    rng = random.Random(8)
+    passage = " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(12))
+    lines.dedup_lines(table(spark, [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(20)) + f" {passage}" for _ in range(60)])).count()
+    assert seen.count("crowded") > 1 and all(seen[i + 1] is True for i, s in enumerate(seen) if s == "crowded")
+
+
 def test_short_lines_repeat_exactly(spark):
     found = lines.dedup_lines(table(spark, ["les.\n-\nand ornd.\n ", "LES.\nand  ornd.\nbut not this\n ", "-\nles,"]))
     assert {r["doc_id"]: r["text"] for r in found.collect()} == {0: "les.\n-\nand ornd.\n ", 1: "but not this\n ", 2: "les,"}
