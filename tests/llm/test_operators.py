@@ -512,6 +512,51 @@ def test_files_of_shuffles_go_between_passes(spark, monkeypatch):
     assert seen.count("crowded") > 1 and all(seen[i + 1] is True for i, s in enumerate(seen) if s == "crowded")
 
 
+def meeting(spark, rows, near):
+    """Which of some pairs of lines (k, x, y) share a block, at places near by or at any."""
+    given = spark.createDataFrame(rows, "node long, x string, y string")
+    a, b = (lines.block_rows(given.select("node", F.col(c).alias("norm"), F.char_length(c).alias("chars"))).withColumnRenamed("spot", s) for c, s in (("x", "p"), ("y", "q")))
+    both = a.join(b, ["node", "block"])
+    return {r["node"] for r in both.where(lines.near_by("p", "q") if near else F.lit(True)).select("node").distinct().collect()}
+
+
+def test_places_of_features_part_unlike_lines(spark):
+    """Lines that share a passage at its place meet, those that have it at far places don't, unless it occurs more than once."""
+    rng = random.Random(21)
+
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefghijklmé", k=7)) for _ in range(n))
+
+    rows = []
+    for k in range(0, 60, 3):
+        passage, n = words(8), rng.choice([30, 60, 80])
+        rows.append((k, f"{words(5)} {passage} {words(n)}", f"{words(5)} {passage} {words(n)}"))
+        rows.append((k + 1, f"{words(5)} {passage} {words(n)}", f"{words(n)} {passage} {words(5)}"))
+        rows.append((k + 2, f"{words(5)} {passage} {words(n - 8)} {passage}", f"{words(n)} {passage} {words(5)}"))
+    anywhere, near = meeting(spark, rows, False), meeting(spark, rows, True)
+    assert {k % 3 for k in anywhere} == {0, 1, 2} and {k for k in anywhere if k % 3 != 1} <= near and not {k for k in near if k % 3 == 1}
+
+
+def test_places_lose_no_similar_lines(spark):
+    """Of lines as few edits apart as SIMILAR allows, at places of their own or all at one, those that share a block share one near by."""
+    rng = random.Random(22)
+    rows = []
+    for k in range(240):
+        own = [w for _ in range(rng.choice([14, 30, 80, 150])) for w in [rng.choice(["ab", "cdé"]) if rng.random() < 0.3 else "".join(rng.choices("abcdefghijk", k=rng.randrange(3, 9)))]]
+        x = " ".join(own)
+        y, at = list(x), rng.randrange(len(x))
+        for _ in range(len(x) // 10):
+            i = rng.randrange(len(y)) if k % 2 else min(at, len(y) - 1)
+            y[i : i + 1] = rng.choice([[], ["z", y[i]], ["z"], [" "]]) if k % 4 < 2 else ([] if k % 4 == 2 else ["z", y[i]])
+        rows.append((k, x, " ".join("".join(y).split())))
+    rows = [(k, x, y) for k, x, y in rows if brute.within(x, y, max(len(x), len(y)) // 10)]
+    # words of other lengths move what follows further than there are edits of words
+    own = ["".join(rng.choices("abcdefghijk", k=6)) for _ in range(440)]
+    rows += [(1000, " ".join(own), " ".join([w * 3 for w in own[:20]] + own[20:-24] + ["a"] * 24))]
+    found = meeting(spark, rows, False)
+    assert len(found) > 150 and 1000 in found and meeting(spark, rows, True) == found
+
+
 def test_short_lines_repeat_exactly(spark):
     found = lines.dedup_lines(table(spark, ["les.\n-\nand ornd.\n ", "LES.\nand  ornd.\nbut not this\n ", "-\nles,"]))
     assert {r["doc_id"]: r["text"] for r in found.collect()} == {0: "les.\n-\nand ornd.\n ", 1: "but not this\n ", 2: "les,"}
