@@ -411,6 +411,22 @@ def test_crowded_blocks_alone_lose_no_link(spark, monkeypatch, tile):
     assert {k for k, t in found.items() if t} == set(range(0, 80, 2))
 
 
+def test_frequent_words_crowd_no_blocks_of_lines_with_others(spark):
+    """Blocks that many unlike lines share are taken by lines with few others alone, else pairs would grow with the square of the lines."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    frequent, rows = "ofthe intha anded fromit withas", []
+    for k in range(20):
+        own = " ".join(word() for _ in range(16))
+        rows += [(2 * k, f"{own} {word()} {frequent}"), (2 * k + 1, f"{own} {word()} {frequent}")]
+    rows += [(100 + k, f"{' '.join(word() for _ in range(17))} {frequent}") for k in range(20)]
+    classes = spark.createDataFrame(rows, "node long, norm string").withColumn("chars", F.char_length("norm"))
+    members, tables = lines.shared_blocks(classes)
+    found = members.where(F.col("block").bitwiseAND(lines.KIND) != lines.SIGN).groupBy("node").agg(F.max("size").alias("most"), F.count("*").alias("n")).collect()
+    lines.forget(*tables)
+    assert {r["node"]: (r["most"], r["n"]) for r in found} == {k: (60, 4) if k >= 100 else (2, 15) for k, _ in rows}
+
+
 def test_counts_bound_edits(spark):
     rng = random.Random(2)
     pairs = []
